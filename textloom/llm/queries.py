@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.jaccard_join import jaccard_components
+from textloom.llm.lm_score import lm_scores
 from textloom.llm.substring_dedup import substring_dedup
 
 
@@ -22,8 +23,13 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {}
