@@ -29,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
 from textloom.llm.repeated import repeated_keys
-from textloom.llm.shared import parts_for, text_bytes, written
+from textloom.llm.shared import parts_for, sized_filters, text_bytes, written
 from textloom.llm.wordbatch import U, Ranges, int64_of, mix, slices, split_words, windows
 
 SHINGLE = 5
@@ -77,11 +77,11 @@ def block_numbers(shingles: np.ndarray, m: int) -> np.ndarray:
     return ((shingles >> U(32)) * U(m)) >> U(32)
 
 
-def sketch(shingles: np.ndarray, m: int) -> np.ndarray:
-    """m words of 64 bits; each shingle flips one bit of its block."""
-    out = np.zeros(m, U)
-    np.bitwise_xor.at(out, block_numbers(shingles, m).astype(np.int64), U(1) << (mix(shingles) & U(63)))
-    return out
+def sketch(shingles: np.ndarray) -> bytes:
+    """512 bits; each shingle flips one, so two sketches differ in at most as many bits as the sets in members."""
+    out = np.zeros(512, np.uint8)
+    np.bitwise_xor.at(out, (mix(shingles) & U(511)).astype(np.int64), 1)
+    return np.packbits(out).tobytes()
 
 
 def join_keys(shingles: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
@@ -117,40 +117,45 @@ def _entries(text: str, doc: str, k: int, num: int, den: int):
         every = [join_keys(s, num, den) for s in sets if len(s)]
         ids = np.repeat(names[sizes > 0], [len(x) for x in every])
         keys = np.concatenate(every) if every else np.zeros(0, U)
-        return keys, ids, [(2, names, docs, sizes)]
+        return keys, ids, [(2, names, docs, sizes, b"".join(sketch(s) for s in sets))]
 
     return entries
 
 
-def _texts(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(sid, size, text) for the wanted sets, from the one document that stands for each."""
-    wanted = members.select("sid", "size", F.col("doc").alias("want"))
+def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(sid, text) of every set in the pairs, from the one document that stands for it."""
+    both = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    wanted = written(both.join(sets, "sid").select("sid", "size", F.col("doc").alias("want")), "wanted").filter("size > 0")
     joined = docs.join(wanted, docs["doc"] == wanted["want"]).select("sid", "size", "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column(2), k)
-            same = np.array([len(s) == n and set_id(s) == i for s, i, n in zip(sets, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
-            yield batch.filter(pa.array(same))
+            found = shingle_sets(batch.column(2), k)
+            same = np.array([len(s) == n and set_id(s) == i for s, i, n in zip(found, batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+            yield batch.filter(pa.array(same)).select([0, 2])
+
+    return joined.mapInArrow(keep, "sid long, text string").dropDuplicates(["sid"])
+
 
-    return joined.mapInArrow(keep, "sid long, size int, text string")
+def _near(a: str, b: str, num: int, den: int) -> Column:
+    """Whether sizes and sketches of two rows leave Jaccard >= num/den possible."""
+    n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
+    apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(8)), F.lit(0))
+    return (n * den >= m * num) & (m * den >= n * num) & (apart * (den + num) <= (n + m) * (den - num))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard >= num/den, counted on the whole sets."""
-    left = texts.select(F.col("sid").alias("a"), F.col("size").alias("size_a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("sid").alias("b"), F.col("size").alias("size_b"), F.col("text").alias("text_b"))
-    fits = (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
-    both = pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b", "text_a", "text_b")
+    with sized_filters(docs.sparkSession):
+        texts = written(_texts(pairs, sets, docs, k), "texts")
+    left = texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_a", 2 << 20):
             good = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True)):
-                m = blocks_in(band_of(max(len(x), len(y), 1)), num, den)
-                most = (len(x) + len(y)) * (den - num) // (den + num)
-                if int(np.bitwise_count(sketch(x, m) ^ sketch(y, m)).sum()) > most:
-                    continue  # the sketches' distance is at most the symmetric difference
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 good[i] = den * shared >= num * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(good))
@@ -166,15 +171,20 @@ def jaccard_components(
     buckets = parts_for(text_bytes(docs), 2 << 20)
     found = written(repeated_keys(docs, "text", _entries("text", "doc", k, num, den), buckets), "keys")
     every = found.filter("kind = 2").select(
-        F.col("key").alias("sid"), F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias("doc"), "size"
+        F.col("key").alias("sid"), F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias("doc"), "size", "mark"
     )
-    sets = every.filter("size > 0").groupBy("sid", "size").agg(F.min("doc").alias("doc"))
+    longs = {f"s{i}": F.conv(F.hex(F.substring("mark", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(8)}
+    sets = every.filter("size > 0").groupBy("sid", "size").agg(F.min("doc").alias("doc"), F.min("mark").alias("mark"))
+    sets = written(sets.withColumns(longs).drop("mark"), "sets")
     shared = found.filter("kind = 1").select("key", F.col("id").alias("sid"))
     lead = shared.groupBy("key").agg(F.min("sid").alias("a"))
     stars = written(shared.join(lead, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct(), "pairs")
-    members = stars.select(F.col("a").alias("sid")).union(stars.select(F.col("b").alias("sid"))).distinct()
-    texts = written(_texts(members.join(sets, "sid"), docs, k), "texts")
-    links = written(_verified(stars, texts, k, num, den), "links")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.sid")).join(sets.alias("y"), F.col("b") == F.col("y.sid"))
+        return both.filter(_near("x", "y", num, den)).select("a", "b")
+
+    links = written(_verified(written(close(stars), "near"), sets, docs, k, num, den), "links")
     labels = written(components(links), "labels")
 
     # blocks that several components still share: their members meet each other, not only the representative
@@ -182,13 +192,12 @@ def jaccard_components(
     placed = shared.distinct().join(labels, shared["sid"] == labels["node"], "left").select("key", "sid", at.alias("label"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sid").alias("lead"), F.count("*").alias("n"))
     mixed = mixed.filter("low <> high and n > 2").select("key", "lead")
-    sized = texts.select("sid", "size")
-    open_ = written(placed.join(mixed, "key").filter("sid <> lead").join(sized, "sid").select("key", "sid", "label", "size"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    fits = (F.col("x.size") * den >= F.col("y.size") * num) & (F.col("y.size") * den >= F.col("x.size") * num)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label")) & fits)
-    rest = rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    more = written(_verified(rest, texts, k, num, den), "links")
+    rest = placed.join(mixed, "key").filter("sid <> lead").select("key", "sid", "label")
+    rest = written(rest.join(sets, "sid"), "open")
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label"))
+    rest = rest.alias("x").join(rest.alias("y"), meet & _near("x", "y", num, den))
+    rest = written(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "near")
+    more = written(_verified(rest, sets, docs, k, num, den), "links")
     if more.limit(1).count():
         labels = written(components(links.union(more)), "labels")
 

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from textloom.llm.wordbatch import U, slices
 
 #: kind 0: entries to be compared; 1: ids of a key that are known to be several; from 2: rows that pass through.
-PACKED = "bucket int, kind int, keys binary, ids binary, sizes binary"
-ROWS = "kind int, key long, id long, size int"
+PACKED = "bucket int, kind int, keys binary, ids binary, sizes binary, marks binary"
+ROWS = "kind int, key long, id long, size int, mark binary"
 
 
 def _bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays(
         [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
-        names=["bucket", "kind", "keys", "ids", "sizes"],
+        names=["bucket", "kind", "keys", "ids", "sizes", "marks"],
     )
 
 
@@ -58,7 +58,7 @@ def repeated_keys(
     """Rows (kind 1, key, id) of each key with two or more ids, and the rows that ``entries`` passes through (kind 2 on).
 
     ``entries(batch)`` gives (keys, ids, passed): 64-bit keys, signed ids and a
-    list of (kind, key, id, size) arrays.  An id that holds a key twice counts
+    list of (kind, keys, ids, sizes, marks): arrays, and bytes of equal length for each row.  An id that holds a key twice counts
     once.  A key may be returned under one id several times.
     """
 
@@ -70,14 +70,14 @@ def repeated_keys(
             k, i, many = several(np.concatenate(keys), np.concatenate(ids))
             rows = []
             if many.any():
-                rows.append((turn % buckets, 1, k[many].tobytes(), i[many].tobytes(), b""))
+                rows.append((turn % buckets, 1, k[many].tobytes(), i[many].tobytes(), b"", b""))
                 turn += 1
             first = _runs(k)
             k, i = k[first], i[first]
             starts = _bucket_starts(k, buckets)
             for b in np.flatnonzero(np.diff(starts)):
                 s = slice(starts[b], starts[b + 1])
-                rows.append((int(b), 0, k[s].tobytes(), i[s].tobytes(), b""))
+                rows.append((int(b), 0, k[s].tobytes(), i[s].tobytes(), b"", b""))
             if rows:
                 yield _packed(rows)
 
@@ -85,7 +85,7 @@ def repeated_keys(
             k, i, passed = entries(batch)
             if passed:
                 turn += 1
-                yield _packed([(turn % buckets, kind, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes(), n.astype(np.int32).tobytes()) for kind, a, b, n in passed])
+                yield _packed([(turn % buckets, kind, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), marks) for kind, a, b, n, marks in passed])
             keys.append(k)
             ids.append(i)
             held += batch.nbytes
@@ -98,13 +98,13 @@ def repeated_keys(
     def settle(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = [], []
         for batch in groups:
-            for kind, k, i, n in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+            for kind, k, i, n, m in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3, 4, 5)), strict=True):
                 if kind == 0:
                     keys.append(np.frombuffer(k, U))
                     ids.append(np.frombuffer(i, np.int64))
                 else:
                     k = np.frombuffer(k, np.int64)
-                    yield _plain(kind, k, np.frombuffer(i, np.int64), np.frombuffer(n, np.int32) if n else np.zeros(len(k), np.int32))
+                    yield _plain(kind, k, np.frombuffer(i, np.int64), np.frombuffer(n, np.int32) if n else np.zeros(len(k), np.int32), m)
         if keys:
             k, i, many = several(np.concatenate(keys), np.concatenate(ids))
             if many.any():
@@ -114,8 +114,10 @@ def repeated_keys(
     return packed.groupBy("bucket").applyInArrow(settle, ROWS)
 
 
-def _plain(kind: int, k: np.ndarray, i: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _plain(kind: int, k: np.ndarray, i: np.ndarray, n: np.ndarray, marks: bytes = b"") -> pa.RecordBatch:
+    width = len(marks) // max(1, len(k))
+    mark = pa.array([marks[j : j + width] for j in range(0, len(marks), width)], pa.binary()) if marks else pa.nulls(len(k), pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(i), pa.array(n)],
-        names=["kind", "key", "id", "size"],
+        [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(i), pa.array(n), mark],
+        names=["kind", "key", "id", "size", "mark"],
     )
