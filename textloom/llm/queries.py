@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.llm.jaccard_join import jaccard_components
 from textloom.llm.lm_score import lm_scores
+from textloom.llm.mixing import mixed
+from textloom.llm.quality import quality_scores
+from textloom.llm.secret_scan import secret_scan
 from textloom.llm.substring_dedup import substring_dedup
 
 
@@ -19,17 +22,34 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_list").alias("spans"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op4_secret_scan": op4_secret_scan,
+    "op5_mixing": op5_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
 }
 ORACLES: dict[str, str] = {}
