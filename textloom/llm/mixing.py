@@ -10,7 +10,7 @@ at a time move along the vector that leaves both totals unchanged (the null
 space of a 2 x 3 matrix) until one of them reaches 0 or 1, so at most two are
 left.  Groups are bounded: a source of any size is dealt to groups by hash,
 what they leave is gathered into new groups, and so on, until one group a
-source is left.  Its ten smallest undecided documents stay out of the flight;
+source is left.  Ten of its documents, evenly spread by size, stay out of the flight;
 the landing decides them with the at most two that the flight leaves, as the
 subset of all 4096 at most with the least error in tokens and documents.
 
@@ -57,10 +57,11 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple = WEIGHTS, most:
 
 
 def flight(p: np.ndarray, x: np.ndarray, rng: np.random.Generator, leave: int = 0) -> np.ndarray:
-    """Move probabilities to 0 or 1 with sums of p and of p * x unchanged; at most two stay between, and the last ``leave``."""
+    """Move probabilities to 0 or 1 with sums of p and of p * x unchanged; at most two stay between, and ``leave`` evenly spread ones."""
     p = p.copy()
     todo = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9)).tolist()
-    todo = todo[: max(0, len(todo) - leave)]
+    stay = set(np.linspace(0, len(todo) - 1, min(leave, len(todo))).astype(int).tolist())
+    todo = [unit for turn, unit in enumerate(todo) if turn not in stay]
     draws = rng.random(len(todo) + 1)
     held: list[int] = []
     for turn, unit in enumerate(todo):
