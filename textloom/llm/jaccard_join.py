@@ -78,10 +78,21 @@ def block_numbers(shingles: np.ndarray, m: int) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """512 bits; each shingle flips one, so two sketches differ in at most as many bits as the sets in members."""
-    out = np.zeros(512, np.uint8)
-    np.bitwise_xor.at(out, (mix(shingles) & U(511)).astype(np.int64), 1)
-    return np.packbits(out).tobytes()
+    """Parity bits, one flipped by each shingle: 512, then as many as twice the set's size needs (a power of 2).
+
+    Two sketches of one width differ in at most as many bits as the sets do in members; a wider one folds to a narrower.
+    """
+    width = max(512, 1 << (2 * max(1, len(shingles)) - 1).bit_length())
+    bits = (np.bincount((mix(shingles) & U(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)
+    return np.packbits(bits.reshape(-1, 512).sum(0) & 1).tobytes() + np.packbits(bits).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Bits in which the wide parts of two sketches differ, at the narrower one's width."""
+    x, y = np.frombuffer(a, np.uint8)[64:], np.frombuffer(b, np.uint8)[64:]
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def join_keys(shingles: np.ndarray, num: int = NUMERATOR, den: int = DENOMINATOR) -> np.ndarray:
@@ -117,7 +128,7 @@ def _entries(text: str, doc: str, k: int, num: int, den: int):
         every = [join_keys(s, num, den) for s in sets if len(s)]
         ids = np.repeat(names[sizes > 0], [len(x) for x in every])
         keys = np.concatenate(every) if every else np.zeros(0, U)
-        return keys, ids, [(2, names, docs, sizes, b"".join(sketch(s) for s in sets))]
+        return keys, ids, [(2, names, docs, sizes, [sketch(s) for s in sets])]
 
     return entries
 
@@ -140,8 +151,8 @@ def _texts(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int) -> DataFr
 def _near(a: str, b: str, num: int, den: int) -> Column:
     """Whether sizes and sketches of two rows leave Jaccard >= num/den possible."""
     n, m = F.col(f"{a}.size"), F.col(f"{b}.size")
-    apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(8)), F.lit(0))
-    return (n * den >= m * num) & (m * den >= n * num) & (apart * (den + num) <= (n + m) * (den - num))
+    bits = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(8)), F.lit(0))
+    return (n * den >= m * num) & (m * den >= n * num) & (bits * (den + num) <= (n + m) * (den - num))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -160,7 +171,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
                 good[i] = den * shared >= num * (len(x) + len(y) - shared)
             yield batch.select([0, 1]).filter(pa.array(good))
 
-    return both.mapInArrow(count, "a long, b long")
+    with sized_filters(docs.sparkSession):
+        return written(both.mapInArrow(count, "a long, b long"), "links")
 
 
 def jaccard_components(
@@ -175,16 +187,27 @@ def jaccard_components(
     )
     longs = {f"s{i}": F.conv(F.hex(F.substring("mark", 8 * i + 1, 8)), 16, -10).cast("long") for i in range(8)}
     sets = every.filter("size > 0").groupBy("sid", "size").agg(F.min("doc").alias("doc"), F.min("mark").alias("mark"))
-    sets = written(sets.withColumns(longs).drop("mark"), "sets")
+    sets = written(sets.withColumns(longs), "sets")
+    marks, sets = sets.select("sid", "size", "mark"), sets.drop("mark")
     shared = found.filter("kind = 1").select("key", F.col("id").alias("sid"))
     lead = shared.groupBy("key").agg(F.min("sid").alias("a"))
     stars = written(shared.join(lead, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct(), "pairs")
 
-    def close(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.alias("x"), F.col("a") == F.col("x.sid")).join(sets.alias("y"), F.col("b") == F.col("y.sid"))
-        return both.filter(_near("x", "y", num, den)).select("a", "b")
+    def wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m, x, y = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
+            good = [apart(p, q) * (den + num) <= (i + j) * (den - num) for i, j, p, q in zip(n, m, x, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    links = written(_verified(written(close(stars), "near"), sets, docs, k, num, den), "links")
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs whose wide sketches leave the wanted similarity possible."""
+        x = marks.select(F.col("sid").alias("a"), F.col("size").alias("n"), F.col("mark").alias("x"))
+        y = marks.select(F.col("sid").alias("b"), F.col("size").alias("m"), F.col("mark").alias("y"))
+        return written(pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(wide, "a long, b long"), "near")
+
+    near = stars.join(sets.alias("x"), F.col("a") == F.col("x.sid")).join(sets.alias("y"), F.col("b") == F.col("y.sid"))
+    near = near.filter(_near("x", "y", num, den)).select("a", "b")
+    links = _verified(close(near), sets, docs, k, num, den)
     labels = written(components(links), "labels")
 
     # blocks that several components still share: their members meet each other, not only the representative
@@ -196,8 +219,8 @@ def jaccard_components(
     rest = written(rest.join(sets, "sid"), "open")
     meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.sid") < F.col("y.sid")) & (F.col("x.label") != F.col("y.label"))
     rest = rest.alias("x").join(rest.alias("y"), meet & _near("x", "y", num, den))
-    rest = written(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), "near")
-    more = written(_verified(rest, sets, docs, k, num, den), "links")
+    rest = close(rest.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct())
+    more = _verified(rest, sets, docs, k, num, den)
     if more.limit(1).count():
         labels = written(components(links.union(more)), "labels")
 

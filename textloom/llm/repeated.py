@@ -44,6 +44,10 @@ def several(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys, ids, np.repeat(counts > 1, counts)
 
 
+def _joined(marks: list[bytes]) -> bytes:
+    return np.array([len(m) for m in marks], np.int32).tobytes() + b"".join(marks)
+
+
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True))
     return pa.RecordBatch.from_arrays(
@@ -58,7 +62,7 @@ def repeated_keys(
     """Rows (kind 1, key, id) of each key with two or more ids, and the rows that ``entries`` passes through (kind 2 on).
 
     ``entries(batch)`` gives (keys, ids, passed): 64-bit keys, signed ids and a
-    list of (kind, keys, ids, sizes, marks): arrays, and bytes of equal length for each row.  An id that holds a key twice counts
+    list of (kind, keys, ids, sizes, marks): arrays, and a list of bytes.  An id that holds a key twice counts
     once.  A key may be returned under one id several times.
     """
 
@@ -85,7 +89,7 @@ def repeated_keys(
             k, i, passed = entries(batch)
             if passed:
                 turn += 1
-                yield _packed([(turn % buckets, kind, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), marks) for kind, a, b, n, marks in passed])
+                yield _packed([(turn % buckets, kind, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes(), n.astype(np.int32).tobytes(), _joined(marks)) for kind, a, b, n, marks in passed])
             keys.append(k)
             ids.append(i)
             held += batch.nbytes
@@ -115,8 +119,10 @@ def repeated_keys(
 
 
 def _plain(kind: int, k: np.ndarray, i: np.ndarray, n: np.ndarray, marks: bytes = b"") -> pa.RecordBatch:
-    width = len(marks) // max(1, len(k))
-    mark = pa.array([marks[j : j + width] for j in range(0, len(marks), width)], pa.binary()) if marks else pa.nulls(len(k), pa.binary())
+    mark = pa.nulls(len(k), pa.binary())
+    if marks:
+        ends = np.frombuffer(marks, np.int32, len(k)).cumsum() + 4 * len(k)
+        mark = pa.array([marks[a:b] for a, b in zip(np.append(4 * len(k), ends[:-1]), ends, strict=True)], pa.binary())
     return pa.RecordBatch.from_arrays(
         [pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(i), pa.array(n), mark],
         names=["kind", "key", "id", "size", "mark"],

@@ -44,14 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def sized_filters(spark: SparkSession):
-    """Within, Spark may filter a join's large side by a Bloom filter of the small one, whose size it checks first."""
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "0b")
+    """For joins that carry texts.
+
+    Spark may filter the large side by a Bloom filter of the small one, whose
+    size it checks first, and passes texts to Python in small batches.
+    """
+    wanted = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0b", "spark.sql.execution.arrow.maxRecordsPerBatch": "500"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def text_bytes(df: DataFrame, column: str = "text") -> int:
