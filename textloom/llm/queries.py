@@ -10,7 +10,11 @@ from textloom.llm.lm_score import lm_scores
 from textloom.llm.mixing import mixed
 from textloom.llm.quality import quality_scores
 from textloom.llm.secret_scan import secret_scan
+from textloom.llm.shared import new_path
 from textloom.llm.substring_dedup import substring_dedup
+from textloom.llm.url_rules import url_verdicts
+from textloom.llm.warc import ORACLE as WARC_ORACLE
+from textloom.llm.warc import captures, page_captures, read_warc, write_warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +26,16 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path)
+    return page_captures(captures(read_warc(spark, path, payloads=False)))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", F.col("span_list").alias("spans"))
@@ -46,10 +60,12 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_url_rules": op2_url_rules,
+    "op3_warc": op3_warc,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc": WARC_ORACLE}
