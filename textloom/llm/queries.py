@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.hilbert import neighbours
 from textloom.llm.jaccard_join import jaccard_components
 from textloom.llm.lm_score import lm_scores
 from textloom.llm.mixing import mixed
@@ -50,6 +51,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
 }
