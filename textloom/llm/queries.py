@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm.decontaminate import leaks
 from textloom.llm.hilbert import neighbours
 from textloom.llm.jaccard_join import jaccard_components
 from textloom.llm.lm_score import lm_scores
@@ -47,6 +48,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_secret_scan": op4_secret_scan,
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,

@@ -144,18 +144,20 @@ def _scan(table: list, threshold: float, redact: bool):
             cols = list(zip(*rows, strict=True))
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:4]), *(pa.array(c, pa.string()) for c in cols[4:])],
-                names=["doc_id", "spans", "n_assign", "n_access", "n_hex", "base_sha256", "span_list", "redacted"],
+                [batch.column(0), pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:4]), *(pa.array(c, pa.string()) for c in cols[4:]), *batch.columns[2:]],
+                names=["doc_id", "spans", "n_assign", "n_access", "n_hex", "base_sha256", "span_list", "redacted", *batch.schema.names[2:]],
             )
 
     return scan
 
 
-def secret_scan(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, redact: bool = False) -> DataFrame:
-    """One row per document: its secrets' spans (code points, end exclusive), counts, digests and, if asked, the redacted text."""
-    docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def secret_scan(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, redact: bool = False, carry: tuple = ()) -> DataFrame:
+    """One row per document: its secrets' spans (code points, end exclusive), counts, digests, if asked the redacted text, and the ``carry`` columns."""
+    docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     ordinary, secret = np.zeros(N * N), np.zeros(N * N)
     counted = docs.select("text").mapInArrow(_counts, "pair long, ordinary long, secret long")
     for pair, a, b in counted.groupBy("pair").agg(F.sum("ordinary"), F.sum("secret")).collect():  # N * N rows at most
         ordinary[pair], secret[pair] = max(0, a - b), b
-    return docs.mapInArrow(_scan(ratio_table(ordinary, secret).tolist(), threshold, redact), SCANNED)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    out = docs.mapInArrow(_scan(ratio_table(ordinary, secret).tolist(), threshold, redact), SCANNED + kept)
+    return out.withColumnsRenamed({f"carry_{c}": c for c in carry})
