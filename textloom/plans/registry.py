@@ -2,5 +2,38 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder, read lazily."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(name: str, oracle: str | None = None):
+    """Register ``build(tables) -> DataFrame`` under a name, with equivalent SQL where there is any."""
+
+    def register(build: Callable[[Tables], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"two queries named {name}")
+        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return build
+
+    return register
+
+
+for _family in ("cohorts", "joins", "matching", "ranking", "classification", "evidence", "web", "ingest", "streams", "relational"):
+    importlib.import_module(f"textloom.plans.{_family}")
