@@ -52,9 +52,11 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     keys = rows.filter(F.col("bytes") >= LEAST).select("page_id", "digest")
     lead = keys.groupBy("digest").agg(F.max("page_id").alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
     revisits = keys.join(lead, "digest").filter(~F.col("page_id").eqNullSafe(F.col("lead"))).distinct()
-    revisits = revisits.select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "lead", F.lit(True).alias("again"))
-    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
+    # one key for the join and the window, so that payloads are shuffled once
+    key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest")
+    revisits = revisits.select(key.alias("key"), "lead", F.lit(True).alias("again"))
+    rows = rows.withColumn("key", key).join(revisits, "key", "left")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("url")))
     again = F.col("again").isNotNull()
     own, digest = _uuid(F.lit("capture"), F.col("page_id"), F.col("digest"), F.col("nth")), F.concat(F.lit("sha1:"), F.col("digest"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
