@@ -1 +1,234 @@
-"""Queries."""
+"""Queries of the text-matching family."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.operators import matching as M
+from textloom.operators.cohorts import readings  # noqa: F401
+from textloom.plans.registry import query
+
+#: the SQL forms of the matching normalisation; ASCII classes keep both engines alike
+NORM = "trim(regexp_replace(lower(translate(text, '‘’‚‛′´`“”„‟″«»‐‑‒–—―−', '''''''''''''''\"\"\"\"\"\"\"-------')), '[\\s  ]+', ' ', 'g'))"
+WORDS = f"regexp_extract_all(regexp_replace({NORM}, '([0-9a-z_])- ([0-9a-z_])', '\\1\\2', 'g'), '\\w+')"
+SHORT = "n_chars < 3000"
+
+
+def shingle_sql(where: str = SHORT) -> str:
+    runs = "list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))"
+    return f"t AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE {where}), s AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {runs} END AS sh FROM t)"
+
+
+@query("N1_normalize", f"SELECT doc_id, md5({NORM}) AS form FROM documents")
+def normalize(t):
+    return t.documents.select("doc_id", F.md5(X.normalize_ascii(F.col("text"))).alias("form"))
+
+
+@query("N1_normalize_unicode")
+def normalize_unicode(t):
+    return t.documents.select("doc_id", F.md5(X.normalize_for_matching("text")).alias("form"))
+
+
+@query("N2_fingerprint", f"SELECT sha256({NORM}) AS fingerprint, count(*) AS copies, min(doc_id) AS cluster FROM documents GROUP BY 1")
+def fingerprint(t):
+    return t.documents.groupBy(X.fingerprint(F.col("text")).alias("fingerprint")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("cluster"))
+
+
+@query("N3_card_fingerprint", f"SELECT doc_id, CASE WHEN n_chars < 200 THEN sha256('cite-line' || chr(0) || lower(source)) ELSE sha256({NORM}) END AS fingerprint FROM documents")
+def card_fingerprint(t):
+    level = F.when(F.col("n_chars") < 200, "CITE_ONLY").otherwise("FULL")
+    return t.documents.select("doc_id", X.card_fingerprint(F.col("text"), F.col("source"), level).alias("fingerprint"))
+
+
+@query("N4_cutter_mark", "WITH b AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text || ' // AB' || chr(10) || '  ' WHEN item_id % 3 = 1 THEN text || ' http://x' ELSE text END AS body FROM benchmark), m AS (SELECT item_id, regexp_extract(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '')[-1], '(^|[^:])//[ ]*([A-Za-z0-9]+)[ ]*$', 2) AS mark FROM b) SELECT item_id, CASE WHEN mark <> '' AND length(mark) <= 20 THEN mark END AS mark FROM m")
+def cutter_mark(t):
+    third = F.col("item_id") % 3
+    body = F.when(third == 0, F.concat("text", F.lit(" // AB\n  "))).when(third == 1, F.concat("text", F.lit(" http://x"))).otherwise(F.col("text"))
+    return t.benchmark.select("item_id", X.cutter_mark(body).alias("mark"))
+
+
+@query("N5_matching_words", f"SELECT doc_id, len({WORDS}) AS n, md5(array_to_string({WORDS}, ' ')) AS words FROM documents")
+def matching_words(t):
+    w = X.matching_words(F.col("text"))
+    return t.documents.select("doc_id", F.size(w).cast("bigint").alias("n"), F.md5(F.array_join(w, " ")).alias("words"))
+
+
+@query("N6_shingles", f"WITH {shingle_sql()} SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS digest FROM s")
+def shingles(t):
+    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text")
+    return s.select(F.col("id").alias("doc_id"), F.size("shingles").cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort("shingles"), "|")).alias("digest"))
+
+
+SIG = "list_transform(generate_series(0, 7), lambda i: list_min(list_transform(sh, lambda x: ('0x' || substr(md5(CAST(i AS VARCHAR) || '|' || x), 1, 8))::BIGINT)))"
+
+
+@query("N7_minhash_md5", f"WITH {shingle_sql('n_chars < 1500')} SELECT doc_id, array_to_string({SIG}, ',') AS signature FROM s WHERE len(sh) > 0")
+def minhash_md5(t):
+    s = M.bodies(t.documents.filter("n_chars < 1500"), "doc_id", "text").filter(F.size("shingles") > 0)
+    return s.select(F.col("id").alias("doc_id"), F.array_join(F.transform(M.signature_column(F.col("shingles"), 8), lambda x: x.cast("string")), ",").alias("signature"))
+
+
+@query("N8_band_candidates", f"WITH {shingle_sql('n_chars < 1500')}, g AS (SELECT doc_id, {SIG} AS sig FROM s WHERE len(sh) > 0), k AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS band, sig FROM g), b AS (SELECT doc_id, band, sig[band * 2 + 1] AS x, sig[band * 2 + 2] AS y FROM k), l AS (SELECT band, x, y, min(doc_id) AS a FROM b GROUP BY 1, 2, 3) SELECT DISTINCT a, doc_id AS b FROM b JOIN l USING (band, x, y) WHERE doc_id <> a")
+def band_candidates(t):
+    s = M.bodies(t.documents.filter("n_chars < 1500"), "doc_id", "text").filter(F.size("shingles") > 0)
+    keyed = s.select("id", F.explode(M.band_keys(M.signature_column(F.col("shingles"), 8), 4, 2)).alias("key"))
+    lead = keyed.groupBy("key").agg(F.min("id").alias("a"))
+    return keyed.join(lead, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+
+
+def near_sql() -> str:
+    return f"""{shingle_sql()}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+p AS (SELECT a, b, shared, x.n, y.n AS m FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"""
+
+
+def shingle_pairs(t):
+    """Every pair of short documents with a shingle in common. Shingles of many documents make many pairs, so this census is for bounded groups."""
+    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text")
+    e = s.select("id", F.explode("shingles").alias("g"))
+    c = e.alias("x").join(e.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"))
+    n = s.select("id", F.size("shingles").alias("n"))
+    return c.join(n.select(F.col("id").alias("a"), "n"), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
+
+
+SHAPE = "CASE WHEN shared = 0 THEN 'nothing' WHEN shared * 100 >= greatest(n, m) * 98 THEN 'identical' WHEN shared * 10 >= least(n, m) * 9 AND least(n, m) * 3 < greatest(n, m) THEN 'contained, small' WHEN shared * 10 >= least(n, m) * 9 THEN 'contained, large' WHEN shared * 10 >= least(n, m) * 3 THEN 'overlapping' ELSE 'a little' END"
+
+
+@query("N14_pair_shapes", f"WITH {near_sql()} SELECT a, b, shared, {SHAPE} AS shape FROM p")
+def pair_shapes(t):
+    return shingle_pairs(t).select("a", "b", "shared", M.pair_shape(F.col("shared"), F.col("n"), F.col("m")).alias("shape"))
+
+
+@query("N15_rule_verdicts", f"WITH {near_sql()}, q AS (SELECT {SHAPE} AS shape FROM p) SELECT CASE WHEN shape IN ('identical', 'contained, large') THEN 'same' WHEN shape IN ('nothing', 'a little') THEN 'different' ELSE 'person' END AS verdict, count(*) AS n FROM q GROUP BY 1")
+def rule_verdicts(t):
+    shape = M.pair_shape(F.col("shared"), F.col("n"), F.col("m"))
+    return shingle_pairs(t).groupBy(M.verdict(shape).alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("A19_shape_census", f"WITH {near_sql()} SELECT {SHAPE} AS shape, count(*) AS pairs, CAST(floor(median(shared)) AS BIGINT) AS median_shared FROM p GROUP BY 1")
+def shape_census(t):
+    rows = shingle_pairs(t).withColumn("shape", M.pair_shape(F.col("shared"), F.col("n"), F.col("m")))
+    return rows.groupBy("shape").agg(F.count("*").alias("pairs"), F.floor(F.median("shared")).alias("median_shared"))
+
+
+@query("U7_jaccard_containment", f"WITH {near_sql()} SELECT a, b, round(shared * 1.0 / (n + m - shared), 6) AS jaccard, round(shared * 1.0 / least(n, m), 6) AS containment FROM p")
+def jaccard_containment(t):
+    s, n, m = F.col("shared"), F.col("n"), F.col("m")
+    return shingle_pairs(t).select("a", "b", F.round(s / (n + m - s), 6).alias("jaccard"), F.round(s / F.least(n, m), 6).alias("containment"))
+
+
+@query("N9_copy_pairs", f"WITH {near_sql()} SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8")
+def copy_pairs(t):
+    return shingle_pairs(t).filter("shared * 10 >= (n + m - shared) * 8").select("a", "b")
+
+
+@query("N13_components", f"WITH RECURSIVE {near_sql()}, l AS (SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), c AS (SELECT doc_id AS id, doc_id AS label FROM s UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.id) SELECT id, min(label) AS cluster FROM c GROUP BY 1")
+def components(t):
+    links = shingle_pairs(t).filter("shared * 10 >= (n + m - shared) * 8").select("a", "b")
+    return M.min_label_components(t.documents.filter(SHORT).select(F.col("doc_id").alias("id")), links).withColumnRenamed("component", "cluster")
+
+
+@query("N9_copy_clusters_minhash")
+def copy_clusters(t):
+    return M.copy_clusters(t.documents, "doc_id", "text")
+
+
+@query("N10_ordered_clusters")
+def ordered_clusters(t):
+    sets = M.bodies(t.documents, "doc_id", "text")
+    pairs = M.similar_pairs(sets, M.candidates(sets, M.shake_signature(F.col("shingles"))), (3, 10))
+    return M.ordered_clusters(pairs, sets)
+
+
+@query("N11_containment", f"WITH {near_sql()} SELECT a, b, n <= m AS first_is_part FROM p WHERE shared * 10 >= least(n, m) * 9 AND shared * 10 < (n + m - shared) * 8")
+def containment(t):
+    rows = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 9 and shared * 10 < (n + m - shared) * 8")
+    return rows.select("a", "b", (F.col("n") <= F.col("m")).alias("first_is_part"))
+
+
+@query("J5_end_shingle_join", f"WITH {shingle_sql()}, o AS (SELECT doc_id, unnest(list_distinct([sh[1], sh[-1]])) AS g, len(sh) AS n FROM s WHERE len(sh) > 0), e AS (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM s) SELECT DISTINCT o.doc_id AS part, e.doc_id AS holder FROM o JOIN e ON o.g = e.g AND o.doc_id <> e.doc_id AND o.n * 10 >= e.n AND o.n <= e.n")
+def end_shingle_join(t):
+    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text").filter(F.size("shingles") > 0)
+    ends = s.select("id", F.size("shingles").alias("n"), F.explode(F.array_distinct(F.array(F.element_at("shingles", 1), F.element_at("shingles", -1)))).alias("g"))
+    every = s.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
+    j = ends.alias("o").join(every.alias("e"), F.col("o.g") == F.col("e.g"))
+    return j.filter("o.id <> e.id and o.n * 10 >= e.n and o.n <= e.n").select(F.col("o.id").alias("part"), F.col("e.id").alias("holder")).distinct()
+
+
+@query("N16_shared_word_mask", f"WITH {near_sql()}, x AS (SELECT a, b FROM p WHERE shared * 10 >= least(n, m) * 5), y AS (SELECT x.a, x.b, s.w, o.sh FROM x JOIN s ON s.doc_id = x.a JOIN s o ON o.doc_id = x.b WHERE len(s.w) >= 5), i AS (SELECT a, b, unnest(generate_series(1, len(w) - 4)) AS at, w, sh FROM y), h AS (SELECT DISTINCT a, b, at + d AS word FROM i, (SELECT unnest([0, 1, 2, 3, 4]) AS d) WHERE list_contains(sh, array_to_string(w[at:at+4], ' '))) SELECT a, b, count(*) AS shared_words FROM h GROUP BY 1, 2")
+def shared_word_mask(t):
+    pairs = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 5").select("a", "b")
+    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text")
+    j = pairs.join(s.select(F.col("id").alias("a"), "words"), "a").join(s.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b").filter(F.size("words") >= 5)
+    starts = F.filter(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.array_contains("other", F.array_join(F.slice("words", i, 5), " ")))
+    hit = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + 4))))
+    return j.select("a", "b", F.size(hit).cast("bigint").alias("shared_words")).filter("shared_words > 0")
+
+
+@query("N17_short_cite_keys", "SELECT c_custkey, regexp_replace(trim(regexp_replace(regexp_replace(lower(c_name || ', 20' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') || '!'), '[^0-9a-z ]+', ' ', 'g'), ' +', ' ', 'g')), '\\b(19|20)([0-9]{2})\\b', '\\2', 'g') AS cite_key FROM customer")
+def short_cite_keys(t):
+    cite = F.concat("c_name", F.lit(", 20"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit("!"))
+    return t.customer.select("c_custkey", X.short_cite_key(cite).alias("cite_key"))
+
+
+BODY = "string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' ')"
+
+
+@query("N18_anchors", f"WITH b AS (SELECT item_id, {BODY} AS w FROM benchmark) SELECT item_id, array_to_string(w[1:4], ' ') AS opening, array_to_string(w[-4:], ' ') AS closing FROM b WHERE len(w) >= 8")
+def anchors(t):
+    w = F.split(X.tag_words(F.col("text")), " ")
+    short = F.concat(F.slice(w, 1, 4), F.array(F.lit("...")), F.slice(w, -4, 4))
+    b = t.benchmark.filter(F.size(w) >= 8).select("item_id", M.abbreviation_anchor(short).alias("a"))
+    return b.select("item_id", F.array_join("a.opening", " ").alias("opening"), F.array_join("a.closing", " ").alias("closing"))
+
+
+@query("N19_link_abbreviated", f"WITH b AS (SELECT item_id, item_id % 7 AS key, {BODY} AS w FROM benchmark) SELECT s.item_id AS id, min(f.item_id) AS cluster FROM b s JOIN b f USING (key) WHERE len(s.w) >= 8 AND f.w[1:4] = s.w[1:4] AND f.w[-4:] = s.w[-4:] GROUP BY 1")
+def link_abbreviated(t):
+    w = F.split(X.tag_words(F.col("text")), " ")
+    b = t.benchmark.select("item_id", (F.col("item_id") % 7).alias("key"), w.alias("words"))
+    short = b.filter(F.size("words") >= 8).select(F.col("item_id").alias("id"), "key", F.slice("words", 1, 4).alias("opening"), F.slice("words", -4, 4).alias("closing"))
+    return M.link_abbreviated(short, b.select("key", "words", F.col("item_id").alias("cluster"), F.lit(1).alias("copies")))
+
+
+@query("N20_unmatched_groups", f"WITH b AS (SELECT item_id, {BODY} AS w FROM benchmark), k AS (SELECT item_id % 5 || '|' || w[1] || '|' || w[-1] AS bucket, item_id FROM b) SELECT bucket, count(*) AS members, min(item_id) AS first FROM k GROUP BY 1")
+def unmatched_groups(t):
+    w = F.split(X.tag_words(F.col("text")), " ")
+    bucket = F.concat_ws("|", (F.col("item_id") % 5).cast("string"), F.element_at(w, 1), F.element_at(w, -1))
+    return t.benchmark.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("members"), F.min("item_id").alias("first"))
+
+
+@query("N21_holders_of_two", f"WITH {near_sql()}, h AS (SELECT CASE WHEN n >= m THEN a ELSE b END AS holder, CASE WHEN n >= m THEN b ELSE a END AS part FROM p WHERE shared * 10 >= least(n, m) * 9) SELECT holder, count(DISTINCT part) AS parts FROM h GROUP BY 1 HAVING count(DISTINCT part) >= 2")
+def holders_of_two(t):
+    rows = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 9")
+    larger = F.col("n") >= F.col("m")
+    h = rows.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("holder"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("part"))
+    return h.groupBy("holder").agg(F.count_distinct("part").alias("parts")).filter("parts >= 2")
+
+
+RUN = 12
+LOWER_WORDS = "list_filter(string_split_regex(lower(text), '[^0-9a-z]+'), lambda x: x <> '')"
+
+
+@query("N23_quoted_runs", f"""WITH d AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents), b AS (SELECT item_id, {LOWER_WORDS} AS w FROM benchmark),
+x AS (SELECT doc_id, i AS at, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 12)), y AS (SELECT item_id, i AS bt, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM b WHERE len(w) >= 12)),
+j AS (SELECT doc_id, item_id, at, bt, at - row_number() OVER (PARTITION BY doc_id, item_id, at - bt ORDER BY at) AS island, at - bt AS diag FROM x JOIN y USING (k))
+SELECT doc_id, item_id, count(*) + 11 AS words, min(at) AS start, min(bt) AS source_start FROM j GROUP BY doc_id, item_id, diag, island""")
+def quoted_runs(t):
+    d = t.documents.select(F.col("doc_id").alias("id"), X.words(F.col("text")).alias("words"))
+    b = t.benchmark.select(F.col("item_id").alias("id"), X.words(F.col("text")).alias("words"))
+    return M.quoted_runs(d, b, RUN).withColumnsRenamed({"text_id": "doc_id", "source_id": "item_id"})
+
+
+@query("N24_marker_census", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN length(line) > 60 THEN 'long' WHEN regexp_matches(line, '^[A-Z0-9 !.,]+$') THEN 'capitals' WHEN contains(line, '|') THEN 'table' ELSE 'text' END AS form, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM l GROUP BY 1")
+def marker_census(t):
+    line = F.col("line")
+    form = F.when(F.trim(line) == "", "blank").when(F.length(line) > 60, "long").when(line.rlike("^[A-Z0-9 !.,]+$"), "capitals").when(line.contains("|"), "table").otherwise("text")
+    lines = t.documents.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy(form.alias("form")).agg(F.count("*").alias("lines"), F.count_distinct("doc_id").alias("documents"))
+
+
+@query("A42_cluster_evaluation", f"WITH {near_sql()}, k AS (SELECT a, b, shared * 10 >= (n + m - shared) * 8 AS found, shared * 10 >= least(n, m) * 7 AS truth FROM p) SELECT count(*) FILTER (found AND truth) AS tp, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn FROM k")
+def cluster_evaluation(t):
+    rows = shingle_pairs(t).select((F.expr("shared * 10 >= (n + m - shared) * 8")).alias("found"), F.expr("shared * 10 >= least(n, m) * 7").alias("truth"))
+    return rows.agg(F.count_if(F.expr("found and truth")).alias("tp"), F.count_if(F.expr("found and not truth")).alias("fp"), F.count_if(F.expr("not found and truth")).alias("fn"))
