@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.shared import small_batches
 from textloom.llm.wordbatch import slices, split_words
 
 PASSAGE = 48
@@ -201,6 +202,7 @@ def _apply(model):
 
 def quality_scores(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", sample: int = SAMPLE, carry: tuple = ()) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted and the ``carry`` columns."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     model = fit_quality(docs.select("doc_id", "text").dropna(subset=["doc_id"]), labels, sample)
     kept = docs.columns if carry else ["doc_id", "text"]

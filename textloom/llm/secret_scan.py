@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.shared import small_batches
 from textloom.llm.wordbatch import slices, text_arrays
 
 #: fixed patterns, with the least length of the group that counts
@@ -153,6 +154,7 @@ def _scan(table: list, threshold: float, redact: bool):
 
 def secret_scan(df: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, redact: bool = False, carry: tuple = ()) -> DataFrame:
     """One row per document: its secrets' spans (code points, end exclusive), counts, digests, if asked the redacted text, and the ``carry`` columns."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     ordinary, secret = np.zeros(N * N), np.zeros(N * N)
     counted = docs.select("text").mapInArrow(_counts, "pair long, ordinary long, secret long")

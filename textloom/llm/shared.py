@@ -60,6 +60,13 @@ def sized_filters(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the texts that one Arrow batch holds, unless the session already asks for fewer rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column over all rows."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])

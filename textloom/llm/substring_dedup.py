@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import parts_for, sized_filters, text_bytes, written
+from textloom.llm.shared import parts_for, sized_filters, small_batches, text_bytes, written
 from textloom.llm.wordbatch import U, Ranges, Words, int64_of, mix, slices, split_words, windows
 
 WINDOW = 13
@@ -337,6 +337,7 @@ def _cut(k: int):
 
 def substring_dedup(df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text and the spans that were cut, with their sources."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     found = copies(docs.filter("doc is not null and text is not null"), k)
     one = F.struct("hash", "source", "source_at")
