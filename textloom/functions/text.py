@@ -61,10 +61,17 @@ def matching_words(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(normalize_ascii(text), "([0-9a-z_])- ([0-9a-z_])", "$1$2"), F.lit(r"(\w+)"))
 
 
+def word_runs(tokens: Column, k: int) -> Column:
+    """Every run of k words, in order. Zips k shifted copies, so an expression for the words is not repeated a word."""
+    n = F.greatest(F.size(tokens) - (k - 1), F.lit(0))
+    shifted = F.arrays_zip(*(F.slice(tokens, i + 1, n) for i in range(k)))
+    return F.transform(shifted, lambda x: F.concat_ws(" ", *(x[str(i)] for i in range(k))))
+
+
 def shingles(tokens: Column, k: int) -> Column:
     """Distinct k-word runs; the whole text when it is shorter, nothing when it is empty."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - (k - 1)), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(F.size(tokens) == 0, F.array().cast("array<string>")).when(F.size(tokens) < k, F.array(F.array_join(tokens, " "))).otherwise(F.array_distinct(runs))
+    short = F.when(F.size(tokens) == 0, F.array().cast("array<string>")).otherwise(F.array(F.array_join(tokens, " ")))
+    return F.when(F.size(tokens) < k, short).otherwise(F.array_distinct(word_runs(tokens, k)))
 
 
 def cutter_mark(body: Column, longest: int = 20) -> Column:

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import matching_words, shingles
+from textloom.functions.storage import settled
+from textloom.functions.text import matching_words, shingles, word_runs
 from textloom.operators.entities import min_label_components
 
 K = 5
@@ -80,7 +81,8 @@ def band_keys(signature: Column, bands: int = BANDS, rows: int = ROWS) -> Column
 
 def candidates(sets: DataFrame, signature: Column) -> DataFrame:
     """(a, b) of bodies that share a band, each with the band's first body: linear in the size of a band."""
-    keyed = sets.filter(F.size("shingles") > 0).select("id", F.explode(band_keys(signature)).alias("key"))
+    signed = settled(sets.filter(F.size("shingles") > 0).select("id", signature.alias("signature")))
+    keyed = signed.select("id", F.explode(band_keys(F.col("signature"))).alias("key"))
     lead = keyed.groupBy("key").agg(F.min("id").alias("a"))
     return keyed.join(lead, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
 
@@ -95,7 +97,7 @@ def similar_pairs(sets: DataFrame, pairs: DataFrame, share: tuple[int, int] = CO
 
 def copy_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, cluster): near copies by MinHash candidates; the cluster is its smallest id."""
-    sets = bodies(df, key, text)
+    sets = settled(bodies(df, key, text))
     pairs = similar_pairs(sets, candidates(sets, shake_signature(F.col("shingles"))))
     return min_label_components(sets.select("id").distinct(), pairs.select("a", "b")).withColumnRenamed("component", "cluster")
 
@@ -106,6 +108,7 @@ def ordered_clusters(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     Bodies of different connected sets of pairs never meet, so each set is
     settled by itself; its size is that of one group of near copies.
     """
+    pairs = settled(pairs)
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     parts = min_label_components(nodes, pairs).withColumnRenamed("component", "part")
     members = parts.join(sets.select("id", "shingles"), "id")
@@ -140,9 +143,8 @@ def quoted_runs(texts: DataFrame, sources: DataFrame, least: int = 12) -> DataFr
     ``texts``: id, words array; ``sources``: id, words array.
     """
     def runs(df: DataFrame, name: str) -> DataFrame:
-        at = F.sequence(F.lit(1), F.size("words") - (least - 1))
-        keys = F.transform(at, lambda i: F.struct(i.alias("at"), F.md5(F.array_join(F.slice("words", i, least), " ")).alias("key")))
-        return df.filter(F.size("words") >= least).select(F.col("id").alias(name), F.explode(keys).alias("k")).select(name, F.col("k.at").alias(f"{name}_at"), F.col("k.key").alias("key"))
+        rows = df.filter(F.size("words") >= least).select(F.col("id").alias(name), F.posexplode(word_runs(F.col("words"), least)).alias("at", "run"))
+        return rows.select(name, (F.col("at") + 1).alias(f"{name}_at"), F.md5("run").alias("key"))
 
     both = runs(texts, "text_id").join(runs(sources, "source_id"), "key").withColumn("diagonal", F.col("text_id_at") - F.col("source_id_at"))
     w = Window.partitionBy("text_id", "source_id", "diagonal").orderBy("text_id_at")

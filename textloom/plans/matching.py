@@ -123,7 +123,7 @@ def copy_pairs(t):
     return shingle_pairs(t).filter("shared * 10 >= (n + m - shared) * 8").select("a", "b")
 
 
-@query("N13_components", f"WITH RECURSIVE {near_sql()}, l AS (SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), c AS (SELECT doc_id AS id, doc_id AS label FROM s UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.id) SELECT id, min(label) AS cluster FROM c GROUP BY 1")
+@query("N13_components", f"WITH RECURSIVE {near_sql()}, l AS (SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8), links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), reach AS (SELECT doc_id AS id, doc_id AS label FROM s UNION SELECT links.b, reach.label FROM reach JOIN links ON links.a = reach.id) SELECT id, min(label) AS cluster FROM reach GROUP BY 1")
 def components(t):
     links = shingle_pairs(t).filter("shared * 10 >= (n + m - shared) * 8").select("a", "b")
     return M.min_label_components(t.documents.filter(SHORT).select(F.col("doc_id").alias("id")), links).withColumnRenamed("component", "cluster")
@@ -147,16 +147,17 @@ def containment(t):
     return rows.select("a", "b", (F.col("n") <= F.col("m")).alias("first_is_part"))
 
 
-@query("J5_end_shingle_join", f"WITH {shingle_sql()}, o AS (SELECT doc_id, unnest(list_distinct([sh[1], sh[-1]])) AS g, len(sh) AS n FROM s WHERE len(sh) > 0), e AS (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM s) SELECT DISTINCT o.doc_id AS part, e.doc_id AS holder FROM o JOIN e ON o.g = e.g AND o.doc_id <> e.doc_id AND o.n * 10 >= e.n AND o.n <= e.n")
+@query("J5_end_shingle_join", f"WITH {shingle_sql()}, o AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[1:5], ' '), array_to_string(w[-5:], ' ')])) AS g, len(sh) AS n FROM s WHERE len(sh) > 0), e AS (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM s) SELECT DISTINCT o.doc_id AS part, e.doc_id AS holder FROM o JOIN e ON o.g = e.g AND o.doc_id <> e.doc_id AND o.n * 10 >= e.n AND o.n <= e.n")
 def end_shingle_join(t):
     s = M.bodies(t.documents.filter(SHORT), "doc_id", "text").filter(F.size("shingles") > 0)
-    ends = s.select("id", F.size("shingles").alias("n"), F.explode(F.array_distinct(F.array(F.element_at("shingles", 1), F.element_at("shingles", -1)))).alias("g"))
+    first, last = F.slice("words", 1, 5), F.when(F.size("words") < 5, F.col("words")).otherwise(F.slice("words", -5, 5))
+    ends = s.select("id", F.size("shingles").alias("n"), F.explode(F.array_distinct(F.array(F.array_join(first, " "), F.array_join(last, " ")))).alias("g"))
     every = s.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     j = ends.alias("o").join(every.alias("e"), F.col("o.g") == F.col("e.g"))
     return j.filter("o.id <> e.id and o.n * 10 >= e.n and o.n <= e.n").select(F.col("o.id").alias("part"), F.col("e.id").alias("holder")).distinct()
 
 
-@query("N16_shared_word_mask", f"WITH {near_sql()}, x AS (SELECT a, b FROM p WHERE shared * 10 >= least(n, m) * 5), y AS (SELECT x.a, x.b, s.w, o.sh FROM x JOIN s ON s.doc_id = x.a JOIN s o ON o.doc_id = x.b WHERE len(s.w) >= 5), i AS (SELECT a, b, unnest(generate_series(1, len(w) - 4)) AS at, w, sh FROM y), h AS (SELECT DISTINCT a, b, at + d AS word FROM i, (SELECT unnest([0, 1, 2, 3, 4]) AS d) WHERE list_contains(sh, array_to_string(w[at:at+4], ' '))) SELECT a, b, count(*) AS shared_words FROM h GROUP BY 1, 2")
+@query("N16_shared_word_mask", f"WITH {near_sql()}, x AS (SELECT a, b FROM p WHERE shared * 10 >= least(n, m) * 5), y AS (SELECT x.a, x.b, s.w, o.sh FROM x JOIN s ON s.doc_id = x.a JOIN s o ON o.doc_id = x.b WHERE len(s.w) >= 5), i AS (SELECT a, b, unnest(generate_series(1, len(w) - 4)) AS p0, w, sh FROM y), h AS (SELECT DISTINCT a, b, p0 + d AS word FROM i, (SELECT unnest([0, 1, 2, 3, 4]) AS d) WHERE list_contains(sh, array_to_string(w[p0:p0+4], ' '))) SELECT a, b, count(*) AS shared_words FROM h GROUP BY 1, 2")
 def shared_word_mask(t):
     pairs = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 5").select("a", "b")
     s = M.bodies(t.documents.filter(SHORT), "doc_id", "text")
@@ -211,9 +212,9 @@ LOWER_WORDS = "list_filter(string_split_regex(lower(text), '[^0-9a-z]+'), lambda
 
 
 @query("N23_quoted_runs", f"""WITH d AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents), b AS (SELECT item_id, {LOWER_WORDS} AS w FROM benchmark),
-x AS (SELECT doc_id, i AS at, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 12)), y AS (SELECT item_id, i AS bt, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM b WHERE len(w) >= 12)),
-j AS (SELECT doc_id, item_id, at, bt, at - row_number() OVER (PARTITION BY doc_id, item_id, at - bt ORDER BY at) AS island, at - bt AS diag FROM x JOIN y USING (k))
-SELECT doc_id, item_id, count(*) + 11 AS words, min(at) AS start, min(bt) AS source_start FROM j GROUP BY doc_id, item_id, diag, island""")
+x AS (SELECT doc_id, i AS pa, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 12)), y AS (SELECT item_id, i AS pb, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM b WHERE len(w) >= 12)),
+j AS (SELECT doc_id, item_id, pa, pb, pa - row_number() OVER (PARTITION BY doc_id, item_id, pa - pb ORDER BY pa) AS island, pa - pb AS diag FROM x JOIN y USING (k))
+SELECT doc_id, item_id, count(*) + 11 AS words, min(pa) AS start, min(pb) AS source_start FROM j GROUP BY doc_id, item_id, diag, island""")
 def quoted_runs(t):
     d = t.documents.select(F.col("doc_id").alias("id"), X.words(F.col("text")).alias("words"))
     b = t.benchmark.select(F.col("item_id").alias("id"), X.words(F.col("text")).alias("words"))
