@@ -111,8 +111,8 @@ def ordered_clusters(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     pairs = settled(pairs)
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     parts = min_label_components(nodes, pairs).withColumnRenamed("component", "part")
-    members = parts.join(sets.select("id", "shingles"), "id")
-    edges = pairs.join(parts.withColumnRenamed("id", "a"), "a").select("part", "a", "b", "shared", "n", "m")
+    members = parts.toDF("id", "part").join(sets.select("id", "shingles").toDF("id", "shingles"), "id")
+    edges = pairs.join(parts.toDF("a", "part"), "a").select("part", "a", "b", "shared", "n", "m")
 
     def settle(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = {i: set(s) for i, s in zip(left["id"], left["shingles"], strict=True)}
@@ -130,7 +130,7 @@ def ordered_clusters(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     name[x] = low
         return pd.DataFrame({"id": list(name), "cluster": list(name.values())})
 
-    joined = members.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(settle, "id long, cluster long")
+    joined = settled(members).groupBy("part").cogroup(settled(edges).groupBy("part")).applyInPandas(settle, "id long, cluster long")
     rest = sets.select("id").join(joined.select("id"), "id", "left_anti").select("id", F.col("id").alias("cluster"))
     return joined.unionByName(rest)
 

@@ -1 +1,184 @@
-"""Queries."""
+"""Queries of the web family: URLs, identifiers, pages, robots, paths, dates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from textloom.functions import text as X
+from textloom.functions import web as W
+from textloom.plans.registry import query
+
+HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
+TRACK = ", ".join(f"'{n}'" for n in W.TRACKING)
+CANON = f"""lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || CASE WHEN len(regexp_extract_all({HOST}, '\\.')) >= 2 THEN regexp_replace({HOST}, '^(m|amp|mobile)\\.', '') ELSE {HOST} END
+|| CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END
+|| coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT lower(regexp_extract(p, '^([^=]*)', 1)) IN ({TRACK}))), '&'), ''), '')"""
+
+
+@query("X1_canonical_urls", f"SELECT page_id, {CANON} AS canonical FROM pages")
+def canonical_urls(t):
+    return t.pages.select("page_id", W.canonical_simple(F.col("url")).alias("canonical"))
+
+
+@query("X1_canonical_urls_full")
+def canonical_urls_full(t):
+    return t.pages.select("page_id", W.canonicalize_url("url").alias("canonical"))
+
+
+@query("X2_tracking_names", f"WITH q AS (SELECT unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS p FROM pages), n AS (SELECT regexp_extract(p, '^([^=]*)', 1) AS name FROM q WHERE p <> '') SELECT name, starts_with(lower(name), 'utm_') OR lower(name) IN ({TRACK}) AS tracking, count(*) AS n FROM n GROUP BY 1, 2")
+def tracking_names(t):
+    p = t.pages.select(F.explode(F.split(F.regexp_extract("url", r"\?([^#]*)", 1), "&")).alias("p")).filter("p <> ''")
+    name = F.regexp_extract("p", "^([^=]*)", 1)
+    return p.select(name.alias("name")).groupBy("name", W.is_tracking_column(F.col("name")).alias("tracking")).agg(F.count("*").alias("n"))
+
+
+@query("X3_registrable_domains", f"SELECT array_to_string(string_split({HOST}, '.')[-2:], '.') AS domain, count(*) AS pages FROM pages GROUP BY 1")
+def registrable_domains(t):
+    host = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)
+    return t.pages.groupBy(W.registrable_domain(host).alias("domain")).agg(F.count("*").alias("pages"))
+
+
+@query("X4_rel_canonical", "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'absent' WHEN page_id % 6 = 1 THEN 'same' WHEN page_id % 6 = 2 THEN 'other site' WHEN page_id % 6 = 3 THEN 'front page' ELSE 'accepted' END AS rule FROM pages")
+def rel_canonical(t):
+    host = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)
+    kind = F.col("page_id") % 6
+    link = F.when(kind == 0, None).when(kind == 1, F.col("url")).when(kind == 2, F.lit("https://elsewhere.test/a")).when(kind == 3, F.concat(F.lit("https://"), host, F.lit("/"))).otherwise(F.concat(F.lit("https://"), host, F.lit("/x/y")))
+    other = W.registrable_domain(F.regexp_extract(link, "^[A-Za-z]+://([^/?#]*)", 1)) != W.registrable_domain(host)
+    rule = F.when(link.isNull(), "absent").when(link == F.col("url"), "same").when(other, "other site").when(F.regexp_extract(link, "^[A-Za-z]+://[^/]*(.*)$", 1) == "/", "front page").otherwise("accepted")
+    return t.pages.select("page_id", rule.alias("rule"))
+
+
+IDS = "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'see doi:10.1234/AbC.' || item_id || '. and' WHEN 1 THEN 'arXiv:2401.' || lpad(CAST(item_id AS VARCHAR), 5, '0') WHEN 2 THEN 'PMID: ' || (1234500 + item_id) ELSE 'none' END AS s FROM benchmark"
+
+
+@query("X5_identifiers", f"WITH s AS ({IDS}) SELECT item_id, nullif(regexp_replace(lower(regexp_extract(s, '(10\\.[0-9]{{4,9}}/[^\\s\"<>]+)', 1)), '[.,;)]+$', ''), '') AS doi, nullif(regexp_extract(s, '(?i)arxiv(?:\\.org/abs/|:)\\s*([0-9]{{4}}\\.[0-9]{{4,5}})', 1), '') AS arxiv, nullif(regexp_extract(s, '(?i)(?:pmid:?\\s*|pubmed/)([0-9]{{5,9}})', 1), '') AS pmid FROM s")
+def identifiers(t):
+    i = F.col("item_id").cast("string")
+    kind = F.col("item_id") % 4
+    s = F.when(kind == 0, F.concat(F.lit("see doi:10.1234/AbC."), i, F.lit(". and"))).when(kind == 1, F.concat(F.lit("arXiv:2401."), F.lpad(i, 5, "0"))).when(kind == 2, F.concat(F.lit("PMID: "), (F.col("item_id") + 1234500).cast("string"))).otherwise("none")
+    return t.benchmark.select("item_id", F.nullif(W.doi(s), F.lit("")).alias("doi"), F.nullif(W.arxiv(s), F.lit("")).alias("arxiv"), F.nullif(W.pmid(s), F.lit("")).alias("pmid"))
+
+
+@query("X6_page_text")
+def page_text(t):
+    return t.pages.select("page_id", W.page_content("html").alias("p")).select("page_id", "p.title", "p.visible_chars", "p.blocks", "p.paywalled", F.md5("p.text").alias("text"))
+
+
+@query("X6_page_titles", "SELECT page_id, nullif(replace(replace(replace(trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '') AS title FROM pages")
+def page_titles(t):
+    return t.pages.select("page_id", W.page_content("html").alias("p")).select("page_id", "p.title")
+
+
+@query("A30_extraction_quality")
+def extraction_quality(t):
+    p = t.pages.select(F.length("html").alias("n"), W.page_content("html").alias("p"))
+    return p.agg(F.round(F.avg(F.col("p.visible_chars") / F.col("n")), 6).alias("text_share"), F.sum("p.blocks").alias("blocks"), F.count_if(F.col("p.visible_chars") == 0).alias("empty"))
+
+
+@query("X8_json_ld_types", "SELECT unnest(['Article', 'Person']) AS type, count(*) AS n FROM benchmark WHERE item_id % 2 = 0 GROUP BY 1")
+def json_ld_types(t):
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@type":"Article","author":[{"@type":"Person","name":"A"}],"isAccessibleForFree":false}</script>'))
+    page = t.benchmark.filter("item_id % 2 = 0").select(W.page_content(ld).alias("p"))
+    return page.select(F.explode("p.types").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("P10_paywalled", "SELECT item_id, item_id % 2 = 0 AS paywalled FROM benchmark")
+def paywalled(t):
+    free = F.when(F.col("item_id") % 2 == 0, "false").otherwise("true")
+    html = F.concat(F.lit('<html><script type="application/ld+json">{"@graph":[{"@type":"Article","isAccessibleForFree":'), free, F.lit("}]}</script><p>x</p></html>"))
+    return t.benchmark.select("item_id", W.page_content(html)["paywalled"].alias("paywalled"))
+
+
+@query("P9_robots_rules", f"WITH r AS (SELECT * FROM (VALUES ('/en/', false), ('/', true), ('/de/1', true), ('/de/', false), ('/fr/', false), ('/fr/', true)) AS v (pattern, allow)), p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), m AS (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, allow DESC) AS n FROM p JOIN r ON starts_with(path, pattern)) SELECT page_id, allow FROM m WHERE n = 1")
+def robots_rules(t):
+    rules = [("/en/", False), ("/", True), ("/de/1", True), ("/de/", False), ("/fr/", False), ("/fr/", True)]
+    path = F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*([^?#]*)", 1)
+    met = F.filter(F.array(*(F.struct(F.lit(len(p)).alias("n"), F.lit(a).alias("allow"), F.lit(p).alias("p")) for p, a in rules)), lambda r: path.startswith(r["p"]))
+    return t.pages.select("page_id", F.array_max(met)["allow"].alias("allow")).filter("allow is not null")
+
+
+@query("X9_disclosure_paths", "SELECT page_id, string_split(regexp_extract(url, '://([^?#]*)', 1), '/')[1] AS school, string_split(regexp_extract(url, '://([^?#]*)', 1), '/')[2] AS side, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT) AS round, ends_with(regexp_extract(url, '://([^?#]*)', 1), '.html') AS file FROM pages")
+def disclosure_paths(t):
+    path = F.regexp_extract("url", "://([^?#]*)", 1)
+    parts = F.split(path, "/")
+    return t.pages.select("page_id", F.get(parts, F.lit(0)).alias("school"), F.get(parts, F.lit(1)).alias("side"), F.expr("try_cast(regexp_extract(url, '/([0-9]+)', 1) as bigint)").alias("round"), path.endswith(".html").alias("file"))
+
+
+@query("X10_longest_alias", f"WITH a AS (SELECT * FROM (VALUES ('example', 'generic'), ('example net', 'network'), ('tionsh example net', 'tionsh')) AS v (alias, camp)), h AS (SELECT page_id, ' ' || replace({HOST}, '.', ' ') || ' ' AS h FROM pages), m AS (SELECT page_id, camp, row_number() OVER (PARTITION BY page_id ORDER BY length(alias) DESC) AS n FROM h JOIN a ON contains(h, ' ' || alias || ' ')) SELECT page_id, camp FROM m WHERE n = 1")
+def longest_alias(t):
+    aliases = t.spark.createDataFrame([("example", "generic"), ("example net", "network"), ("tionsh example net", "tionsh")], "alias string, camp string")
+    host = F.split(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)), r"\.")
+    # runs of one to three labels, so that aliases meet by equality
+    runs = F.concat(host, X.word_runs(host, 2), X.word_runs(host, 3))
+    met = t.pages.select("page_id", F.explode(runs).alias("alias")).join(aliases, "alias")
+    return met.groupBy("page_id").agg(F.max_by("camp", F.length("alias")).alias("camp"))
+
+
+@query("X11_period_starts", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN date_trunc('day', ts) WHEN 1 THEN date_trunc('month', ts) ELSE date_trunc('year', ts) END AS period FROM events")
+def period_starts(t):
+    third = F.col("event_id") % 3
+    return t.events.select("event_id", F.when(third == 0, F.date_trunc("day", "ts")).when(third == 1, F.date_trunc("month", "ts")).otherwise(F.date_trunc("year", "ts")).cast("timestamp_ntz").alias("period"))
+
+
+@query("X12_season_labels", "SELECT o_orderkey, CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS season, 'season ' || CASE WHEN month(o_orderdate) >= 7 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS label FROM orders")
+def season_labels(t):
+    season = F.when(F.month("o_orderdate") >= 7, F.year("o_orderdate")).otherwise(F.year("o_orderdate") - 1)
+    return t.orders.select("o_orderkey", season.alias("season"), F.concat(F.lit("season "), season.cast("string")).alias("label"))
+
+
+@query("X13_heading_anchors", "WITH a AS (SELECT p_partkey, replace(trim(regexp_replace(lower(p_type), '[^0-9a-z]+', ' ', 'g')), ' ', '-') AS anchor FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY p_partkey) AS i FROM a) SELECT p_partkey, anchor || CASE WHEN i > 1 THEN '-' || i ELSE '' END AS anchor FROM n")
+def heading_anchors(t):
+    a = t.part.select("p_partkey", X.heading_anchor(F.col("p_type")).alias("anchor"))
+    i = F.row_number().over(Window.partitionBy("anchor").orderBy("p_partkey"))
+    return a.select("p_partkey", "anchor", i.alias("i")).select("p_partkey", F.concat("anchor", F.when(F.col("i") > 1, F.concat(F.lit("-"), F.col("i").cast("string"))).otherwise("")).alias("anchor"))
+
+
+@query("X14_redacted", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(password|passwd|secret|token|api_?key)([ ]*[:=][ ]*)[^ \\n]+', '\\1\\2[redacted]', 'g'), 'AKIA[A-Z0-9]{16}', '[redacted]', 'g'), '(?i)bearer [a-z0-9._-]+', 'Bearer [redacted]', 'g')) AS text FROM documents")
+def redacted(t):
+    return t.documents.select("doc_id", F.md5(X.redacted(F.col("text"))).alias("text"))
+
+
+@query("X15_decoded", "SELECT page_id, true AS same FROM pages")
+def decoded(t):
+    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))
+    bare = F.when(F.hex(F.substring(marked, 1, 3)) == "EFBBBF", F.expr("substring(marked, 4)")).otherwise(F.col("marked"))
+    return t.pages.withColumn("marked", marked).select("page_id", (F.decode(bare, "UTF-8") == F.col("html")).alias("same"))
+
+
+@query("X16_names_and_years", "SELECT c_custkey, regexp_extract(s, '([A-Z][a-z]+)#[0-9]+ ([0-9]{2})', 1) AS name, regexp_extract(s, '([A-Z][a-z]+)#[0-9]+ ([0-9]{2})', 2) AS year, len(string_split(s, ' ')) AS words FROM (SELECT c_custkey, c_name || ' ' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS s FROM customer)")
+def names_and_years(t):
+    s = F.concat("c_name", F.lit(" "), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"))
+    shape = "([A-Z][a-z]+)#[0-9]+ ([0-9]{2})"
+    return t.customer.select("c_custkey", F.regexp_extract(s, shape, 1).alias("name"), F.regexp_extract(s, shape, 2).alias("year"), F.size(F.split(s, " ")).cast("bigint").alias("words"))
+
+
+@query("X17_decoded_links", "SELECT page_id, url AS publisher FROM pages")
+def decoded_links(t):
+    link = F.concat(F.lit("https://news.test/articles/"), F.translate(F.base64(F.encode("url", "UTF-8")), "+/", "-_"))
+    coded = F.translate(F.regexp_extract("link", "/articles/(.*)$", 1), "-_", "+/")
+    return t.pages.select("page_id", link.alias("link")).select("page_id", F.decode(F.unbase64(coded), "UTF-8").alias("publisher"))
+
+
+@query("X18_package_ids", "SELECT o_orderkey, 'BILLS-' || (110 + o_orderkey % 9) || CASE WHEN o_orderkey % 2 = 0 THEN 'hr' ELSE 's' END || o_custkey || 'ih' AS package, CASE WHEN o_orderkey % 2 = 0 THEN 'H.R. ' ELSE 'S. ' END || o_custkey AS bill FROM orders")
+def package_ids(t):
+    k = F.col("o_orderkey")
+    package = F.concat(F.lit("BILLS-"), (k % 9 + 110).cast("string"), F.when(k % 2 == 0, "hr").otherwise("s"), F.col("o_custkey").cast("string"), F.lit("ih"))
+    kind, number = F.regexp_extract("package", r"^BILLS-\d+(hr|s)(\d+)", 1), F.regexp_extract("package", r"^BILLS-\d+(hr|s)(\d+)", 2)
+    return t.orders.select("o_orderkey", package.alias("package")).select("o_orderkey", "package", F.concat(F.when(kind == "hr", "H.R. ").otherwise("S. "), number).alias("bill"))
+
+
+@query("X19_newest_first", "SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 6 = 0 THEN NULL ELSE ts END DESC NULLS LAST, event_id) AS place FROM events QUALIFY place <= 100")
+def newest_first(t):
+    ts = F.when(F.col("event_id") % 6 != 0, F.col("ts"))
+    order = [F.desc_nulls_last("t"), F.asc("event_id")]
+    top = t.events.select("event_id", ts.alias("t")).orderBy(*order).limit(100)  # a page
+    return top.select("event_id", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
+@query("S14_content_kinds", "SELECT 'html' AS kind, count(*) AS n FROM pages UNION ALL SELECT 'gzip', count(*) FROM benchmark UNION ALL SELECT 'pdf', count(*) FROM nation")
+def content_kinds(t):
+    a = t.pages.select(F.encode("html", "UTF-8").alias("b"))
+    b = t.benchmark.select(F.concat(F.unhex(F.lit("1F8B08")), F.encode("text", "UTF-8")).alias("b"))
+    c = t.nation.select(F.concat(F.encode(F.lit("%PDF-1.7"), "UTF-8"), F.encode("n_name", "UTF-8")).alias("b"))
+    return a.union(b).union(c).groupBy(W.content_kind(F.col("b")).alias("kind")).agg(F.count("*").alias("n"))
