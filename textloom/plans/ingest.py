@@ -1 +1,111 @@
-"""Queries."""
+"""Queries of the source and sink family. Those that need files write them to the shared folder first."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from textloom.functions import search_query as Q
+from textloom.functions.text import words
+from textloom.plans.registry import Tables, query
+from textloom.sources import records as R
+
+
+def place(t: Tables, name: str) -> str:
+    """A path of its own in the folder that driver and executors share."""
+    import tempfile
+
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="textloom-")
+    return f"{base}/ingest/{uuid.uuid4().hex}/{name}"
+
+
+@query("S7_jsonl_round_trip", "SELECT event_id, user_id, value FROM events")
+def jsonl_round_trip(t):
+    path = place(t, "events")
+    t.events.select("event_id", "user_id", "value").write.json(path)
+    return R.read_jsonl(t.spark, path, "event_id long, user_id long, value double")
+
+
+@query("S8_parsed_store", "SELECT doc_id, lang, n_chars FROM documents WHERE lang = 'fr'")
+def parsed_store(t):
+    path = place(t, "parsed")
+    t.documents.select("doc_id", "lang", "n_chars").write.partitionBy("lang").parquet(path)
+    return t.spark.read.parquet(path).filter("lang = 'fr'").select("doc_id", "lang", "n_chars")
+
+
+@query("S5_feed_entries", "SELECT item_id, 0 AS position, 'T' || item_id AS title, 'http://x.test/' || item_id AS link FROM benchmark UNION ALL SELECT item_id, 1, 'U' || item_id, 'http://y.test/' || item_id FROM benchmark")
+def feed_entries(t):
+    i = F.col("item_id").cast("string")
+    entry = lambda a, b: F.concat(F.lit(f"<item><title>{a}"), i, F.lit(f"</title><link>http://{b}.test/"), i, F.lit("</link><pubDate>Mon, 1 Jan 2024 00:00:00 +0000</pubDate></item>"))
+    xml = F.concat(F.lit("<rss><channel><title>c</title>"), entry("T", "x"), entry("U", "y"), F.lit("</channel></rss>"))
+    rows = R.feed_entries(t.benchmark.select("item_id", xml.alias("xml")), "item_id", "xml")
+    return rows.select("item_id", "position", "title", "link")
+
+
+@query("S9_keyset_pages", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 40 ORDER BY c_custkey LIMIT 20")
+def keyset_pages(t):
+    return t.customer.filter("c_custkey > 40").select("c_custkey", "c_name").orderBy("c_custkey").limit(20)
+
+
+@query("S10_inverted_index", "WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS term FROM t) SELECT term, doc_id, count(*) AS tf FROM p WHERE term IN ('the', 'eaan', 'thand') GROUP BY 1, 2")
+def inverted_index(t):
+    path = place(t, "index")
+    R.write_index(t.documents.select("doc_id", "text"), path, parts=8)
+    found = R.search_index(t.spark, path, ["the", "eaan", "thand"], parts=8)
+    return found.select("term", "doc_id", F.col("tf").cast("bigint").alias("tf"))
+
+
+@query("S11_manifest_lines", """SELECT n_nationkey, '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS line FROM nation""")
+def manifest_lines(t):
+    return R.manifest_lines(t.nation.select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+
+
+@query("S12_csv_round_trip", "SELECT p_partkey, p_name, p_size FROM part")
+def csv_round_trip(t):
+    path = place(t, "parts")
+    R.write_csv(t.part.select("p_partkey", "p_name", "p_size"), path, ["p_partkey"])
+    return t.spark.read.schema("p_partkey long, p_name string, p_size int").option("header", "true").option("mode", "FAILFAST").csv(path)
+
+
+@query("S13_decisions", "SELECT doc_id, quality, CASE WHEN n > 1 THEN 'repeated key' WHEN quality NOT IN (1) THEN 'value' END AS problem FROM (SELECT doc_id, quality, count(*) OVER (PARTITION BY doc_id) AS n FROM labels)")
+def decisions(t):
+    path = place(t, "decisions")
+    t.labels.select("doc_id", "quality").write.option("header", "true").csv(path)
+    good, refused = R.read_decisions(t.spark, path, "doc_id long, quality string", "doc_id", {"quality": ["1"]})
+    rows = good.withColumn("problem", F.lit(None).cast("string")).unionByName(refused)
+    return rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "problem")
+
+
+@query("R18_search_grammar", "WITH t AS (SELECT doc_id, ' ' || array_to_string(list_filter(string_split(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g'), ' '), lambda x: x <> ''), ' ') || ' ' AS b, ' ' || lang || ' ' AS g FROM documents) SELECT doc_id FROM t WHERE (contains(b, ' the ') OR contains(g, ' the ')) AND (contains(b, ' of the ') OR contains(g, ' of the ')) AND NOT (contains(b, ' idiot ') OR contains(g, ' idiot ')) AND (contains(b, ' thi') OR contains(g, ' thi')) AND contains(g, ' en ')")
+def search_grammar(t):
+    terms = Q.parse('the "of the" -idiot thi* tag:en')
+    return t.documents.filter(Q.matches(terms, {"text": F.col("text"), "tag": F.col("lang")})).select("doc_id")
+
+
+@query("J8_postings_match", "WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g'), ' '), lambda x: x <> ''))) AS term FROM documents) SELECT doc_id, count(*) AS found FROM t WHERE term IN ('the', 'of', 'eaan', 'thand') GROUP BY 1 HAVING count(*) >= 3")
+def postings_match(t):
+    terms = t.spark.createDataFrame([("the",), ("of",), ("eaan",), ("thand",)], "term string")
+    p = t.documents.select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    return p.join(terms, "term").groupBy("doc_id").agg(F.count("*").alias("found")).filter("found >= 3")
+
+
+@query("J4_band_join", "WITH b AS (SELECT doc_id, md5(substr(text, 1, 40)) AS band FROM documents) SELECT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y USING (band) WHERE x.doc_id < y.doc_id")
+def band_join(t):
+    b = t.documents.select("doc_id", F.md5(F.substring("text", 1, 40)).alias("band"))
+    j = b.alias("x").join(b.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")))
+    return j.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
+@query("J6_anchor_join", "WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) SELECT s.item_id AS short, f.item_id AS \"full\" FROM w s JOIN w f ON s.w[1:3] = f.w[1:3] AND s.w[-3:] = f.w[-3:]")
+def anchor_join(t):
+    w = t.benchmark.select("item_id", F.split("text", " ").alias("w")).select("item_id", F.slice("w", 1, 3).alias("opening"), F.slice("w", -3, 3).alias("closing"))
+    j = w.alias("s").join(w.alias("f"), (F.col("s.opening") == F.col("f.opening")) & (F.col("s.closing") == F.col("f.closing")))
+    return j.select(F.col("s.item_id").alias("short"), F.col("f.item_id").alias("full"))
+
+
+@query("R15_expanded_queries", "WITH v AS (SELECT n_name FROM nation), q AS (SELECT t.place, lower(replace(t.template, '{x}', n_name)) AS query, t.since FROM v CROSS JOIN (VALUES (0, '{x} policy', 30), (1, 'policy of {x}', 7), (2, '{x} policy', 365)) AS t (place, template, since)) SELECT query, min(place) AS place, arg_min(since, place) AS since FROM q GROUP BY 1")
+def expanded_queries(t):
+    templates = t.spark.createDataFrame([(0, "{x} policy", 30), (1, "policy of {x}", 7), (2, "{x} policy", 365)], "place int, template string, since int")
+    q = t.nation.crossJoin(F.broadcast(templates)).withColumn("query", F.lower(F.replace("template", F.lit("{x}"), "n_name")))  # lists of a configuration
+    return q.groupBy("query").agg(F.min("place").alias("place"), F.min_by("since", "place").alias("since"))

@@ -1 +1,68 @@
-"""Queries."""
+"""Streaming queries, run to the end of what is there and returned as tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from textloom.functions.storage import settled  # noqa: F401
+from textloom.plans.registry import Tables, query
+from textloom.streaming import events as E
+
+
+def stream(t: Tables):
+    """The events table as a stream of its files."""
+    raw = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
+    # a glob that matches the one file or folder, since a file source reads folders
+    rows = t.spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/events.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def finished(t: Tables, df, mode: str = "complete"):
+    """Everything available, through the stream, into a table in memory."""
+    name = f"stream_{uuid.uuid4().hex}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return t.spark.table(name)
+
+
+@query("ST2_weekly_stream", "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) + 6 AS DATE) AS snapshot, event_type AS position, count(*) AS reads FROM events GROUP BY 1, 2")
+def weekly_stream(t):
+    return finished(t, E.weekly(stream(t)).drop("teams"))
+
+
+@query("ST3_daily_spend_stream", "SELECT user_id, round(sum(value), 4) AS spent, CAST(ts - INTERVAL 6 HOUR AS DATE) AS day FROM events GROUP BY user_id, day")
+def daily_spend_stream(t):
+    return finished(t, E.daily_spend(stream(t))).select("user_id", "spent", F.to_date(F.col("day.start")).alias("day"))
+
+
+@query("ST5_seen_once_stream", "SELECT count(*) AS events, count(DISTINCT event_id) AS keys FROM events")
+def seen_once_stream(t):
+    rows = finished(t, E.first_seen(stream(t)), "append")
+    return rows.agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("keys"))
+
+
+@query("ST6_late_split", "SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS on_time, count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS late FROM events")
+def late_split(t):
+    on_time, late = E.late_rows(stream(t), "2024-01-10")
+    a, b = (finished(t, x.groupBy().count()) for x in (on_time, late))
+    return a.select(F.col("count").alias("on_time")).crossJoin(b.select(F.col("count").alias("late")))  # one row each
+
+
+@query("ST7_breaker_stream", "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events), s AS (SELECT user_id, min(back) FILTER (event_type <> 'error') AS last_ok, count(*) AS n FROM r GROUP BY 1) SELECT user_id, CAST(coalesce(last_ok - 1, n) AS BIGINT) AS failures, CASE WHEN coalesce(last_ok - 1, n) >= 3 THEN 'open' ELSE 'closed' END AS state FROM s")
+def breaker_stream(t):
+    rows = finished(t, E.breakers(stream(t)), "update")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct("failures", "state"), "at").alias("b"))
+    return last.select("user_id", F.col("b.failures").cast("bigint").alias("failures"), "b.state")
+
+
+@query("ST9_new_rows_only", "SELECT event_id FROM events WHERE event_id % 2 = 1")
+def new_rows_only(t):
+    state = t.events.filter("event_id % 2 = 0")
+    return E.new_only(t.events, state, "event_id").select("event_id")
+
+
+@query("ST10_sessions_stream", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
+def sessions_stream(t):
+    return finished(t, E.sessions(stream(t))).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
