@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed values: characters that matching treats alike, and those it drops
 QUOTES = "‘’‚‛′´`"
@@ -32,7 +33,7 @@ def normalized(text: str | None) -> str | None:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().translate(_TABLE).split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_for_matching(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(normalized, na_action="ignore")

@@ -10,6 +10,7 @@ from urllib.parse import parse_qsl, quote, unquote, urlencode, urlsplit, urlunsp
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed values: query names that only track, and the suffixes under which anyone may register
 TRACKING = ("fbclid", "gclid", "msclkid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "cmpid", "ocid", "s_cid")
@@ -71,7 +72,7 @@ def canonical(url: str | None) -> str | None:
     return urlunsplit((u.scheme.lower(), host, path, urlencode(kept), ""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonicalize_url(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in batches:
         yield batch.map(canonical)
@@ -204,12 +205,15 @@ def read_page(html: str | None) -> dict:
     }
 
 
-PAGE = "text string, title string, author string, published string, canonical string, paywalled boolean, types array<string>, visible_chars int, blocks int"
+PAGE = T.StructType(
+    [*(T.StructField(n, T.StringType()) for n in ("text", "title", "author", "published", "canonical")), T.StructField("paywalled", T.BooleanType()),
+     T.StructField("types", T.ArrayType(T.StringType())), T.StructField("visible_chars", T.IntegerType()), T.StructField("blocks", T.IntegerType())]
+)
 
 
 @F.pandas_udf(PAGE)
 def page_content(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Leaf-block text, metadata with fallbacks, paywall flag and JSON-LD types of HTML pages."""
-    names = [c.split()[0] for c in PAGE.split(", ")]
+    names = PAGE.names
     for batch in batches:
         yield pd.DataFrame([read_page(x) for x in batch], columns=names)

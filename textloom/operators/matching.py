@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.functions.storage import settled
 from textloom.functions.text import matching_words, shingles, word_runs
@@ -62,7 +63,7 @@ def signature_column(shingle_set: Column, n: int = BANDS * ROWS) -> Column:
     return F.array(*(least(i) for i in range(n)))
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def shake_signature(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """MinHash of 128 numbers of 32 bits, all from one SHAKE-128 digest of each shingle."""
     def one(items) -> list | None:

@@ -18,8 +18,9 @@ def checked_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     """JSON lines and, apart from them, the lines that do not fit, with their file."""
     fields = T.StructType.fromDDL(schema)
     full = T.StructType([*fields.fields, T.StructField("_bad", T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).withColumn("_file", F.input_file_name())
-    return rows.filter("_bad is null").drop("_bad", "_file"), rows.filter("_bad is not null").select("_file", "_bad")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.input_file_name().alias("_file"), parsed.alias("r"))
+    return lines.filter("r._bad is null").select(*(F.col(f"r.{f.name}") for f in fields)), lines.filter("r._bad is not null").select("_file", "r._bad")
 
 
 def manifest_lines(rows: DataFrame, order: str) -> DataFrame:
