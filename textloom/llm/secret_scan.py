@@ -3,7 +3,8 @@
 Two first-order Markov models over 70 character classes are trained from
 labelled samples: random strings (the values that the fixed patterns find,
 with a seeded set of generated keys) and ordinary identifiers and words (all
-other runs of identifier characters).  Transition counts cover every text.
+other runs of identifier characters, with generated identifiers).  Runs that
+the models are to judge teach neither.  Transition counts cover every text.
 A run of at least 20 identifier characters with a letter and a digit is an
 added secret when the mean log-likelihood ratio of its transitions is above a
 threshold and it meets no span of the patterns.
@@ -38,7 +39,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "markov")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: mean log2 likelihood ratio a transition above which a run is a secret
-THRESHOLD = 0.6
+THRESHOLD = 0.8
 SYMBOLS = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.,:"
 N = len(SYMBOLS)
 CLASS = np.full(256, N - 1, np.int64)
@@ -63,6 +64,23 @@ def generated_keys(n: int = 2000, seed: int = 11) -> list[bytes]:
     return [bytes(rng.choices(alphabets[i % len(alphabets)], k=rng.randint(20, 64))) for i in range(n)]
 
 
+#: fixed values: parts of ordinary identifiers
+PARTS = "get set is has add remove user account name list map index count value item node path file text data type key event handler manager service factory builder config option default parse format write read open close start stop next last first total size length order status error message request response session token test model view page number date time long identifier thing for the to from with by".split()
+
+
+def generated_identifiers(n: int = 4000, seed: int = 12) -> list[bytes]:
+    """Labelled ordinary identifiers: parts in camel, snake or kebab case, some with a number."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        parts = rng.choices(PARTS, k=rng.randint(2, 6))
+        if i % 3 == 0:
+            parts[rng.randrange(len(parts))] += str(rng.randint(0, 99))
+        name = "".join(p.capitalize() for p in parts) if i % 2 else ("_" if i % 4 else "-").join(parts)
+        out.append((name[0].lower() + name[1:]).encode())
+    return out
+
+
 def transitions(data: np.ndarray) -> np.ndarray:
     c = CLASS[data]
     return np.bincount(c[:-1] * N + c[1:], minlength=N * N)
@@ -78,6 +96,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = CLASS[data]
         ordinary += np.bincount((c[:-1] * N + c[1:])[both], minlength=N * N)
         for text in batch.column(0).to_pylist():
+            for m in RUN.finditer(text or ""):
+                if _mixed(m[0]):  # undecided runs teach neither model
+                    ordinary -= transitions(np.frombuffer(m[0].encode(), np.uint8))
             for a, b, _ in base_spans(text or ""):
                 one = transitions(np.frombuffer(text[a:b].split("=")[-1].split(":")[-1].strip(" \"'").encode(), np.uint8))
                 secret += one
@@ -90,8 +111,13 @@ def ratio_table(ordinary: np.ndarray, secret: np.ndarray) -> np.ndarray:
     secret = secret.copy()
     for key in generated_keys():
         secret += transitions(np.frombuffer(key, np.uint8))
-    # one sample size for both labels, so that rare classes are not judged by corpus size
-    ordinary = ordinary * (max(1, secret.sum()) / max(1, ordinary.sum()))
+    # one sample size for both labels, so that rare classes are not judged by corpus size;
+    # ordinary text is half the corpus, half generated identifiers
+    named = np.zeros(N * N)
+    for name in generated_identifiers():
+        named += transitions(np.frombuffer(name, np.uint8))
+    half = secret.sum() / 2
+    ordinary = ordinary * (half / max(1, ordinary.sum())) + named * (half / named.sum())
     out = []
     for counts in (secret, ordinary):
         table = counts.reshape(N, N) + 0.5
@@ -99,13 +125,18 @@ def ratio_table(ordinary: np.ndarray, secret: np.ndarray) -> np.ndarray:
     return out[0] - out[1]
 
 
+def _mixed(run: str) -> bool:
+    """Whether a run has both a digit and a letter."""
+    return any("0" <= x <= "9" for x in run) and any(x.isalpha() for x in run)
+
+
 def markov_spans(text: str, base: list[tuple[int, int, int]], ratios: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
     found = []
     ends = np.maximum.accumulate([b for _, b, _ in base]).tolist() if base else []
     starts = [a for a, _, _ in base]
     for m in RUN.finditer(text):
         run = m[0]
-        if not (any("0" <= x <= "9" for x in run) and any(x.isalpha() for x in run)):
+        if not _mixed(run):
             continue
         i = bisect_left(starts, m.end())  # spans that begin before this run ends
         if i and ends[i - 1] > m.start():
@@ -159,7 +190,7 @@ def secret_scan(df: DataFrame, doc: str = "doc_id", text: str = "text", threshol
     ordinary, secret = np.zeros(N * N), np.zeros(N * N)
     counted = docs.select("text").mapInArrow(_counts, "pair long, ordinary long, secret long")
     for pair, a, b in counted.groupBy("pair").agg(F.sum("ordinary"), F.sum("secret")).collect():  # N * N rows at most
-        ordinary[pair], secret[pair] = max(0, a - b), b
+        ordinary[pair], secret[pair] = max(0, a), b
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
     out = docs.mapInArrow(_scan(ratio_table(ordinary, secret).tolist(), threshold, redact), SCANNED + kept)
     return out.withColumnsRenamed({f"carry_{c}": c for c in carry})
