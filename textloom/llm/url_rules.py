@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SUPPORT, LEAST_COUNT, CONFIDENCE, LONGEST = 0.005, 25, 0.6, 3
 BAD = "label:bad"
+SALT = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,6 +96,9 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, supp
     index = mined_rules(baskets, support, confidence).select("rule_id", F.col("tokens").alias("needs"), F.col("rarest").alias("token"))
     met = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(index, "token")
     met = met.filter(F.size(F.array_except("needs", "tokens")) == 0).groupBy("tokens").agg(F.array_sort(F.collect_set("rule_id")).alias("mined"))
-    out = rows.join(met, "tokens", "left")
+    # a basket that many pages share is dealt to SALT keys, and its rules to each of them
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
+    met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = rows.join(met, ["tokens", "salt"], "left")
     verdict = F.coalesce(F.col("fixed.verdict"), F.when(F.col("mined").isNotNull(), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("fixed.rule").alias("rule"), verdict.alias("verdict"), F.array_join("mined", "; ").alias("mined"))
