@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.components import components
 from textloom.llm.repeated import repeated_keys
-from textloom.llm.shared import parts_for, sized_filters, small_batches, text_bytes, written
+from textloom.llm.shared import buckets_for, sized_filters, small_batches, text_bytes, written
 from textloom.llm.wordbatch import U, Ranges, int64_of, mix, slices, split_words, windows
 
 SHINGLE = 5
@@ -181,7 +181,7 @@ def jaccard_components(
     """One row per document: doc, n_shingles, component_id (the smallest doc that links reach, itself included)."""
     small_batches(df.sparkSession)
     docs = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    buckets = parts_for(text_bytes(docs), 2 << 20)
+    buckets = buckets_for(docs, text_bytes(docs), 2 << 20)
     found = written(repeated_keys(docs, "text", _entries("text", "doc", k, num, den), buckets), "keys")
     every = found.filter("kind = 2").select(
         F.col("key").alias("sid"), F.when(F.col("id") != F.lit(NO_ID), F.col("id")).alias("doc"), "size", "mark"

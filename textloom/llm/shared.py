@@ -72,6 +72,11 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column).cast("long")), F.lit(0))).first()[0])
 
 
+def buckets_for(df: DataFrame, amount: float, each: float) -> int:
+    """Groups of about ``each``, and as many as the session has shuffle partitions at least."""
+    return max(parts_for(amount, each), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def parts_for(amount: float, each: float) -> int:
     """How many groups of about ``each`` cover ``amount``; one at least."""
     return max(1, math.ceil(amount / each))

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.shared import parts_for, sized_filters, small_batches, text_bytes, written
+from textloom.llm.shared import buckets_for, sized_filters, small_batches, text_bytes, written
 from textloom.llm.wordbatch import U, Ranges, Words, int64_of, mix, slices, split_words, windows
 
 WINDOW = 13
@@ -260,7 +260,7 @@ def _listed(lists: pa.Array, text: np.ndarray, hashes: np.ndarray) -> tuple[np.n
 
 def copies(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(kind, doc, hash, source, source_at): copied paths (1) and windows (3) of ``docs`` (doc, text), doc not null."""
-    buckets = parts_for(text_bytes(docs), 4 << 20)
+    buckets = buckets_for(docs, text_bytes(docs), 4 << 20)
     found = written(docs.mapInArrow(_gather(k, buckets), PACKED).groupBy("bucket").applyInArrow(_settle, SETTLED), "paths")
     open_ = written(found.filter("kind = 2").groupBy("doc").agg(F.collect_set("hash").alias("open")), "open").filter("doc is not null")
     with sized_filters(docs.sparkSession):
