@@ -89,3 +89,11 @@ def test_intervals(spark):
     row = spark.range(1).select(I.union(spans).alias("u"), I.subtract(F.lit(0), F.lit(10), spans).alias("s"), I.length(I.union(spans)).alias("n")).first()
     assert [(x.start, x.end) for x in row.u] == [(1, 4), (5, 12)]
     assert [(x.start, x.end) for x in row.s] == [(0, 1), (4, 5)] and row.n == 10
+
+
+def test_stems():
+    from textloom.functions.stem import search_tokens, stem
+
+    pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "hopping": "hop", "sized": "size", "happy": "happi", "relational": "relat", "sensitivity": "sensit", "adoption": "adopt", "roll": "roll", "controll": "control"}
+    assert {w: stem(w) for w in pairs} == pairs
+    assert search_tokens("Élections, élection's") == ["elect", "elect", "s"] and search_tokens(None) is None

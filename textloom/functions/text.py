@@ -105,3 +105,16 @@ def redacted(text: Column) -> Column:
     out = F.regexp_replace(text, r"(?i)(password|passwd|secret|token|api_?key)([ ]*[:=][ ]*)[^ \n]+", "$1$2[redacted]")
     out = F.regexp_replace(out, r"AKIA[A-Z0-9]{16}", "[redacted]")
     return F.regexp_replace(out, r"(?i)bearer [a-z0-9._-]+", "Bearer [redacted]")
+
+
+#: fixed values: British spellings that ranking treats as American
+SPELLINGS = {"labour": "labor", "colour": "color", "defence": "defense", "programme": "program", "centre": "center", "organisation": "organization"}
+
+
+def ranking_tokens(text: Column) -> Column:
+    """Tokens for ranking: possessives dropped, letters joined across ' and ., American spelling."""
+    plain = F.regexp_replace(F.lower(text), "'s([^0-9a-z]|$)", "$1")
+    joined = F.regexp_replace(plain, "([a-z])['.]([a-z])", "$1$2")
+    tokens = F.filter(F.split(F.regexp_replace(joined, "[^0-9a-z]+", " "), " "), lambda x: x != "")
+    table = F.create_map(*(F.lit(x) for pair in SPELLINGS.items() for x in pair))
+    return F.transform(tokens, lambda x: F.coalesce(F.try_element_at(table, x), x))
