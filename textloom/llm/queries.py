@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,28 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
 }
-ORACLES: dict[str, str] = {"op3_warc": WARC_ORACLE}
+WORD = r"[^\x20\x09-\x0D]+"
+DEDUP_ORACLE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
+k AS (SELECT doc_id, q, word, list(word) OVER run AS s, count(*) OVER run AS n FROM x WINDOW run AS (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT array_to_string(s, ' ') AS s, min(doc_id) AS least FROM k WHERE n = 13 GROUP BY 1),
+h AS (SELECT k.doc_id, k.q, k.word, CASE WHEN n = 13 AND f.least < k.doc_id THEN 1 ELSE 0 END AS copy FROM k LEFT JOIN f ON f.s = array_to_string(k.s, ' ') AND k.n = 13),
+g AS (SELECT doc_id, q, word, max(copy) OVER (PARTITION BY doc_id ORDER BY q ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) = 1 AS gone FROM h),
+r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY q) FILTER (NOT gone) AS kept FROM g GROUP BY 1)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
+JACCARD_ORACLE = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM d),
+k AS (SELECT doc_id, list(word) OVER run AS s, count(*) OVER run AS n FROM x WINDOW run AS (PARTITION BY doc_id ORDER BY q ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+s AS (SELECT DISTINCT doc_id, array_to_string(s, ' ') AS s FROM k WHERE n = 5 UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS id, doc_id AS label FROM d UNION SELECT links.b, reach.label FROM reach JOIN links ON links.a = reach.id),
+c AS (SELECT id, min(label) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)
+"""
+ORACLES: dict[str, str] = {"op1_substring_dedup": DEDUP_ORACLE, "op3_warc": WARC_ORACLE, "op7_jaccard_join": JACCARD_ORACLE}
