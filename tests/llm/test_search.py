@@ -135,10 +135,14 @@ def test_items_go_in_blocks(leaky, monkeypatch):
 def test_pipeline_stages(spark, leaky, tmp_path):
     docs, bench, want = leaky
     rows = docs.unionByName(docs.filter("doc_id in (1, 2)").withColumn("doc_id", F.col("doc_id") + 700)).unionByName(spark.createDataFrame([(900, "password=hunter22 and some words that are fine here", "en", "s", 51)], docs.schema))
+    rows = rows.withColumns({c: F.lit("own") for c in ("score", "size", "spans", "_nth", "a.b")})  # names that the stages use themselves
     bench.write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     rows.write.parquet(f"{tmp_path}/documents.parquet")
+    none = rows.filter("false")
+    assert all(stage(spark, none, str(tmp_path)).collect() == [] for _, stage in P.STAGES)
     kept = P.keep_good(spark, rows, str(tmp_path))
+    assert {r.score for r in kept.collect()} == {"own"}
     assert kept.count() == rows.count() and kept.columns == rows.columns
     kept = P.keep_one_of_each(spark, rows, str(tmp_path))
     assert {r.doc_id for r in rows.collect()} - {r.doc_id for r in kept.collect()} == {701, 702} and kept.columns == rows.columns
