@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,8 +15,6 @@ from textloom.sources import records as R
 
 def place(t: Tables, name: str) -> str:
     """A path of its own in the folder that driver and executors share."""
-    import tempfile
-
     base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="textloom-")
     return f"{base}/ingest/{uuid.uuid4().hex}/{name}"
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.operators import matching as M
-from textloom.operators.cohorts import readings  # noqa: F401
 from textloom.plans.registry import query
 
 #: the SQL forms of the matching normalisation; ASCII classes keep both engines alike

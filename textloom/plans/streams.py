@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from textloom.functions.storage import settled  # noqa: F401
 from textloom.plans.registry import Tables, query
 from textloom.streaming import events as E
 
