@@ -1,5 +1,6 @@
 """URL rules, WARC archives, neighbours, decontamination and the pipeline."""
 
+import glob
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from textloom.llm import decontaminate as D
 from textloom.llm import hilbert as H
-from textloom.llm.shared import new_path
+from textloom.llm.shared import new_path, sweep
 from textloom.llm.url_rules import url_verdicts
 from textloom.llm.warc import captures, page_captures, read_warc, write_warc
 
@@ -50,6 +51,8 @@ def test_warc_round_trip(spark):
     assert got == sorted(want, key=str)
     assert found.filter("metadata.page_id = 3").first().response.payload == big
     assert found.filter("request is null or metadata is null").count() == 0
+    sweep(spark)
+    assert not glob.glob(path.removeprefix("file://"))
     empty = new_path(spark, "warc")
     write_warc(spark.createDataFrame([], "page_id long, url string, html string"), empty)
     assert captures(read_warc(spark, empty)).count() == 0

@@ -28,7 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own under the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}/{name}"
+    return f"{_own(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder, once no result is read from it any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

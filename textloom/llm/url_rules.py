@@ -24,6 +24,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.shared import written
+
 #: fixed values: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SUPPORT, LEAST_COUNT, CONFIDENCE, LONGEST = 0.005, 25, 0.6, 3
@@ -77,7 +79,7 @@ def mined_rules(baskets: DataFrame, support: float = SUPPORT, confidence: float
     rules = rules.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
     rare = rules.select("rule_id", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
-    rules = rules.join(rare, "rule_id").cache()  # their number is bounded by support and length
+    rules = written(rules.join(rare, "rule_id"), "rules")  # their number is bounded by support and length
     wider = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
     longer = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(wider, "token")
     implied = longer.filter((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("sure") >= F.col("confidence")))
