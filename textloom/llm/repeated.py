@@ -19,6 +19,7 @@ from textloom.llm.wordbatch import U, slices
 
 #: kind 0: entries to be compared; 1: ids of a key that are known to be several; from 2: rows that pass through.
 PACKED = "bucket int, kind int, keys binary, ids binary, sizes binary, marks binary"
+PIECE = 2048
 ROWS = "kind int, key long, id long, size int, mark binary"
 
 
@@ -73,8 +74,9 @@ def repeated_keys(
             nonlocal turn
             k, i, many = several(np.concatenate(keys), np.concatenate(ids))
             rows = []
-            if many.any():
-                rows.append((turn % buckets, 1, k[many].tobytes(), i[many].tobytes(), b"", b""))
+            known = [x[many] for x in (k, i)]
+            for n in range(0, len(known[0]), PIECE):
+                rows.append((turn % buckets, 1, *(x[n : n + PIECE].tobytes() for x in known), b"", b""))
                 turn += 1
             first = _runs(k)
             k, i = k[first], i[first]

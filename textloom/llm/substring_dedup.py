@@ -47,6 +47,8 @@ WINDOW = 13
 RUN = 5
 #: paths of one minimizer in one task from which they are dealt out by content
 MANY = 8
+#: rows that only pass through go in pieces of so many, each to a range of its own
+PIECE = 1024
 CONTENT = 0xC2B2AE3D27D4EB4F
 
 
@@ -126,7 +128,7 @@ def _gather(k: int, buckets: int, chunk_bytes: int = 8 << 20):
         rows = []
         if copy.any():
             d, c, s, t = _distinct_copies(doc[copy], content[copy], doc[lead][copy], at[lead][copy])
-            rows.append((turn % buckets, 2, c, d, s, t))
+            rows += [((turn + n // PIECE) % buckets, 2, c[n : n + PIECE], d[n : n + PIECE], s[n : n + PIECE], t[n : n + PIECE]) for n in range(0, len(c), PIECE)]
         key, content, doc, at = key[new], content[new], doc[new], at[new]
         begin = np.flatnonzero(_groups(key))
         number = np.diff(np.append(begin, len(key)))
