@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import search_query as Q
 from textloom.functions.text import words
 from textloom.plans.registry import Tables, query
+from textloom.sources import archives as A
 from textloom.sources import records as R
 
 
@@ -108,3 +109,30 @@ def expanded_queries(t):
     templates = t.spark.createDataFrame([(0, "{x} policy", 30), (1, "policy of {x}", 7), (2, "{x} policy", 365)], "place int, template string, since int")
     q = t.nation.crossJoin(F.broadcast(templates)).withColumn("query", F.lower(F.replace("template", F.lit("{x}"), "n_name")))  # lists of a configuration
     return q.groupBy("query").agg(F.min("place").alias("place"), F.min_by("since", "place").alias("since"))
+
+
+@query("S1_zip_members", "SELECT item_id || '.zip' AS archive, CASE WHEN item_id % 5 = 0 THEN '__MACOSX/x' ELSE 'a.txt' END AS member, CASE WHEN item_id % 5 <> 0 THEN sha256(text) END AS sha256, CASE WHEN item_id % 5 = 0 THEN 'junk' END AS skipped FROM benchmark")
+def zip_members(t):
+    i = F.col("item_id").cast("string")
+    name = F.when(F.col("item_id") % 5 == 0, "__MACOSX/x").otherwise("a.txt")
+    files = t.benchmark.select(F.concat(i, F.lit(".zip")).alias("path"), A.zipped(name, F.col("text")).alias("content"))
+    return A.members_of(files).drop("size")
+
+
+@query("S2_docx_paragraphs", "SELECT item_id || '.docx' AS file, 0 AS paragraph, 'Tag' AS style, 'Item ' || item_id AS text, 0 AS runs FROM benchmark UNION ALL SELECT item_id || '.docx', 1, NULL, 'plain bold', 1 FROM benchmark")
+def docx_paragraphs(t):
+    i = F.col("item_id").cast("string")
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    xml = F.concat(F.lit(f'<w:document {ns}><w:body><w:p><w:pPr><w:pStyle w:val="Tag"/></w:pPr><w:r><w:t>Item '), i, F.lit("</w:t></w:r></w:p><w:p><w:r><w:t>plain </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r></w:p></w:body></w:document>"))
+    files = t.benchmark.select(F.concat(i, F.lit(".docx")).alias("path"), A.zipped(F.lit("word/document.xml"), xml).alias("content"))
+    return A.paragraphs_of(files).select("file", "paragraph", "style", "text", F.size("runs").alias("runs"))
+
+
+CANDIDATE = "struct<title:string,html_url:string,publication_date:string,agencies:array<struct<name:string>>,abstract:string>"
+
+
+@query("S6_provider_records", "SELECT p_partkey, p_name AS title, 'https://docs.test/' || p_partkey AS url, p_brand || '; ' || p_type AS authors, DATE '2024-01-01' + CAST(p_size AS INTEGER) AS published, p_size > 25 AS scholarly FROM part WHERE p_name IS NOT NULL")
+def provider_records(t):
+    body = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.lit("https://docs.test/"), F.col("p_partkey").cast("string")).alias("html_url"), F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("p_size").cast("int")), "yyyy-MM-dd").alias("publication_date"), F.array(F.struct(F.col("p_brand").alias("name")), F.struct(F.col("p_type").alias("name"))).alias("agencies")))
+    rows = t.part.select("p_partkey", "p_size", body.alias("body")).select("p_partkey", "p_size", F.from_json("body", CANDIDATE).alias("r")).filter("r.title is not null")
+    return rows.select("p_partkey", F.col("r.title").alias("title"), F.col("r.html_url").alias("url"), F.array_join("r.agencies.name", "; ").alias("authors"), F.to_date("r.publication_date").alias("published"), (F.col("p_size") > 25).alias("scholarly"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from textloom.plans.ingest import place
 from textloom.plans.registry import Tables, query
 from textloom.streaming import events as E
 
@@ -65,3 +66,10 @@ def new_rows_only(t):
 @query("ST10_sessions_stream", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def sessions_stream(t):
     return finished(t, E.sessions(stream(t))).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("ST1_tail_log", "SELECT event_id, user_id FROM events")
+def tail_log(t):
+    path = place(t, "log")
+    t.events.select("event_id", "user_id").write.json(path)
+    return finished(t, E.tail(t.spark, path, "event_id long, user_id long"), "append")

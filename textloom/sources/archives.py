@@ -10,6 +10,8 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MEMBERS = "archive string, member string, size long, sha256 string, skipped string"
 JUNK = ("__MACOSX/", ".DS_Store", "Thumbs.db")
@@ -34,7 +36,11 @@ def zip_members(spark: SparkSession, path: str, limit: int = 1 << 30) -> DataFra
 
     ``limit`` bounds what one archive unpacks to; members are hashed in pieces.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
+    return members_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.zip").load(path), limit)
+
+
+def members_of(files: DataFrame, limit: int = 1 << 30) -> DataFrame:
+    """The same for files in hand: path, content."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -54,7 +60,7 @@ def zip_members(spark: SparkSession, path: str, limit: int = 1 << 30) -> DataFra
                         rows.append((name.rsplit("/", 1)[-1], info.filename, info.file_size, digest, why))
                 yield pd.DataFrame(rows, columns=["archive", "member", "size", "sha256", "skipped"])
 
-    return files.mapInPandas(read, MEMBERS)
+    return files.select("path", "content").mapInPandas(read, MEMBERS)
 
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -65,7 +71,11 @@ MARKS = (("b", "bold"), ("u", "underline"), ("highlight", "highlight"))
 
 def docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
     """Paragraphs of DOCX files in order, with the formatting of their runs as spans of characters."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    return paragraphs_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.docx").load(path))
+
+
+def paragraphs_of(files: DataFrame) -> DataFrame:
+    """The same for files in hand: path, content."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -86,4 +96,16 @@ def docx_paragraphs(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name.rsplit("/", 1)[-1], i, style.get(f"{W}val") if style is not None else None, text, runs))
                 yield pd.DataFrame(rows, columns=["file", "paragraph", "style", "text", "runs"])
 
-    return files.mapInPandas(read, PARAGRAPHS)
+    return files.select("path", "content").mapInPandas(read, PARAGRAPHS)
+
+
+@F.pandas_udf(T.BinaryType())
+def zipped(names: pd.Series, texts: pd.Series) -> pd.Series:
+    """A zip file with one member a row, its time fixed so that equal rows give equal bytes."""
+    def one(name: str, text: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text)
+        return out.getvalue()
+
+    return pd.Series([one(n, t) for n, t in zip(names, texts, strict=True)])
