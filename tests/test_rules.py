@@ -80,3 +80,12 @@ def test_quoted_runs(spark):
     t = spark.createDataFrame([(1, ["x"] + text[5:20] + ["y"])], "id long, words array<string>")
     s = spark.createDataFrame([(7, text)], "id long, words array<string>")
     assert [tuple(r) for r in M.quoted_runs(t, s).select("text_id", "source_id", "words", "start", "source_start").collect()] == [(1, 7, 15, 2, 6)]
+
+
+def test_cut_step(spark):
+    clusters = spark.createDataFrame([(i, i) for i in range(1, 9)], "id long, cluster long")
+    held = [(1, 2, 50, 100), (2, 3, 100, 200), (1, 3, 50, 200), (4, 5, 5, 100), (6, 7, 50, 60), (6, 8, 50, 70)]
+    rows = spark.createDataFrame(held, "part long, holder long, n int, m int")
+    got = dict(M.cut_step(clusters, rows).collect())
+    # 1 and then 2 come to 3; 4 is too small a share of 5; 6 has two witnesses that don't hold each other
+    assert got == {1: 3, 2: 3, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8}

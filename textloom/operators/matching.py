@@ -171,3 +171,46 @@ def link_abbreviated(short: DataFrame, full: DataFrame) -> DataFrame:
     closes = F.reverse(F.slice(F.reverse("words"), 1, F.size("closing"))) == F.col("closing")
     fits = short.join(full, "key").filter(opens & closes)
     return fits.groupBy("id").agg(F.min_by("cluster", F.struct(-F.col("copies"), "cluster")).alias("cluster"))
+
+
+#: fixed values: clusters beyond which a short part is too common, and the least share of a holder that joins
+TOO_COMMON, CUT_SHARE = 8, (1, 10)
+
+
+def cut_step(clusters: DataFrame, held: DataFrame, rounds: int = 10) -> DataFrame:
+    """(id, cluster) after parts have joined the cluster that holds them, in synchronous rounds.
+
+    ``clusters``: id, cluster; ``held``: part, holder, n, m (sizes of both),
+    one row for each body that holds another.  A cluster joins when all the
+    holders of its parts outside itself lie in one other cluster, some part is
+    at least a tenth of its smallest holder, and no part is held in more than
+    eight clusters.  A target settles first: in one round a cluster that joins
+    is not joined.  A holder that is itself held by another holder of the same
+    part counts once, as the cluster of the smaller.
+    """
+    now = settled(clusters)
+    inner = held.select(F.col("part").alias("inner"), F.col("holder").alias("outer"))
+    # of nested holders only the innermost witnesses
+    nested = held.alias("x").join(held.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.holder") != F.col("y.holder")))
+    nested = nested.join(inner, (F.col("x.holder") == F.col("outer")) & (F.col("y.holder") == F.col("inner"))).select(F.col("x.part").alias("part"), F.col("x.holder").alias("holder")).distinct()
+    witnesses = settled(held.join(nested, ["part", "holder"], "left_anti"))
+    for _ in range(rounds):
+        own = now.toDF("part", "own")
+        home = now.toDF("holder", "home")
+        seen = witnesses.join(own, "part").join(home, "holder").filter("own <> home")
+        by_part = seen.groupBy("own", "part").agg(F.count_distinct("home").alias("homes"), F.min_by(F.struct("n", "m"), F.struct("m", "holder")).alias("least"))
+        large = F.col("least.n") * CUT_SHARE[1] >= F.col("least.m") * CUT_SHARE[0]
+        gates = by_part.groupBy("own").agg(F.bool_and(F.col("homes") <= TOO_COMMON).alias("rare"), F.bool_or(large).alias("large"))
+        target = seen.groupBy("own").agg(F.count_distinct("home").alias("n"), F.min("home").alias("target")).filter("n = 1")
+        joins = settled(target.join(gates, "own").filter("rare and large").select("own", "target"))
+        # of two that would join each other the larger name joins; a target that joins is left for the next round
+        back = joins.toDF("target", "own")
+        mutual = joins.join(back, ["own", "target"], "left_semi").filter("own < target").select("own")
+        moving = joins.join(mutual, "own", "left_anti")
+        moving = moving.join(moving.select(F.col("own").alias("target")), "target", "left_anti")
+        after = settled(now.join(moving, now["cluster"] == moving["own"], "left").select("id", F.coalesce("target", "cluster").alias("cluster")))
+        changed = after.join(now.withColumnRenamed("cluster", "was"), "id").filter("cluster <> was").limit(1).count()
+        now = after
+        if not changed:
+            break
+    return now

@@ -232,3 +232,12 @@ def marker_census(t):
 def cluster_evaluation(t):
     rows = shingle_pairs(t).select((F.expr("shared * 10 >= (n + m - shared) * 8")).alias("found"), F.expr("shared * 10 >= least(n, m) * 7").alias("truth"))
     return rows.agg(F.count_if(F.expr("found and truth")).alias("tp"), F.count_if(F.expr("found and not truth")).alias("fp"), F.count_if(F.expr("not found and truth")).alias("fn"))
+
+
+@query("N12_cut_step")
+def cut_step(t):
+    rows = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 9 and n <> m")
+    small = F.col("n") < F.col("m")
+    held = rows.select(F.when(small, F.col("a")).otherwise(F.col("b")).alias("part"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("holder"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"))
+    own = t.documents.filter(SHORT).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("cluster"))
+    return M.cut_step(own, held)
