@@ -164,7 +164,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, num: i
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text_a", 2 << 20):
+        for batch in slices(batches, "text_a"):
             good = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(shingle_sets(batch.column(2), k), shingle_sets(batch.column(3), k), strict=True)):
                 shared = len(np.intersect1d(x, y, assume_unique=True))

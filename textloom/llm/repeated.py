@@ -87,7 +87,7 @@ def repeated_keys(
             if rows:
                 yield _packed(rows)
 
-        for batch in slices(batches, text, chunk_bytes // 2):
+        for batch in slices(batches, text):
             k, i, passed = entries(batch)
             if passed:
                 turn += 1

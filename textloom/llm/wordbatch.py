@@ -124,7 +124,7 @@ def windows(words: Words, hashes: np.ndarray, k: int, family: int = 0) -> tuple[
     return Ranges(hashes, _Q[family]).of(at, at + k), at
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``limit`` bytes of text; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
