@@ -137,6 +137,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20)
             stop = min(max(stop, begin + 1), batch.num_rows)
             yield batch.slice(begin, stop - begin)
             begin = stop
+        del batch, off
+        pa.default_memory_pool().release_unused()  # else a worker keeps what its largest batch took
 
 
 def int64_of(column: pa.Array, null: int = 0) -> np.ndarray:
