@@ -158,3 +158,21 @@ def test_pipeline_stages(spark, leaky, tmp_path):
     ids = [r.doc_id for r in out]
     assert len(ids) == len(set(ids)) and not set(ids) & {i for i, _ in want} and not set(ids) & {701, 702}
     assert abs(sum(r.taken for r in out) - out[0].target) < 0.05 * out[0].target
+
+
+def test_copies_are_found_among_more_items_than_rank(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7)))
+    items = [[word() for _ in range(rng.randint(30, 58))] for _ in range(2000)]
+    docs, want = [], set()
+    for i in range(300):
+        w = [word() for _ in range(rng.randint(30, 200))]
+        if i % 3:
+            k = rng.randrange(2000)
+            at = rng.randint(0, len(w))
+            w[at:at] = [word() if i % 3 == 2 and n % 9 == 4 else x for n, x in enumerate(items[k])]
+            want.add((i, k))
+        docs.append((i, " ".join(w)))
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)]
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
