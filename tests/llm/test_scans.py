@@ -140,3 +140,12 @@ def test_mix(documents, corpus, monkeypatch):
     assert sorted(map(key, rows)) == sorted(map(key, again))
     assert X.mixed(documents.filter("false")).collect() == []
     assert X.mixed(documents.withColumn("text", F.lit(None).cast("string"))).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_a_small_source_lands_beside_a_large_one(spark):
+    rng = random.Random(9)
+    rows = [(i, "a b c", "big") for i in range(4200)]
+    rows += [(10_000 + 100 * s + i, "w " * rng.randint(100, 2000), f"small{s:02}") for s in range(30) for i in range(12)]
+    found = X.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("n")).collect()
+    misses = [abs(r.taken / r.target - 1) for r in found if r.source != "big" and r.target < 2.9 * r.n]
+    assert len(misses) > 10 and sum(misses) / len(misses) < 0.005

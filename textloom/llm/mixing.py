@@ -10,7 +10,8 @@ at a time move along the vector that leaves both totals unchanged (the null
 space of a 2 x 3 matrix) until one of them reaches 0 or 1, so at most two are
 left.  Groups are bounded: a source of any size is dealt to groups by hash,
 what they leave is gathered into new groups, and so on, until one group a
-source is left.  Ten of its documents, evenly spread by size, stay out of the flight;
+source is left; each source gets there by its own size.  Ten of the documents of
+that group, evenly spread by size, stay out of the flight;
 the landing decides them with the at most two that the flight leaves, as the
 subset of all 4096 at most with the least error in tokens and documents.
 
@@ -98,19 +99,17 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return p
 
 
-def _fly(last: bool):
-    def fly(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(groups))
-        table = table.sort_by([("size", "descending"), ("rank", "ascending"), ("doc_id", "ascending")])
-        p, x = np.asarray(table.column("p")), np.asarray(table.column("size")).astype(float)
-        seed = int(np.asarray(table.column("rank"))[0]) & 0x7FFFFFFF
-        p = flight(p, x, np.random.default_rng(seed), LANDING if last else 0)
-        if last:
-            p = landing(p, x)
-        at = table.schema.get_field_index("p")
-        yield from table.set_column(at, "p", pa.array(p)).to_batches()
-
-    return fly
+def _fly(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(groups))
+    table = table.sort_by([("size", "descending"), ("rank", "ascending"), ("doc_id", "ascending")])
+    p, x = np.asarray(table.column("p")), np.asarray(table.column("size")).astype(float)
+    seed = int(np.asarray(table.column("rank"))[0]) & 0x7FFFFFFF
+    last = np.asarray(table.column("groups"))[0] == 1
+    p = flight(p, x, np.random.default_rng(seed), LANDING if last else 0)
+    if last:
+        p = landing(p, x)
+    at = table.schema.get_field_index("p")
+    yield from table.set_column(at, "p", pa.array(p)).to_batches()
 
 
 def mixed(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -133,17 +132,18 @@ def mixed(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     rank = F.xxhash64(F.lit("mix"), "doc_id", "size")
     units = joined.withColumns({"sure": F.floor(rate + 1e-9), "rank": rank, "grp": F.pmod(F.xxhash64("rank"), "groups").cast("int")})
     units = units.withColumn("p", F.greatest(F.lit(0.0), rate - F.col("sure")))
-    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "rank", "grp", "p"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "rank", "grp", "groups", "p"]
     units, most_groups, decided = units.select(*columns), max([r[3] for r in plan.collect()], default=1), []
     while True:
-        moved = units.groupBy("source", "grp").applyInArrow(_fly(most_groups == 1), units.schema)
+        moved = units.groupBy("source", "grp").applyInArrow(_fly, units.schema)
         if most_groups == 1:
             return _result([*decided, moved])
         moved = written(moved, "flight")
         open_ = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
         decided.append(moved.filter(~open_))
         most_groups = parts_for(most_groups, GROUP // 2)
-        units = moved.filter(open_).withColumn("grp", (F.col("grp") % most_groups).cast("int"))
+        units = moved.filter(open_).withColumn("groups", F.ceil(F.col("groups") / (GROUP // 2)).cast("int"))
+        units = units.withColumn("grp", (F.col("grp") % F.col("groups")).cast("int"))
 
 
 def _result(parts: list[DataFrame]) -> DataFrame:
