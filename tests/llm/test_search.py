@@ -176,3 +176,17 @@ def test_copies_are_found_among_more_items_than_rank(spark):
     bench = [(i, " ".join(w)) for i, w in enumerate(items)]
     found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("every", [0, 9])
+def test_long_items_are_found(spark, every):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7)))
+    items = [[word() for _ in range(n)] for n in (81, 500, 800, 1500, 3000)]
+    docs = [[word() for _ in range(60)] for _ in range(12)]
+    for k, item in enumerate(items):
+        docs[k][17 + k : 17 + k] = [word() if every and n % every == 4 else x for n, x in enumerate(item)]
+    docs[5][30:30] = items[2][:200]  # a quarter is no copy
+    bench = [(i, " ".join(w)) for i, w in enumerate(items)]
+    found = D.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(5)]
