@@ -82,9 +82,9 @@ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y
 p AS (SELECT a, b, shared, x.n, y.n AS m FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"""
 
 
-def shingle_pairs(t):
-    """Every pair of short documents with a shingle in common. Shingles of many documents make many pairs, so this census is for bounded groups."""
-    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text")
+def shingle_pairs(t, where: str = SHORT):
+    """Every pair of documents (short ones, as in the SQL) with a shingle in common. Shingles of many documents make many pairs, so this census is for bounded groups."""
+    s = M.bodies(t.documents.filter(where), "doc_id", "text")
     e = s.select("id", F.explode("shingles").alias("g"))
     c = e.alias("x").join(e.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"))
     n = s.select("id", F.size("shingles").alias("n"))
@@ -236,8 +236,8 @@ def cluster_evaluation(t):
 
 @query("N12_cut_step")
 def cut_step(t):
-    rows = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 9 and n <> m")
+    rows = shingle_pairs(t, "true").filter("shared * 10 >= least(n, m) * 9 and n <> m")
     small = F.col("n") < F.col("m")
     held = rows.select(F.when(small, F.col("a")).otherwise(F.col("b")).alias("part"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("holder"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"))
-    own = t.documents.filter(SHORT).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("cluster"))
+    own = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("cluster"))
     return M.cut_step(own, held)
