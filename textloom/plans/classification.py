@@ -117,7 +117,7 @@ def marker_families(t):
 
 @query("C12_leader_clusters")
 def leader_clusters(t):
-    w = F.array_sort(F.array_distinct(X.words(F.substring("text", 1, 200))))
+    w = F.array_sort(F.array_distinct(X.words(F.col("text"))))
     rows = t.benchmark.select((F.col("item_id") % 4).alias("part"), F.col("item_id").alias("id"), F.size(w).alias("weight"), w.alias("items"))
     return K.leader_clusters(rows)
 
