@@ -190,3 +190,10 @@ def test_long_items_are_found(spark, every):
     bench = [(i, " ".join(w)) for i, w in enumerate(items)]
     found = D.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(5)]
+
+
+def test_neighbours_of_small_tables(spark):
+    for n in (5, 8, 11, 12, 15, 30):
+        v = np.random.default_rng(n).normal(size=(n, 16))
+        found = H.neighbours(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), every=1).groupBy("query_id").count().collect()
+        assert {r.query_id: r["count"] for r in found} == {i: min(10, n - 1) for i in range(n)}

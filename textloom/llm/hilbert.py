@@ -11,7 +11,8 @@ nearest few by exact distance; the cells' answers merge and rerank.
 
 Every vector is on every curve.  ``reach`` ranges of ``ranges`` on either side
 set the share of a curve that a query sees; with it recall is set, at a cost
-in proportion to queries times rows.  On vectors without structure (64
+in proportion to queries times rows.  A table with few vectors is cut into
+fewer ranges, down to one, so that every query finds k.  On vectors without structure (64
 dimensions, nearly uniform on a sphere) 0.9 needs the production values here.
 
 Cases: vectors that are null, zero, or hold null or non-finite components
@@ -150,7 +151,11 @@ def neighbours(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(keys.T), pa.list_(pa.int64()))], names=["vec_id", "v", "keys"])
 
     keyed_rows = written(rows.mapInArrow(keyed, "vec_id long, v array<double>, keys array<long>"), "curves")
-    cuts = [i / ranges for i in range(1, ranges)]
+    # a range and the one below hold n / ranges rows at least: enough for k other ids, or there is one range
+    repeats = keyed_rows.groupBy("vec_id").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    ranges = max(1, min(ranges, repeats["n"] // ((k + 1) * repeats["most"])))
+    curves = curves if ranges > 1 else 1  # one range of one curve is the whole table
+    cuts = [i / ranges for i in range(1, ranges)] or [1.0]
     found = keyed_rows.agg(*(F.percentile_approx(F.col("keys")[c], cuts, 20_000).alias(f"c{c}") for c in range(curves))).first()
     edges = [sorted(set(found[c])) for c in range(curves)]
 
