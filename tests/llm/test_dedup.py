@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 
 import numpy as np
@@ -15,6 +16,8 @@ from textloom.llm.components import components
 from textloom.llm.jaccard_join import apart, jaccard_components, join_keys, shingle_sets, sketch
 from textloom.llm.substring_dedup import substring_dedup
 
+from .conftest import prose
+
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -107,7 +110,12 @@ def test_similar_sets_share_a_key(n, seed, change):
     shared, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
     assert apart(sketch(a), sketch(b)) <= union - shared if len(b) else True
     if len(b) and 100 * shared >= 80 * union:
-        assert len(np.intersect1d(join_keys(a), join_keys(b)))
+        met = set()
+        every = [[(e, set(keys.tolist()), need) for e, keys, need in join_keys(s)] for s in (a, b)]
+        for one, two in (every, every[::-1]):
+            other = set().union(*(keys for _, keys, _ in two))
+            met.add(any(len(keys & other) >= need for _, keys, need in one))
+        assert met == {True}
 
 
 def test_short_and_empty_sets():
@@ -124,3 +132,63 @@ def test_components_of_long_paths(spark):
 def test_empty_tables(spark, documents):
     none = documents.filter("false")
     assert substring_dedup(none).collect() == [] and jaccard_components(none).collect() == []
+
+
+def thue_morse(a, b, turns):
+    for _ in range(turns):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_and_runs_that_differ_in_a_regular_way():
+    """Polynomials modulo a power of two cannot tell these apart."""
+    a, b = thue_morse("a", "b", 11)
+    one, two = W.split_words(pa.array([f"{a} {b}"])).hashes().tolist()
+    assert one != two
+    x, y = thue_morse(["x"], ["y"], 11)
+    found = W.split_words(pa.array([" ".join(x), " ".join(y)]))
+    one, two = W.Ranges(found.hashes(), 12345).of(found.first[:-1], found.first[1:]).tolist()
+    assert one != two
+
+
+def test_regular_words_in_the_operators(spark):
+    a, b = thue_morse("a", "b", 11)
+    rng = random.Random(1)
+    rows = [(1, " ".join([*(prose(rng, 6).split()), a, *(prose(rng, 6).split())])), (2, " ".join([*(prose(random.Random(1), 6).split()), b, *(prose(rng, 6).split())]))]
+    rows += [(3, " ".join(thue_morse(["x"], ["y"], 9)[0])), (4, " ".join(thue_morse(["x"], ["y"], 9)[1]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup(df).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got), key=str) == brute_dedup(rows, 13)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()), key=str) == brute_components(rows)
+
+
+def test_a_row_without_id_links_others(spark):
+    rng = random.Random(9)
+    base = prose(rng, 200).split()
+    far = list(base)
+    middle = list(base)
+    for i in (20, 60, 100, 140):
+        middle[i] = far[i] = "changed"
+    for i in (30, 80, 120, 170):
+        far[i] = "other"
+    rows = [(3, " ".join(far)), (None, " ".join(middle)), (1, " ".join(base)), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()), key=str)
+    assert got == brute_components(rows) and dict((d, c) for d, _, c in got if d) == {1: 1, 3: 1}
+
+
+def test_many_sets_in_one_block_stay_in_proportion(spark):
+    """Texts with one passage in common and nothing else share sketch blocks, but no partner is looked for."""
+    rng = random.Random(3)
+    passage = prose(rng, 40)
+    vary = [f"{passage} " + " ".join(f"w{i}x{j}" for j in range(60)) for i in range(600)]
+    near = []
+    for i in range(60):  # copies of one text that are near each other to all degrees
+        w = [f"n{j}" for j in range(150)]
+        for j in range(i % 12):
+            w[(j * 12 + i) % 150] = f"c{i}x{j}"
+        near.append(" ".join(w))
+    rows = list(enumerate(vary + near))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df).collect()), key=str)
+    assert got == brute_components(rows)

@@ -23,10 +23,12 @@ PIECE = 2048
 ROWS = "kind int, key long, id long, size int, mark binary"
 
 
-def _bucket_starts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each range of the sorted keys begins."""
-    edges = np.array([(i << 64) // buckets for i in range(buckets)], dtype=U)
-    return np.append(np.searchsorted(keys, edges), len(keys))
+def bucket_runs(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets (ranges of equal width) that sorted keys fall into, and where their keys lie; empty ones cost nothing."""
+    of = ((keys >> U(32)) * U(buckets)) >> U(32)
+    begin = _runs(of)
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True) if len(keys) else ():
+        yield int(of[a]), slice(a, b)
 
 
 def _runs(keys: np.ndarray) -> np.ndarray:
@@ -80,10 +82,8 @@ def repeated_keys(
                 turn += 1
             first = _runs(k)
             k, i = k[first], i[first]
-            starts = _bucket_starts(k, buckets)
-            for b in np.flatnonzero(np.diff(starts)):
-                s = slice(starts[b], starts[b + 1])
-                rows.append((int(b), 0, k[s].tobytes(), i[s].tobytes(), b"", b""))
+            for b, s in bucket_runs(k, buckets):
+                rows.append((b, 0, k[s].tobytes(), i[s].tobytes(), b"", b""))
             if rows:
                 yield _packed(rows)
 

@@ -39,6 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.repeated import bucket_runs
 from textloom.llm.shared import buckets_for, sized_filters, small_batches, text_bytes, written
 from textloom.llm.wordbatch import U, Ranges, Words, int64_of, mix, slices, split_words, windows
 
@@ -104,13 +105,6 @@ def _pack(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:2]), *(pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[2:])], names=NAMES)
 
 
-def _split(by: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    edges = np.searchsorted(by, np.array([(i << 64) // buckets for i in range(buckets)], dtype=U)).tolist() + [len(by)]
-    for b in range(buckets):
-        if edges[b + 1] > edges[b]:
-            yield b, slice(edges[b], edges[b + 1])
-
-
 def _distinct_copies(doc: np.ndarray, content: np.ndarray, source: np.ndarray, source_at: np.ndarray) -> tuple[np.ndarray, ...]:
     order = np.lexsort((source_at, source, content, doc))
     keep = order[_groups(doc[order], content[order])]
@@ -136,14 +130,14 @@ def _gather(k: int, buckets: int, chunk_bytes: int = 8 << 20):
         if hot.any():
             by = np.argsort(content[hot], kind="stable")
             h = [x[hot][by] for x in (key, content, doc, at)]
-            rows += [(b, 1, *(x[s] for x in h)) for b, s in _split(h[1], buckets)]
+            rows += [(b, 1, *(x[s] for x in h)) for b, s in bucket_runs(h[1], buckets)]
             marker = begin[number >= MANY]  # one entry tells the others that this minimizer branches
             at = at.copy()
             at[marker] = -1
             keep = ~hot
             keep[marker] = True
             key, content, doc, at = key[keep], content[keep], doc[keep], at[keep]
-        rows += [(b, 0, key[s], content[s], doc[s], at[s]) for b, s in _split(key, buckets)]
+        rows += [(b, 0, key[s], content[s], doc[s], at[s]) for b, s in bucket_runs(key, buckets)]
         return _pack(rows) if rows else None
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,14 @@
 
 Words are maximal runs of bytes other than space and 09-0D.  In UTF-8 these
 separators never occur inside a longer sequence, so bytes suffice and code
-points need no decoding.  All hashing is over 64-bit unsigned arithmetic:
-polynomial prefix sums give the hash of any byte or word range in O(1).
+points need no decoding.  A word is hashed eight bytes at a time with a
+non-linear mix between them; ranges of words by two polynomials over the field
+of 2**31 - 1, whose prefix sums give the hash of any range in O(1).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +19,11 @@ import pyarrow as pa
 U = np.uint64
 _M = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD93}
 _Q = {0: 0xBF58476D1CE4E5B9, 1: 0x94D049BB133111EB}
+PRIME = (1 << 31) - 1
+#: bytes of a word from which it is hashed by itself
+LONG_WORD = 256
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -31,15 +37,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x mod 2**31 - 1 for x below 2**62."""
+    p = U(PRIME)
+    x = (x & p) + (x >> U(31))
+    x = (x & p) + (x >> U(31))
+    return np.where(x >= p, x - p, x)
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
         size = max(1 << 16, 1 << (int(n) - 1).bit_length())
         both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
+        for b in (base, pow(base, -1, PRIME)):
+            p = np.ones(1, U)
+            while len(p) < size:
+                p = np.concatenate((p, _mod(p * U(pow(b, len(p), PRIME)))))
+            both.append(p)
         have = _POWERS[base] = tuple(both)
     return have[0][:n], have[1][:n]
 
@@ -48,13 +63,16 @@ class Ranges:
     """Hash of any range of a sequence of 64-bit numbers."""
 
     def __init__(self, values: np.ndarray, base: int):
-        self.base, n = base, len(values)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(values * _powers(base, n)[0], out=self.sums[1:], dtype=U)
+        n, self.halves = len(values), []
+        for salt in (0, 1):
+            b = base * (2 * salt + 1) % (PRIME - 3) + 2
+            sums = np.zeros(n + 1, U)
+            np.cumsum(_mod(_mod(values >> U(1 + 31 * salt) & U(PRIME)) * _powers(b, n)[0]), out=sums[1:], dtype=U)
+            self.halves.append((b, sums))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = _powers(self.base, len(self.sums))[1]
-        return mix((self.sums[end] - self.sums[start]) * inverse[start] + (end - start).astype(U) * U(0xA24BAED4963EE407))
+        low, high = (_mod(_mod(sums[end] - sums[start]) * _powers(b, len(sums))[1][start]) for b, sums in self.halves)
+        return mix((high << U(31) | low) + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
 @dataclass
@@ -71,7 +89,21 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, family: int = 0) -> np.ndarray:
-        return Ranges(self.data.astype(U) + U(1), _M[family]).of(self.start, self.end)
+        """A hash of each word's bytes and length."""
+        data = np.concatenate((self.data, np.zeros(8, np.uint8)))
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        length, seed = self.end - self.start, U(_M[family])
+        out = np.full(len(length), seed, U)
+        todo, at = np.flatnonzero(length < LONG_WORD), 0
+        while len(todo):
+            chunk = eight[self.start[todo] + at] & _MASK[np.minimum(length[todo] - at, 8)]
+            out[todo] = mix(out[todo] ^ chunk)
+            at += 8
+            todo = todo[length[todo] > at]
+        for i in np.flatnonzero(length >= LONG_WORD):
+            word = self.data[self.start[i] : self.end[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=bytes([family])).digest(), "little")
+        return mix(out + length.astype(U) * seed)
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
