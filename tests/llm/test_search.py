@@ -160,6 +160,37 @@ def test_pipeline_stages(spark, leaky, tmp_path):
     assert abs(sum(r.taken for r in out) - out[0].target) < 0.05 * out[0].target
 
 
+def test_pipeline_takes_rows_without_id_and_any_column(spark, leaky, tmp_path):
+    docs, bench, want = leaky
+    text = {r.doc_id: r.text for r in docs.collect()}
+    leak = min(want)[0]
+    good = [i for i in text if i < 80 and i not in {d for d, _ in want}]
+    rows = [(i, text[i]) for i in good]
+    rows += [(None, text[leak]), (None, text[good[0]]), (None, "alone " * 3 + text[good[1]][::-1]), (None, "alone " * 3 + text[good[1]][::-1]), (None, None), (None, None), (good[2], text[good[2]]), (good[3], "other words under the same id and a token=abcdefgh1")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or ""), (n, [n])) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, odd struct<`a-b`:int,`c d`:array<int>>")
+    df = df.withColumn("pairs", F.create_map(F.lit("k y"), F.lit(1)))
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def numbers(stage):
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns and [f.dataType for f in out.schema] == [f.dataType for f in df.schema]
+        return sorted(r.odd["a-b"] for r in out.collect())
+
+    every = list(range(len(rows)))
+    n = len(good)
+    assert numbers(P.keep_good) == every and numbers(P.hide_secrets) == every
+    assert numbers(P.drop_leaks) == [i for i in every if i != n]
+    kept = numbers(P.keep_one_of_each)
+    assert n + 1 not in kept and len({n + 2, n + 3} & set(kept)) == 1 and {n + 4, n + 5, n + 7} < set(kept)
+    assert len({2, n + 6} & set(kept)) == 1 and len(kept) == len(rows) - 3
+    mixed = P.mix_sources(spark, df, str(tmp_path)).collect()
+    assert len({r.odd["a-b"] for r in mixed}) == len(mixed) and abs(sum(r.taken for r in mixed) - mixed[0].target) < 0.05 * mixed[0].target
+    assert sorted((r.odd["a-b"], r.copies) for r in mixed) == sorted((r.odd["a-b"], r.copies) for r in P.mix_sources(spark, df.repartition(3), str(tmp_path)).collect())
+    assert P.run(spark, str(tmp_path)).count() > 0
+
+
 def test_copies_are_found_among_more_items_than_rank(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 7)))

@@ -253,6 +253,13 @@ def jaccard_components(
     df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR
 ) -> DataFrame:
     """One row per document: doc, n_shingles, component_id (the smallest doc that links reach, itself included)."""
+    return jaccard_groups(df, doc, text, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(
+    df: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR
+) -> DataFrame:
+    """``jaccard_components`` with text_hash (xxhash64 of the text) and grp, which names the component also where no row of it has a doc (null without words)."""
     small_batches(df.sparkSession)
     docs = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     docs = docs.select("doc", F.xxhash64("text").alias("text_hash"), "text")
@@ -284,8 +291,9 @@ def jaccard_components(
 
     named = sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "size", "doc", F.coalesce("label", "sid").alias("label"))
     least = named.groupBy("label").agg(F.min("doc").alias("component_id"))
-    names = named.join(least, "label").select("sid", "size", "component_id")
+    names = named.join(least, "label").select("sid", "size", "component_id", F.col("label").alias("grp"))
     out = every.join(names, ["sid", "size"], "left")
     return out.select(
-        F.col("doc").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id")
-    )
+        F.col("doc").alias("doc_id"), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc")).alias("component_id"),
+        "text_hash", "grp",
+    )

@@ -112,11 +112,12 @@ def _fly(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from table.set_column(at, "p", pa.array(p)).to_batches()
 
 
-def mixed(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: float = MOST) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies and taken (size * copies)."""
+def mixed(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", weights: tuple = WEIGHTS, most: float = MOST, carry: tuple = ()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken (size * copies) and the ``carry`` columns."""
     sized = written(
         df.select(
-            F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")
+            F.col(doc).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.xxhash64(F.col(text).cast("string")).alias("mark"), *(F.col(c) for c in carry),
         ),
         "sizes",
     )
@@ -129,15 +130,15 @@ def mixed(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
     )
     joined = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank = F.xxhash64(F.lit("mix"), "doc_id", "size")
+    rank = F.xxhash64(F.lit("mix"), "doc_id", "size", "mark", *carry)
     units = joined.withColumns({"sure": F.floor(rate + 1e-9), "rank": rank, "grp": F.pmod(F.xxhash64("rank"), "groups").cast("int")})
     units = units.withColumn("p", F.greatest(F.lit(0.0), rate - F.col("sure")))
-    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "rank", "grp", "groups", "p"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "sure", "rank", "grp", "groups", "p", *carry]
     units, most_groups, decided = units.select(*columns), max([r[3] for r in plan.collect()], default=1), []
     while True:
         moved = units.groupBy("source", "grp").applyInArrow(_fly, units.schema)
         if most_groups == 1:
-            return _result([*decided, moved])
+            return _result([*decided, moved], carry)
         moved = written(moved, "flight")
         open_ = (F.col("p") > 1e-9) & (F.col("p") < 1 - 1e-9)
         decided.append(moved.filter(~open_))
@@ -146,9 +147,9 @@ def mixed(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str =
         units = units.withColumn("grp", (F.col("grp") % F.col("groups")).cast("int"))
 
 
-def _result(parts: list[DataFrame]) -> DataFrame:
+def _result(parts: list[DataFrame], carry: tuple) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     copies = (F.col("sure") + F.round("p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), *carry)

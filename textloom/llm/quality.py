@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textloom.llm.shared import small_batches
 from textloom.llm.wordbatch import slices, split_words
@@ -206,7 +207,7 @@ def quality_scores(df: DataFrame, labels: DataFrame, doc: str = "doc_id", text:
     docs = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
     model = fit_quality(docs.select("doc_id", "text").dropna(subset=["doc_id"]), labels, sample)
     kept = docs.columns if carry else ["doc_id", "text"]
-    scored = docs.select(*kept).mapInArrow(_apply(model), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", score double")
+    scored = docs.select(*kept).mapInArrow(_apply(model), StructType([*docs.select(*kept).schema.fields, StructField("score", DoubleType())]))
     return scored.select(
         "doc_id", F.coalesce(_fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"),
         *(["text"] if carry else []), *(F.col(f"carry_{c}").alias(c) for c in carry),

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from textloom.llm.shared import small_batches
 from textloom.llm.wordbatch import slices, text_arrays
@@ -191,6 +192,6 @@ def secret_scan(df: DataFrame, doc: str = "doc_id", text: str = "text", threshol
     counted = docs.select("text").mapInArrow(_counts, "pair long, ordinary long, secret long")
     for pair, a, b in counted.groupBy("pair").agg(F.sum("ordinary"), F.sum("secret")).collect():  # N * N rows at most
         ordinary[pair], secret[pair] = max(0, a), b
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
-    out = docs.mapInArrow(_scan(ratio_table(ordinary, secret).tolist(), threshold, redact), SCANNED + kept)
+    schema = StructType([*StructType.fromDDL(SCANNED).fields, *docs.schema.fields[2:]])
+    out = docs.mapInArrow(_scan(ratio_table(ordinary, secret).tolist(), threshold, redact), schema)
     return out.withColumnsRenamed({f"carry_{c}": c for c in carry})
