@@ -96,6 +96,114 @@ def similar_pairs(sets: DataFrame, pairs: DataFrame, share: tuple[int, int] = CO
     return rows.filter(F.col("shared") * share[1] >= (F.col("n") + F.col("m") - F.col("shared")) * share[0])
 
 
+def distinct_bodies(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, keys) of each distinct set under its smallest id, keys being 64-bit hashes of its shingles, and (id, rep) of every body with shingles."""
+    hashed = sets.select("id", F.array_sort(F.transform("shingles", lambda x: F.xxhash64(x))).alias("keys")).filter(F.size("keys") > 0)
+    hashed = settled(hashed.withColumn("name", F.xxhash64("keys")))
+    rep = hashed.groupBy("name").agg(F.min("id").alias("rep"))
+    members = hashed.select("id", "name").join(rep, "name").select("id", "rep")
+    return settled(hashed.join(rep, (F.col("id") == F.col("rep")) & (hashed["name"] == rep["name"]), "left_semi").select("id", "keys")), members
+
+
+def by_rarity(bodies: DataFrame) -> DataFrame:
+    """(key, id, n, place): the keys of each body (id, keys), place 0 for the one that the fewest bodies have."""
+    rows = bodies.select("id", F.size("keys").alias("n"), F.explode("keys").alias("key"))
+    rows = rows.join(rows.groupBy("key").agg(F.count("*").alias("bearers")), "key")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("bearers", "key")) - 1).drop("bearers")
+
+
+def _counted(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(a, b, shared, n, m) of pairs (a, b) of bodies (id, keys)."""
+    x = bodies.select(F.col("id").alias("a"), F.col("keys").alias("x"))
+    y = bodies.select(F.col("id").alias("b"), F.col("keys").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("shared"), F.size("x").alias("n"), F.size("y").alias("m"))
+
+
+def near_pairs(bodies: DataFrame, share: tuple[int, int] = COPY) -> DataFrame:
+    """(a, b, shared, n, m): all pairs a < b of distinct bodies whose Jaccard reaches the share.
+
+    With c common keys at least, one of the |A| - c + 1 rarest keys of A is one
+    of the |B| - c + 1 rarest of B, so only those are entered, and a pair meets
+    only where both sizes leave that place possible.
+    """
+    num, den = share
+    all_ = num + den
+    rows = settled(by_rarity(bodies).filter(F.col("place") * all_ <= F.col("n") * den - F.ceil(F.col("n") * num / den) * num))
+    x, y = rows.alias("x"), rows.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    fits = (n * den >= m * num) & (m * den >= n * num) & (F.col("x.place") * all_ <= n * den - m * num) & (F.col("y.place") * all_ <= m * den - n * num)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & fits)
+    pairs = _counted(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), bodies)
+    return pairs.filter(F.col("shared") * den >= (F.col("n") + F.col("m") - F.col("shared")) * num)
+
+
+def part_pairs(bodies: DataFrame, share: tuple[int, int] = CONTAINED) -> DataFrame:
+    """(a, b, shared, n, m): all pairs a < b of distinct bodies of which the larger holds the share of the smaller; the part enters by its rarest keys alone."""
+    num, den = share
+    rows = settled(by_rarity(bodies))
+    part, holder = rows.filter(F.col("place") * den <= F.col("n") * (den - num)).alias("x"), rows.alias("y")
+    larger = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id")))
+    met = part.join(holder, (F.col("x.key") == F.col("y.key")) & larger)
+    pairs = _counted(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), bodies)
+    return pairs.filter(F.col("shared") * den >= F.least("n", "m") * num)
+
+
+def first_holder_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b, shared, n, m): each body with the first body that holds one of its shingles; no more pairs than shingles, however common they are."""
+    bodies = settled(sets.select("id", F.transform("shingles", lambda x: F.xxhash64(x)).alias("keys")))
+    rows = bodies.select("id", F.explode("keys").alias("key"))
+    lead = rows.groupBy("key").agg(F.min("id").alias("a"))
+    return _counted(rows.join(lead, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct(), bodies)
+
+
+#: fixed values: shingles below which one word may differ, words that must agree on either side of it, and
+#: words of the part that may be lost at the difference where the stretch is as long, one longer, one shorter
+FEW, FLANK = 60, K
+LOST = {0: 1, 1: 1, -1: 2}
+
+
+def but_for_one_word(part: list[str], whole: list[str]) -> bool:
+    """Whether ``part`` is one stretch of ``whole`` but for one word changed, split, joined, added or dropped between equal flanks."""
+    n = len(part)
+    if n < FLANK:
+        return False
+
+    def reach(i: int, j: int, step: int) -> int:
+        run = 0
+        while 0 <= i < n and 0 <= j < len(whole) and part[i] == whole[j]:
+            run, i, j = run + 1, i + step, j + step
+        return run
+
+    opens = [(j, reach(0, j, 1)) for j, w in enumerate(whole) if w == part[0]]
+    closes = [(j + 1, reach(n - 1, j, -1)) for j, w in enumerate(whole) if w == part[-1]]
+    for begin, ahead in opens:
+        if ahead == n:
+            return True
+        for end, back in closes:
+            lost = LOST.get(end - begin - n)
+            if lost is not None and ahead >= FLANK and back >= FLANK and min(ahead, n - FLANK) + min(back, n - FLANK) >= n - lost:
+                return True
+    return False
+
+
+@F.pandas_udf(T.BooleanType())
+def one_word_apart(part: pd.Series, whole: pd.Series) -> pd.Series:
+    return pd.Series([but_for_one_word(list(a), list(b)) for a, b in zip(part, whole, strict=True)])
+
+
+def plain_minima(rows: DataFrame, n: int = BANDS * ROWS) -> DataFrame:
+    """(id, m0, m1, ...): MinHash over 31-bit hashes (id, x) by n linear maps modulo 2**31 - 1; partial minima before the shuffle."""
+    return rows.groupBy("id").agg(*(F.min((F.col("x") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(linear_maps(n))))
+
+
+PRIME = (1 << 31) - 1
+
+
+def linear_maps(n: int) -> list[tuple[int, int]]:
+    """Multipliers and offsets of the plain MinHash, by rule."""
+    return [(pow(48_271, 2 * i + 1, PRIME), pow(69_621, 2 * i + 2, PRIME)) for i in range(n)]
+
+
 def copy_clusters(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, cluster): near copies by MinHash candidates; the cluster is its smallest id."""
     sets = settled(bodies(df, key, text))
@@ -177,8 +285,8 @@ def link_abbreviated(short: DataFrame, full: DataFrame) -> DataFrame:
 TOO_COMMON, CUT_SHARE = 8, (1, 10)
 
 
-def cut_step(clusters: DataFrame, held: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, cluster) after parts have joined the cluster that holds them, in synchronous rounds.
+def cut_step(clusters: DataFrame, held: DataFrame) -> DataFrame:
+    """(id, cluster) after parts have joined the cluster that holds them, in synchronous rounds until none joins.
 
     ``clusters``: id, cluster; ``held``: part, holder, n, m (sizes of both),
     one row for each body that holds another.  A cluster joins when all the
@@ -194,7 +302,7 @@ def cut_step(clusters: DataFrame, held: DataFrame, rounds: int = 10) -> DataFram
     nested = held.alias("x").join(held.alias("y"), (F.col("x.part") == F.col("y.part")) & (F.col("x.holder") != F.col("y.holder")))
     nested = nested.join(inner, (F.col("x.holder") == F.col("outer")) & (F.col("y.holder") == F.col("inner"))).select(F.col("x.part").alias("part"), F.col("x.holder").alias("holder")).distinct()
     witnesses = settled(held.join(nested, ["part", "holder"], "left_anti"))
-    for _ in range(rounds):
+    while True:  # every round that goes on has fewer clusters than the one before
         own = now.toDF("part", "own")
         home = now.toDF("holder", "home")
         seen = witnesses.join(own, "part").join(home, "holder").filter("own <> home")
@@ -212,5 +320,4 @@ def cut_step(clusters: DataFrame, held: DataFrame, rounds: int = 10) -> DataFram
         changed = after.join(now.withColumnRenamed("cluster", "was"), "id").filter("cluster <> was").limit(1).count()
         now = after
         if not changed:
-            break
-    return now
+            return now

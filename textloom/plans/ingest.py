@@ -90,18 +90,12 @@ def postings_match(t):
     return p.join(terms, "term").groupBy("doc_id").agg(F.count("*").alias("found")).filter("found >= 3")
 
 
-@query("J4_band_join", "WITH b AS (SELECT doc_id, md5(substr(text, 1, 40)) AS band FROM documents) SELECT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y USING (band) WHERE x.doc_id < y.doc_id")
-def band_join(t):
-    b = t.documents.select("doc_id", F.md5(F.substring("text", 1, 40)).alias("band"))
-    j = b.alias("x").join(b.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.doc_id") < F.col("y.doc_id")))
-    return j.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-
-
-@query("J6_anchor_join", "WITH w AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark) SELECT s.item_id AS short, f.item_id AS \"full\" FROM w s JOIN w f ON s.w[1:3] = f.w[1:3] AND s.w[-3:] = f.w[-3:]")
+@query("J6_anchor_join", "WITH w AS (SELECT item_id, string_split(text, ' ')[1:3] AS o, string_split(text, ' ')[-3:] AS c FROM benchmark), g AS (SELECT o, c, min(item_id) AS \"full\", count(*) AS holders FROM w GROUP BY 1, 2) SELECT item_id AS short, \"full\", holders FROM w JOIN g USING (o, c)")
 def anchor_join(t):
+    """Each short body with the first body between the same anchors, and how many there are: one row a body, not a pair."""
     w = t.benchmark.select("item_id", F.split("text", " ").alias("w")).select("item_id", F.slice("w", 1, 3).alias("opening"), F.slice("w", -3, 3).alias("closing"))
-    j = w.alias("s").join(w.alias("f"), (F.col("s.opening") == F.col("f.opening")) & (F.col("s.closing") == F.col("f.closing")))
-    return j.select(F.col("s.item_id").alias("short"), F.col("f.item_id").alias("full"))
+    full = w.groupBy("opening", "closing").agg(F.min("item_id").alias("full"), F.count("*").alias("holders"))
+    return w.join(full, ["opening", "closing"]).select(F.col("item_id").alias("short"), "full", "holders")
 
 
 @query("R15_expanded_queries", "WITH v AS (SELECT n_name FROM nation), q AS (SELECT t.place, lower(replace(t.template, '{x}', n_name)) AS query, t.since FROM v CROSS JOIN (VALUES (0, '{x} policy', 30), (1, 'policy of {x}', 7), (2, '{x} policy', 365)) AS t (place, template, since)) SELECT query, min(place) AS place, arg_min(since, place) AS since FROM q GROUP BY 1")

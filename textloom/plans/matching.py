@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.storage import settled
 from textloom.operators import matching as M
 from textloom.plans.registry import query
 
 #: the SQL forms of the matching normalisation; ASCII classes keep both engines alike
 NORM = "trim(regexp_replace(lower(translate(text, '‘’‚‛′´`“”„‟″«»‐‑‒–—―−', '''''''''''''''\"\"\"\"\"\"\"-------')), '[\\s  ]+', ' ', 'g'))"
 WORDS = f"regexp_extract_all(regexp_replace({NORM}, '([0-9a-z_])- ([0-9a-z_])', '\\1\\2', 'g'), '\\w+')"
-SHORT = "n_chars < 3000"
 
 
-def shingle_sql(where: str = SHORT) -> str:
+def shingle_sql() -> str:
     runs = "list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))"
-    return f"t AS (SELECT doc_id, {WORDS} AS w FROM documents WHERE {where}), s AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {runs} END AS sh FROM t)"
+    return f"t AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {runs} END AS sh FROM t)"
 
 
 @query("N1_normalize", f"SELECT doc_id, md5({NORM}) AS form FROM documents")
@@ -55,40 +55,68 @@ def matching_words(t):
 
 @query("N6_shingles", f"WITH {shingle_sql()} SELECT doc_id, len(sh) AS n, md5(array_to_string(list_sort(sh), '|')) AS digest FROM s")
 def shingles(t):
-    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text")
+    s = M.bodies(t.documents, "doc_id", "text")
     return s.select(F.col("id").alias("doc_id"), F.size("shingles").cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort("shingles"), "|")).alias("digest"))
 
 
 SIG = "list_transform(generate_series(0, 7), lambda i: list_min(list_transform(sh, lambda x: ('0x' || substr(md5(CAST(i AS VARCHAR) || '|' || x), 1, 8))::BIGINT)))"
 
 
-@query("N7_minhash_md5", f"WITH {shingle_sql('n_chars < 1500')} SELECT doc_id, array_to_string({SIG}, ',') AS signature FROM s WHERE len(sh) > 0")
+@query("N7_minhash_md5", f"WITH {shingle_sql()} SELECT doc_id, array_to_string({SIG}, ',') AS signature FROM s WHERE len(sh) > 0")
 def minhash_md5(t):
-    s = M.bodies(t.documents.filter("n_chars < 1500"), "doc_id", "text").filter(F.size("shingles") > 0)
+    s = M.bodies(t.documents, "doc_id", "text").filter(F.size("shingles") > 0)
     return s.select(F.col("id").alias("doc_id"), F.array_join(F.transform(M.signature_column(F.col("shingles"), 8), lambda x: x.cast("string")), ",").alias("signature"))
 
 
-@query("N8_band_candidates", f"WITH {shingle_sql('n_chars < 1500')}, g AS (SELECT doc_id, {SIG} AS sig FROM s WHERE len(sh) > 0), k AS (SELECT doc_id, unnest([0, 1, 2, 3]) AS band, sig FROM g), b AS (SELECT doc_id, band, sig[band * 2 + 1] AS x, sig[band * 2 + 2] AS y FROM k), l AS (SELECT band, x, y, min(doc_id) AS a FROM b GROUP BY 1, 2, 3) SELECT DISTINCT a, doc_id AS b FROM b JOIN l USING (band, x, y) WHERE doc_id <> a")
-def band_candidates(t):
-    s = M.bodies(t.documents.filter("n_chars < 1500"), "doc_id", "text").filter(F.size("shingles") > 0)
-    keyed = s.select("id", F.explode(M.band_keys(M.signature_column(F.col("shingles"), 8), 4, 2)).alias("key"))
+MINIMA = ", ".join(f"min((x * {a} + {b}) % {M.PRIME}) AS m{i}" for i, (a, b) in enumerate(M.linear_maps(M.BANDS * M.ROWS)))
+BAND_SQL = f"""{shingle_sql()}, x AS (SELECT doc_id, ('0x' || substr(md5(unnest(sh)), 1, 8))::BIGINT // 2 AS x FROM s), g AS (SELECT doc_id, {MINIMA} FROM x GROUP BY 1),
+k AS (SELECT doc_id, unnest([{", ".join("'" + str(b) + "|' || " + " || ',' || ".join(f"m{M.ROWS * b + r}" for r in range(M.ROWS)) for b in range(M.BANDS))}]) AS key FROM g),
+l AS (SELECT key, min(doc_id) AS a FROM k GROUP BY 1), c AS (SELECT a, doc_id AS b, count(*) AS bands FROM k JOIN l USING (key) WHERE doc_id <> a GROUP BY 1, 2)"""
+
+
+def band_members(t):
+    """(a, b, bands): each document with the first document of each of its 32 bands of 4 minima, and in how many bands it meets it."""
+    s = M.bodies(t.documents, "doc_id", "text")
+    x = s.select("id", F.explode("shingles").alias("g")).select("id", F.shiftright(F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("bigint"), 1).alias("x"))
+    signed = M.plain_minima(x)
+    minima = F.array(*(F.col(f"m{i}") for i in range(M.BANDS * M.ROWS)))
+    keyed = settled(signed.select("id", F.explode(M.band_keys(minima)).alias("key")))
     lead = keyed.groupBy("key").agg(F.min("id").alias("a"))
-    return keyed.join(lead, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return keyed.join(lead, "key").filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("bands"))
+
+
+@query("N8_band_candidates", f"WITH {BAND_SQL} SELECT a, b FROM c")
+def band_candidates(t):
+    return band_members(t).select("a", "b")
+
+
+@query("J4_band_join", f"WITH {BAND_SQL} SELECT a, b, bands FROM c WHERE bands >= 2")
+def band_join(t):
+    return band_members(t).filter("bands >= 2")
+
+
+COUNTED = "p AS (SELECT a, b, shared, x.n, y.n AS m FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"
 
 
 def near_sql() -> str:
-    return f"""{shingle_sql()}, e AS (SELECT doc_id, unnest(sh) AS g FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s),
-c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
-p AS (SELECT a, b, shared, x.n, y.n AS m FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b)"""
+    """Each document with the first holder of one of its shingles."""
+    return f"""{shingle_sql()}, e AS (SELECT doc_id, hash(unnest(sh)) AS g FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s),
+l AS (SELECT g, min(doc_id) AS a FROM e GROUP BY 1), k AS (SELECT DISTINCT a, doc_id AS b FROM e JOIN l USING (g) WHERE doc_id <> a),
+c AS (SELECT k.a, k.b, count(*) AS shared FROM k JOIN e x ON x.doc_id = k.a JOIN e y ON y.doc_id = k.b AND y.g = x.g GROUP BY 1, 2), {COUNTED}"""
+
 
+def distinct_sql() -> str:
+    """All pairs of distinct bodies, each under its smallest id."""
+    return f"""{shingle_sql()}, r AS (SELECT min(doc_id) AS doc_id FROM s WHERE len(sh) > 0 GROUP BY list_sort(sh)), e AS (SELECT doc_id, hash(unnest(sh)) AS g FROM s JOIN r USING (doc_id)), n AS (SELECT doc_id, len(sh) AS n FROM s),
+c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2), {COUNTED}"""
 
-def shingle_pairs(t, where: str = SHORT):
-    """Every pair of documents (short ones, as in the SQL) with a shingle in common. Shingles of many documents make many pairs, so this census is for bounded groups."""
-    s = M.bodies(t.documents.filter(where), "doc_id", "text")
-    e = s.select("id", F.explode("shingles").alias("g"))
-    c = e.alias("x").join(e.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("shared"))
-    n = s.select("id", F.size("shingles").alias("n"))
-    return c.join(n.select(F.col("id").alias("a"), "n"), "a").join(n.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
+
+def shingle_pairs(t):
+    return M.first_holder_pairs(M.bodies(t.documents, "doc_id", "text"))
+
+
+def distinct_bodies(t):
+    return M.distinct_bodies(M.bodies(t.documents, "doc_id", "text"))
 
 
 SHAPE = "CASE WHEN shared = 0 THEN 'nothing' WHEN shared * 100 >= greatest(n, m) * 98 THEN 'identical' WHEN shared * 10 >= least(n, m) * 9 AND least(n, m) * 3 < greatest(n, m) THEN 'contained, small' WHEN shared * 10 >= least(n, m) * 9 THEN 'contained, large' WHEN shared * 10 >= least(n, m) * 3 THEN 'overlapping' ELSE 'a little' END"
@@ -117,15 +145,17 @@ def jaccard_containment(t):
     return shingle_pairs(t).select("a", "b", F.round(s / (n + m - s), 6).alias("jaccard"), F.round(s / F.least(n, m), 6).alias("containment"))
 
 
-@query("N9_copy_pairs", f"WITH {near_sql()} SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8")
+@query("N9_copy_pairs", f"WITH {distinct_sql()} SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8")
 def copy_pairs(t):
-    return shingle_pairs(t).filter("shared * 10 >= (n + m - shared) * 8").select("a", "b")
+    """Pairs of distinct bodies; N13_components has the members of each."""
+    return M.near_pairs(distinct_bodies(t)[0]).select("a", "b")
 
 
-@query("N13_components", f"WITH RECURSIVE {near_sql()}, l AS (SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8), links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), reach AS (SELECT doc_id AS id, doc_id AS label FROM s UNION SELECT links.b, reach.label FROM reach JOIN links ON links.a = reach.id) SELECT id, min(label) AS cluster FROM reach GROUP BY 1")
+@query("N13_components", f"WITH RECURSIVE {shingle_sql()}, e AS (SELECT doc_id, hash(unnest(sh)) AS g FROM s), n AS (SELECT doc_id, len(sh) AS n FROM s), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM e x JOIN e y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2), {COUNTED}, l AS (SELECT a, b FROM p WHERE shared * 10 >= (n + m - shared) * 8), links AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), reach AS (SELECT doc_id AS id, doc_id AS label FROM s UNION SELECT links.b, reach.label FROM reach JOIN links ON links.a = reach.id) SELECT id, min(label) AS cluster FROM reach GROUP BY 1")
 def components(t):
-    links = shingle_pairs(t).filter("shared * 10 >= (n + m - shared) * 8").select("a", "b")
-    return M.min_label_components(t.documents.filter(SHORT).select(F.col("doc_id").alias("id")), links).withColumnRenamed("component", "cluster")
+    bodies, members = distinct_bodies(t)
+    links = M.near_pairs(bodies).select("a", "b").union(members.filter("id <> rep").select("rep", "id"))
+    return M.min_label_components(t.documents.select(F.col("doc_id").alias("id")), links).withColumnRenamed("component", "cluster")
 
 
 @query("N9_copy_clusters_minhash")
@@ -140,26 +170,41 @@ def ordered_clusters(t):
     return M.ordered_clusters(pairs, sets)
 
 
-@query("N11_containment", f"WITH {near_sql()} SELECT a, b, n <= m AS first_is_part FROM p WHERE shared * 10 >= least(n, m) * 9 AND shared * 10 < (n + m - shared) * 8")
+@query("N11_containment", f"WITH {distinct_sql()} SELECT a, b, n <= m AS first_is_part FROM p WHERE shared * 10 >= least(n, m) * 9 AND shared * 10 < (n + m - shared) * 8")
 def containment(t):
-    rows = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 9 and shared * 10 < (n + m - shared) * 8")
+    rows = M.part_pairs(distinct_bodies(t)[0]).filter("shared * 10 < (n + m - shared) * 8")
     return rows.select("a", "b", (F.col("n") <= F.col("m")).alias("first_is_part"))
 
 
-@query("J5_end_shingle_join", f"WITH {shingle_sql()}, o AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[1:5], ' '), array_to_string(w[-5:], ' ')])) AS g, len(sh) AS n FROM s WHERE len(sh) > 0), e AS (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM s) SELECT DISTINCT o.doc_id AS part, e.doc_id AS holder FROM o JOIN e ON o.g = e.g AND o.doc_id <> e.doc_id AND o.n * 10 >= e.n AND o.n <= e.n")
-def end_shingle_join(t):
-    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text").filter(F.size("shingles") > 0)
+@query("N11_but_for_one_word")
+def but_for_one_word(t):
+    """Bodies of fewer than 60 shingles that a body with one of their ends holds but for one word."""
+    s = settled(M.bodies(t.documents, "doc_id", "text"))
+    pairs = end_pairs(s).filter(F.col("n") < M.FEW).select("part", "holder").distinct()
+    w = s.select("id", "words")
+    both = pairs.join(w.toDF("part", "x"), "part").join(w.toDF("holder", "y"), "holder")
+    return both.filter(M.one_word_apart("x", "y")).select("part", "holder")
+
+
+def end_pairs(s):
+    """(part, holder, n): bodies whose first or last shingle another one has that is at most ten times as large and no smaller."""
+    s = s.filter(F.size("shingles") > 0)
     first, last = F.slice("words", 1, 5), F.when(F.size("words") < 5, F.col("words")).otherwise(F.slice("words", -5, 5))
     ends = s.select("id", F.size("shingles").alias("n"), F.explode(F.array_distinct(F.array(F.array_join(first, " "), F.array_join(last, " ")))).alias("g"))
     every = s.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("g"))
     j = ends.alias("o").join(every.alias("e"), F.col("o.g") == F.col("e.g"))
-    return j.filter("o.id <> e.id and o.n * 10 >= e.n and o.n <= e.n").select(F.col("o.id").alias("part"), F.col("e.id").alias("holder")).distinct()
+    return j.filter("o.id <> e.id and o.n * 10 >= e.n and o.n <= e.n").select(F.col("o.id").alias("part"), F.col("e.id").alias("holder"), F.col("o.n").alias("n"))
+
+
+@query("J5_end_shingle_join", f"WITH {shingle_sql()}, o AS (SELECT doc_id, unnest(list_distinct([array_to_string(w[1:5], ' '), array_to_string(w[-5:], ' ')])) AS g, len(sh) AS n FROM s WHERE len(sh) > 0), e AS (SELECT doc_id, unnest(sh) AS g, len(sh) AS n FROM s) SELECT DISTINCT o.doc_id AS part, e.doc_id AS holder FROM o JOIN e ON o.g = e.g AND o.doc_id <> e.doc_id AND o.n * 10 >= e.n AND o.n <= e.n")
+def end_shingle_join(t):
+    return end_pairs(M.bodies(t.documents, "doc_id", "text")).select("part", "holder").distinct()
 
 
 @query("N16_shared_word_mask", f"WITH {near_sql()}, x AS (SELECT a, b FROM p WHERE shared * 10 >= least(n, m) * 5), y AS (SELECT x.a, x.b, s.w, o.sh FROM x JOIN s ON s.doc_id = x.a JOIN s o ON o.doc_id = x.b WHERE len(s.w) >= 5), i AS (SELECT a, b, unnest(generate_series(1, len(w) - 4)) AS p0, w, sh FROM y), h AS (SELECT DISTINCT a, b, p0 + d AS word FROM i, (SELECT unnest([0, 1, 2, 3, 4]) AS d) WHERE list_contains(sh, array_to_string(w[p0:p0+4], ' '))) SELECT a, b, count(*) AS shared_words FROM h GROUP BY 1, 2")
 def shared_word_mask(t):
     pairs = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 5").select("a", "b")
-    s = M.bodies(t.documents.filter(SHORT), "doc_id", "text")
+    s = settled(M.bodies(t.documents, "doc_id", "text"))
     j = pairs.join(s.select(F.col("id").alias("a"), "words"), "a").join(s.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b").filter(F.size("words") >= 5)
     starts = F.filter(F.sequence(F.lit(1), F.size("words") - 4), lambda i: F.array_contains("other", F.array_join(F.slice("words", i, 5), " ")))
     hit = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + 4))))
@@ -198,9 +243,9 @@ def unmatched_groups(t):
     return t.benchmark.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("members"), F.min("item_id").alias("first"))
 
 
-@query("N21_holders_of_two", f"WITH {near_sql()}, h AS (SELECT CASE WHEN n >= m THEN a ELSE b END AS holder, CASE WHEN n >= m THEN b ELSE a END AS part FROM p WHERE shared * 10 >= least(n, m) * 9) SELECT holder, count(DISTINCT part) AS parts FROM h GROUP BY 1 HAVING count(DISTINCT part) >= 2")
+@query("N21_holders_of_two", f"WITH {distinct_sql()}, h AS (SELECT CASE WHEN n >= m THEN a ELSE b END AS holder, CASE WHEN n >= m THEN b ELSE a END AS part FROM p WHERE shared * 10 >= least(n, m) * 9) SELECT holder, count(DISTINCT part) AS parts FROM h GROUP BY 1 HAVING count(DISTINCT part) >= 2")
 def holders_of_two(t):
-    rows = shingle_pairs(t).filter("shared * 10 >= least(n, m) * 9")
+    rows = M.part_pairs(distinct_bodies(t)[0])
     larger = F.col("n") >= F.col("m")
     h = rows.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("holder"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("part"))
     return h.groupBy("holder").agg(F.count_distinct("part").alias("parts")).filter("parts >= 2")
@@ -228,7 +273,7 @@ def marker_census(t):
     return lines.groupBy(form.alias("form")).agg(F.count("*").alias("lines"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query("A42_cluster_evaluation", f"WITH {near_sql()}, k AS (SELECT a, b, shared * 10 >= (n + m - shared) * 8 AS found, shared * 10 >= least(n, m) * 7 AS truth FROM p) SELECT count(*) FILTER (found AND truth) AS tp, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn FROM k")
+@query("A42_cluster_evaluation", f"WITH {near_sql()}, q AS (SELECT a, b, shared * 10 >= (n + m - shared) * 8 AS found, shared * 10 >= least(n, m) * 7 AS truth FROM p) SELECT count(*) FILTER (found AND truth) AS tp, count(*) FILTER (found AND NOT truth) AS fp, count(*) FILTER (NOT found AND truth) AS fn FROM q")
 def cluster_evaluation(t):
     rows = shingle_pairs(t).select((F.expr("shared * 10 >= (n + m - shared) * 8")).alias("found"), F.expr("shared * 10 >= least(n, m) * 7").alias("truth"))
     return rows.agg(F.count_if(F.expr("found and truth")).alias("tp"), F.count_if(F.expr("found and not truth")).alias("fp"), F.count_if(F.expr("not found and truth")).alias("fn"))
@@ -236,8 +281,9 @@ def cluster_evaluation(t):
 
 @query("N12_cut_step")
 def cut_step(t):
-    rows = shingle_pairs(t, "true").filter("shared * 10 >= least(n, m) * 9 and n <> m")
+    bodies, members = distinct_bodies(t)
+    rows = M.part_pairs(bodies).filter("n <> m")
     small = F.col("n") < F.col("m")
     held = rows.select(F.when(small, F.col("a")).otherwise(F.col("b")).alias("part"), F.when(small, F.col("b")).otherwise(F.col("a")).alias("holder"), F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"))
-    own = t.documents.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("cluster"))
+    own = members.select("id", F.col("rep").alias("cluster"))
     return M.cut_step(own, held)
