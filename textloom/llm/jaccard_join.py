@@ -35,11 +35,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.components import components
-from textloom.llm.repeated import repeated_keys
+from textloom.llm.repeated import bucket_runs, repeated_keys
 from textloom.llm.shared import buckets_for, sized_filters, small_batches, text_bytes, written
 from textloom.llm.wordbatch import U, Ranges, int64_of, mix, slices, split_words, windows
 
@@ -206,25 +206,60 @@ def _left(of: Column, partner: Column, num: int, den: int) -> Column:
     return of * den - partner * num
 
 
+COUNTS = "bucket int, chunk int, keys binary, counts binary"
+RARE = "key long, sid long, size int, place int, lone int"
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "chunk", "keys", "counts"])
+
+
 def _rarest(alive: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(key, sid, size, place, lone): the shingles that a partner may have as its first common one, rarest first.
 
     place: how many rarer ones the set has; lone: how many of its shingles no other set has.
+    The sets are dealt to chunks; a chunk sends each of its shingles once, with
+    the number of its sets, and gets the sum over all chunks back.
     """
-
-    def entries(batch: pa.RecordBatch):
-        sets = shingle_sets(batch.column(1), k)
-        return np.concatenate(sets) if sets else np.zeros(0, U), np.repeat(int64_of(batch.column(0)), [len(s) for s in sets]), []
-
-    texts = alive.select("sid", "text")
-    held = written(repeated_keys(texts, "text", entries, buckets_for(texts, text_bytes(texts), 2 << 20)).select("key", F.col("id").alias("sid")), "shingles")
-    numbers = held.groupBy("key").agg(F.count("*").alias("bearers"))
-    one = Window.partitionBy("sid")
-    ranked = held.join(numbers, "key").withColumn("nth", F.dense_rank().over(one.orderBy("bearers", "key"))).withColumn("all", F.max("nth").over(one))
-    ranked = ranked.join(alive.select("sid", "size"), "sid").withColumn("lone", F.col("size") - F.col("all")).withColumn("place", F.col("nth") - 1 + F.col("lone"))
-    least = F.ceil(F.col("size") * num / den)
-    kept = ranked.filter(F.col("place") * (den + num) <= _left(F.col("size"), least, num, den))
-    return written(kept.select("key", "sid", "size", "place", "lone").distinct(), "rarest")
+    chunks = buckets_for(alive, text_bytes(alive), 8 << 20)
+    dealt = alive.select(F.pmod(F.xxhash64("sid"), F.lit(chunks)).cast("int").alias("chunk"), "sid", "text")
+
+    def count(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, chunk = [np.zeros(0, U)], 0
+        for batch in slices(groups, "text"):
+            chunk = batch.column(0)[0].as_py()
+            keys += shingle_sets(batch.column(2), k)
+        found, counts = np.unique(np.concatenate(keys), return_counts=True)
+        yield _rows([(b, chunk, found[at].tobytes(), counts[at].astype(np.uint32).tobytes()) for b, at in bucket_runs(found, chunks)])
+
+    def total(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [row for batch in groups for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)]
+        keys = [np.frombuffer(p[2], U) for p in parts]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.bincount(at, weights=np.concatenate([np.frombuffer(p[3], np.uint32) for p in parts]), minlength=len(every)).astype(np.int64)
+        yield _rows([(p[0], p[1], b"", sums[np.searchsorted(every, own)].tobytes()) for p, own in zip(parts, keys, strict=True)])
+
+    def rank(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        pieces = list(slices(iter(texts.to_batches()), "text"))
+        sets = [s for p in pieces for s in shingle_sets(p.column(2), k)]
+        sids = [i for p in pieces for i in p.column(1).to_pylist()]
+        keys = np.unique(np.concatenate([np.zeros(0, U), *sets]))
+        bodies = answers.column("counts").to_pylist()
+        numbers = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(bodies[i], np.int64) for i in np.argsort(np.asarray(answers.column("bucket"))))])
+        out = []
+        for sid, s in zip(sids, sets, strict=True):
+            bearers, n = numbers[np.searchsorted(keys, s)], len(s)
+            lone = int((bearers == 1).sum())
+            stop = (n * den - -(-n * num // den) * num) // (den + num) + 1
+            place = np.lexsort((s, bearers))[lone:stop]
+            out.append((s[place].view(np.int64), np.full(len(place), sid), np.full(len(place), n), lone + np.arange(len(place)), np.full(len(place), lone)))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+        return pa.table({name: pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, (name, c) in enumerate(zip(("key", "sid", "size", "place", "lone"), cols, strict=True))})
+
+    counted = dealt.groupBy("chunk").applyInArrow(count, COUNTS).groupBy("bucket").applyInArrow(total, COUNTS)
+    return written(dealt.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(rank, RARE), "rarest")
 
 
 def _bucket(size: Column) -> Column:
