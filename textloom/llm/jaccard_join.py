@@ -148,7 +148,7 @@ ALIVE = "sid long, size int, mark binary, text string"
 def _texts(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(sid, size, mark, text) of every wanted set (sid, size, doc, text_hash), from a document that has it; mark: its wide sketch."""
     id_of = F.coalesce("doc", F.lit(NO_ID))
-    want = wanted.select("sid", "size", id_of.alias("id"), "text_hash")
+    want = wanted.filter("size > 0").select("sid", "size", id_of.alias("id"), "text_hash")  # filtered, so that Spark builds its Bloom filter of it
     joined = docs.select(id_of.alias("id"), "text_hash", "text").join(want, ["id", "text_hash"]).select("sid", "size", "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
