@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from textloom.llm.shared import small_batches
-from textloom.llm.wordbatch import slices, text_arrays
+from textloom.llm.wordbatch import slices
 
 #: fixed patterns, with the least length of the group that counts
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -58,6 +58,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
+def taught(text: str) -> tuple[list[str], str]:
+    """Values of the fixed patterns (random strings), and the text without them, shorter ones of their kind and runs that the models judge."""
+    spans = [m.span() for m in RUN.finditer(text) if _mixed(m[0])]
+    values = []
+    if "=" in text or ":" in text:
+        for m in ASSIGN.finditer(text):
+            spans.append(m.span())
+            if len(m[2]) >= ASSIGN_LEAST:
+                values.append(m[2])
+    for m in [*(ACCESS.finditer(text) if "AKIA" in text else ()), *HEX.finditer(text)]:
+        spans.append(m.span())
+        if m.re is HEX or m.end() - m.start() >= ACCESS_LEAST:
+            values.append(m[0])
+    rest, at = [], 0
+    for a, b in sorted(spans):
+        rest.append(text[at : max(a, at)])
+        at = max(at, b)
+    return values, " ".join([*rest, text[at:]])
+
+
 def generated_keys(n: int = 2000, seed: int = 11) -> list[bytes]:
     """Labelled random strings of the usual alphabets."""
     rng = random.Random(seed)
@@ -91,18 +111,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Transition counts of one task: ordinary text and the values of the patterns."""
     ordinary, secret = np.zeros(N * N, np.int64), np.zeros(N * N, np.int64)
     for batch in slices(batches, "text"):
-        data, _ = text_arrays(batch.column(0))
-        inside = CLASS[data] < N - 3
-        both = inside[:-1] & inside[1:]
-        c = CLASS[data]
-        ordinary += np.bincount((c[:-1] * N + c[1:])[both], minlength=N * N)
-        for text in batch.column(0).to_pylist():
-            for m in RUN.finditer(text or ""):
-                if _mixed(m[0]):  # undecided runs teach neither model
-                    ordinary -= transitions(np.frombuffer(m[0].encode(), np.uint8))
-            for a, b, _ in base_spans(text or ""):
-                one = transitions(np.frombuffer(text[a:b].split("=")[-1].split(":")[-1].strip(" \"'").encode(), np.uint8))
-                secret += one
+        both = [taught(text or "") for text in batch.column(0).to_pylist()]
+        c = CLASS[np.frombuffer("\n".join(rest for _, rest in both).encode(), np.uint8)]
+        inside = c < N - 3
+        ordinary += np.bincount((c[:-1] * N + c[1:])[inside[:-1] & inside[1:]], minlength=N * N)
+        for value in (v for values, _ in both for v in values):
+            secret += transitions(np.frombuffer(value.encode(), np.uint8))
     at = np.flatnonzero(ordinary + secret)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(ordinary[at]), pa.array(secret[at])], names=["pair", "ordinary", "secret"])
 
@@ -191,7 +205,7 @@ def secret_scan(df: DataFrame, doc: str = "doc_id", text: str = "text", threshol
     ordinary, secret = np.zeros(N * N), np.zeros(N * N)
     counted = docs.select("text").mapInArrow(_counts, "pair long, ordinary long, secret long")
     for pair, a, b in counted.groupBy("pair").agg(F.sum("ordinary"), F.sum("secret")).collect():  # N * N rows at most
-        ordinary[pair], secret[pair] = max(0, a), b
+        ordinary[pair], secret[pair] = a, b
     schema = StructType([*StructType.fromDDL(SCANNED).fields, *docs.schema.fields[2:]])
     out = docs.mapInArrow(_scan(ratio_table(ordinary, secret).tolist(), threshold, redact), schema)
     return out.withColumnsRenamed({f"carry_{c}": c for c in carry})
