@@ -28,7 +28,9 @@ from textloom.llm.shared import written
 
 #: fixed values: verdict, host, path
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SUPPORT, LEAST_COUNT, CONFIDENCE, LONGEST = 0.005, 25, 0.6, 3
+SUPPORT, CONFIDENCE, LONGEST = 0.005, 0.6, 3
+#: deviations by which the confidence of a rule has to exceed the share of bad pages among all labelled ones
+SURE = 2.6
 BAD = "label:bad"
 SALT = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,14 +70,18 @@ def mined_rules(baskets: DataFrame, support: float = SUPPORT, confidence: float
     """(rule_id, tokens, rarest, confidence, support) from labelled baskets (tokens, bad).
 
     A rule's tokens and label occur together in at least ``support`` of the
-    baskets and in ``LEAST_COUNT`` of them; one that a part of its tokens
-    implies with no less confidence is pruned.
+    baskets; the lower bound of its confidence (Wilson's interval, ``SURE``
+    deviations) is above the share of bad baskets, so that a rule of a few rows
+    is not chance; one that a part of its tokens implies with no less
+    confidence is pruned.
     """
-    n = baskets.count()
-    support = min(1.0, max(support, LEAST_COUNT / max(1, n)))
+    n, share = baskets.agg(F.count("*"), F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()
     items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets.select(items.alias("items")).filter(F.size("items") > 0))
     rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= longest))
+    p, held = F.col("confidence"), F.col("support") * n / F.col("confidence")  # baskets that hold the tokens
+    low = (p + SURE**2 / (2 * held) - SURE * F.sqrt(p * (1 - p) / held + SURE**2 / (4 * held * held))) / (1 + SURE**2 / held)
+    rules = rules.filter(low > share)
     rules = rules.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "support")
     single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
     rare = rules.select("rule_id", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
