@@ -1,6 +1,7 @@
 """Secrets, quality, language-model scores and mixing."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from textloom.llm import lm_score as L
 from textloom.llm import mixing as X
 from textloom.llm.quality import quality_scores
-from textloom.llm.secret_scan import base_spans, secret_scan
+from textloom.llm.secret_scan import base_spans, secret_scan, taught
+from textloom.llm.wordbatch import split_words
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -48,6 +50,32 @@ def test_secret_rows(spark):
     assert secret_scan(df.filter("false")).collect() == []
 
 
+def test_secrets_of_held_out_labels(spark):
+    """Recall over random strings, precision over identifiers, that the models were not trained on."""
+    rng = random.Random(77)
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    secret = ["".join(rng.choices(alphabets[i % 3], k=rng.randint(24, 48))) for i in range(300)]
+    secret = [s for s in secret if re.search("[0-9]", s) and re.search("[A-Za-z]", s)]
+    parts = "invoice customer address shipping discount payment refund warehouse inventory quantity schedule calendar meeting employee salary department network server client socket".split()
+    plain = ["".join(w.capitalize() for w in rng.choices(parts, k=3)) + str(rng.randint(1, 99)) for _ in range(150)] + ["_".join(rng.choices(parts, k=4)) + f"_v{i}" for i in range(150)]
+    prose = [(1000 + i, " ".join(rng.choices([*parts, *(x.capitalize() for x in parts)], k=80))) for i in range(60)]
+    df = spark.createDataFrame([(i, f"some words {x} and more") for i, x in enumerate(secret + plain)] + prose, "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan(df).collect() if "markov" in r.span_list}
+    caught = len([i for i in found if i < len(secret)])
+    assert caught >= 0.95 * len(secret) and len(found) - caught <= 0.02 * len(plain)
+
+
+def test_what_teaches_the_secret_models():
+    values, rest = taught('a token="QUJDREVG" b secret=abc= c password: YWJjZA==')
+    assert values == ["QUJDREVG", "YWJjZA=="] and "abc" not in rest and "QUJ" not in rest and rest.startswith("a ")
+
+
+def test_long_texts_are_scanned_whole(spark):
+    text = "x " * 400_000 + "password=hunter22"
+    r = secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.span_list == f"assign:800000:{len(text)}" and r.n_assign == 1
+
+
 def test_quality_on_held_out_rows(spark):
     rng, rows, labels = random.Random(2), [], []
     for i in range(400):
@@ -85,27 +113,46 @@ def test_language_model(documents, corpus):
     assert L.lm_scores(documents.filter("false")).collect() == []
 
 
-def test_mixer_is_a_distribution():
-    rng = np.random.default_rng(0)
-    counts = np.zeros(1 << 24, np.float32)
-    at = rng.integers(0, 1 << 24, 3000)
-    np.add.at(counts, at, rng.integers(1, 9, 3000))
-    table, rest = L.fitted(counts.copy(), counts, np.bincount(rng.integers(0, 256, 500), minlength=256))
-    total = (10.0 ** -table.reshape(-1, 64)[:: 1 << 12].astype(float)).sum(1)
-    assert np.allclose(total, 1, atol=5e-3)
-    for c in range(64):
-        assert abs((10.0 ** -rest[L.CLASSES == c]).sum() - 1) < 1e-9
+def coded_types(texts, halves):
+    words = split_words(pa.array(texts, pa.string()), lower=True)
+    return L.types_of(words, np.arange(len(texts)) % 3, np.array(halves))
+
+
+def test_words_have_a_distribution():
+    """Over all words of up to three letters of a small alphabet, each followed by a space, and the end, the chances add up to less than one, and to most of it."""
+    rng = random.Random(5)
+    every = ["".join(w) for n in (1, 2, 3) for w in itertools.product("abé1", repeat=n)]
+    texts = [" ".join(rng.choices(every[:40], k=60)) for _ in range(12)] + [" ".join(every)] * 3
+    types, at = coded_types(texts, [0, 1] * 6 + [2] * 3)
+    types = L.Types.read(types.packed())
+    rows = list(L._tables(iter([pa.RecordBatch.from_arrays([pa.array([types.packed()], pa.binary())], names=["types"])])))[0].to_pylist()
+    table, seen = np.zeros((2 * L.STARTS[-1], 2), np.float32), np.frombuffer(rows[0]["counts"], np.int64)
+    for r in rows[1:]:
+        table[np.frombuffer(r["slots"], np.uint32)] = np.frombuffer(r["counts"], np.float32).reshape(-1, 2)
+    assert seen.sum() == sum(len(w.encode()) + 1 for t in texts[:12] for w in t.split())
+    mixer, first = L.Mixer(), np.ascontiguousarray(table[:, 0]).reshape(-1, 2)
+    assert mixer.learn(first, types, 0.05).sum() == 6 * sum(len(w.encode()) + 1 for t in texts[1:12:2] for w in [*t.split(), ""])
+    mixer.adapt(first, types)
+    size, held = np.bincount(L.CLASSES, minlength=64), np.bincount(L.CLASSES, weights=seen, minlength=64)
+    rest = np.log10((seen + 0.5) / (held + 0.5 * size)[L.CLASSES])
+    cost = mixer.costs(table.sum(1).reshape(-1, 2), rest, types)
+    for group in range(3):
+        total = (10.0 ** cost[types.group == group]).sum()
+        assert 0.5 < total < 1 + 1e-9
+    assert len(at) == sum(len(t.split()) for t in texts) + len(texts)
 
 
 @given(st.lists(st.text("ab \x00é", max_size=12), min_size=1, max_size=5))
 @settings(max_examples=100, deadline=None)
-def test_context_stays_in_its_text(texts):
-    words, code, word_at, begin = L.coded(pa.array(texts))
-    every = L.grams(code, begin)
-    for i, t in enumerate(texts):
-        alone = L.coded(pa.array([t]))
-        assert code[begin[i] : begin[i + 1]].tobytes() == alone[1].tobytes()
-        assert every[begin[i] : begin[i + 1]].tolist() == L.grams(alone[1], alone[3]).tolist()
+def test_types_know_their_words(texts):
+    types, at = coded_types(texts, [0] * len(texts))
+    begin = np.concatenate(([0], np.cumsum(types.length)))
+    body = [types.body[a:b].tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    want = [m.encode() for t in texts for m in re.findall(r"[^\x20\x09-\x0D]+", t)] + [b""] * len(texts)
+    assert [body[i] for i in at.tolist()] == want
+    twice, place = L.Types.joined([types, types]).merged()
+    assert twice.packed() == L.Types(types.home, types.key, types.group, types.a * 2, types.b * 2, types.length, types.body).packed()
+    assert place.tolist() == [*range(len(types.key))] * 2
 
 
 def test_targets_stop_at_three_times():

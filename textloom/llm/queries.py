@@ -68,6 +68,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op2_url_rules that SQL can follow."""
+    return op2_url_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def base_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op4_secret_scan that SQL can follow."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op5_mixing that SQL can follow."""
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 4).alias("target"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_rules": op2_url_rules,
@@ -79,6 +94,9 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
+    "base_url_rules": base_url_rules,
+    "base_secret_spans": base_secret_spans,
+    "base_mix_targets": base_mix_targets,
 }
 WORD = r"[^\x20\x09-\x0D]+"
 DEDUP_ORACLE = f"""
@@ -104,4 +122,29 @@ reach AS (SELECT doc_id AS id, doc_id AS label FROM d UNION SELECT links.b, reac
 c AS (SELECT id, min(label) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM d JOIN c ON c.id = d.doc_id LEFT JOIN n USING (doc_id)
 """
-ORACLES: dict[str, str] = {"op1_substring_dedup": DEDUP_ORACLE, "op3_warc": WARC_ORACLE, "op7_jaccard_join": JACCARD_ORACLE}
+URL_ORACLE = """
+WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)
+SELECT page_id, host, path, CASE
+ WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+ WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+ WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+ WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM u
+"""
+NAMES = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key"))
+SECRET_ORACLE = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, len(list_filter(regexp_extract_all(text, '({NAMES})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+ len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM t
+"""
+MIX_ORACLE = f"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY 1),
+w AS (SELECT *, CASE place % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight FROM s),
+r AS (SELECT *, 3.0 * n / weight AS full_at FROM w),
+c AS (SELECT *, ((SELECT sum(n) FROM s) - coalesce(sum(3 * n) OVER o, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0)) AS level FROM r WINDOW o AS (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT min(level) AS level FROM c WHERE full_at >= level)
+SELECT doc_id, size, n AS source_size, round(least(3.0 * n, weight * coalesce(l.level, 0)), 4) AS target FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source, l
+"""
+ORACLES: dict[str, str] = {
+    "base_url_rules": URL_ORACLE, "base_secret_spans": SECRET_ORACLE, "base_mix_targets": MIX_ORACLE,
+    "op1_substring_dedup": DEDUP_ORACLE, "op3_warc": WARC_ORACLE, "op7_jaccard_join": JACCARD_ORACLE}
