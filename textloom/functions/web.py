@@ -12,10 +12,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: fixed values: query names that only track, and the suffixes under which anyone may register
-TRACKING = ("fbclid", "gclid", "msclkid", "igshid", "mc_cid", "mc_eid", "ref", "ref_src", "cmpid", "ocid", "s_cid")
+#: fixed values: query names that only track
+TRACKING = (
+    "fbclid", "gclid", "gclsrc", "dclid", "gbraid", "wbraid", "gad_source", "msclkid", "twclid", "ttclid", "li_fat_id", "yclid", "igshid", "igsh", "mc_cid", "mc_eid",
+    "_hsenc", "_hsmi", "__hstc", "__hssc", "__hsfp", "hsctatracking", "mkt_tok", "elqtrackid", "elqtrack", "elqaid", "elqat", "elqcampaignid", "_ga", "_gl", "_branch_match_id",
+    "oly_anon_id", "oly_enc_id", "vero_id", "vero_conv", "wickedid", "s_kwcid", "ef_id", "s_cid", "smid", "smtyp", "cmp", "cmpid", "ncid", "ocid", "xtor", "at_medium", "at_campaign",
+    "ref_src", "ref_url", "__twitter_impression", "fb_action_ids", "fb_action_types", "fb_ref", "fb_source", "action_object_map", "action_type_map", "action_ref_map",
+    "guccounter", "guce_referrer", "guce_referrer_sig", "usqp", "amp_js_v", "amp_gsa", "amp_ct", "amp_tf", "aoh",
+)
 TRACKING_PREFIX = "utm_"
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "co.jp", "co.nz", "com.br")
+#: public suffixes of two labels under which anyone may register; ``suffix_rules`` reads the whole public list
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "ltd.uk", "me.uk", "net.uk", "nhs.uk", "org.uk", "plc.uk", "police.uk", "sch.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp",
+    "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz", "com.br", "gov.br", "net.br", "org.br", "ac.in", "co.in", "gov.in", "net.in", "org.in", "ac.za", "co.za", "gov.za", "org.za", "co.kr", "go.kr", "or.kr",
+    "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.mx", "gob.mx", "org.mx", "com.ar", "com.tr", "gov.tr", "com.sg", "edu.sg", "com.hk", "com.tw", "co.il", "com.ua", "github.io", "blogspot.com",
+)
 MOBILE = ("m.", "amp.", "mobile.")
 
 
@@ -88,6 +99,29 @@ def canonical_simple(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
+def suffix_rules(text: str) -> dict[str, tuple[str, ...]]:
+    """Plain rules, wildcards and exceptions of the public suffix list in its published format."""
+    out: dict[str, list[str]] = {"plain": [], "wild": [], "except": []}
+    for line in text.splitlines():
+        rule = line.split("//")[0].strip().lower()
+        if rule:
+            kind = "except" if rule[0] == "!" else "wild" if rule.startswith("*.") else "plain"
+            out[kind].append(rule.removeprefix("!").removeprefix("*."))
+    return {k: tuple(v) for k, v in out.items()}
+
+
+def registrable_by_rules(host: str | None, rules: dict[str, tuple[str, ...]]) -> str | None:
+    """One label more than the longest public suffix of a host; None for addresses, empty labels and bare suffixes."""
+    labels = (host or "").lower().rstrip(".").split(".")
+    if "" in labels or ":" in host or labels[-1].isdigit():
+        return None
+    tails = [".".join(labels[i:]) for i in range(len(labels))] + [""]
+    size = next((len(labels) - i - 1 for i, t in enumerate(tails[:-1]) if t in rules["except"]), None)
+    if size is None:
+        size = max((len(labels) - i for i in range(len(labels)) if tails[i] in rules["plain"] or tails[i + 1] and tails[i + 1] in rules["wild"]), default=1)
+    return tails[len(labels) - size - 1] if size < len(labels) else None
+
+
 def registrable_domain(host: Column) -> Column:
     """The part of a host that someone registered: one label more than the public suffix."""
     labels = F.split(F.lower(host), r"\.")
@@ -118,6 +152,10 @@ def content_kind(body: Column) -> Column:
     )
 
 
+#: parts of a page that are not its main text, and the least main text that counts
+AROUND = {"nav", "header", "footer", "aside", "form", "menu"}
+MAIN = {"main", "article"}
+LEAST_MAIN = 200
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "blockquote", "pre", "section", "article", "main", "header", "footer", "nav", "ul", "ol", "table", "tr", "body", "figcaption", "dd", "dt"}
 DROPPED = {"script", "style", "noscript", "template", "title", "head"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "source", "wbr"}
@@ -131,6 +169,8 @@ class _Page(HTMLParser):
         self.open: list[list] = []
         self.dropped, self.blocks, self.meta, self.ld, self.title, self.canonical = 0, [], {}, [], "", None
         self.keep: str | None = None
+        self.inside: list[str] = []  # open parts of AROUND and MAIN
+        self.where: list[tuple[bool, bool]] = []  # of each block, whether it is in a main part, and around it
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
@@ -142,6 +182,8 @@ class _Page(HTMLParser):
             self.canonical = self.canonical or a.get("href")
         elif tag in ("title",) or tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.keep = "title" if tag == "title" else "ld"
+        if tag in AROUND or tag in MAIN:
+            self.inside.append(tag)
         if tag in DROPPED and tag != "head":
             self.dropped += 1
         elif tag in BLOCKS:
@@ -161,8 +203,18 @@ class _Page(HTMLParser):
                 text = " ".join("".join(parts).split())
                 if text and not inner:
                     self.blocks.append(text)
+                    self.where.append((any(x in MAIN for x in self.inside), any(x in AROUND for x in self.inside)))
                 if name == tag:
                     break
+        if tag in self.inside:
+            del self.inside[len(self.inside) - 1 - self.inside[::-1].index(tag) :]
+
+    def main_blocks(self) -> list[str]:
+        """Blocks of the main part; where they are short, those that are not around it; where these are short, the longer of both."""
+        marked = [b for b, (main, around) in zip(self.blocks, self.where, strict=True) if main and not around]
+        if sum(map(len, marked)) >= LEAST_MAIN:
+            return marked
+        return max([b for b, (_, around) in zip(self.blocks, self.where, strict=True) if not around], marked, key=lambda x: sum(map(len, x)))
 
     def handle_data(self, data):
         if self.keep == "title":
@@ -201,13 +253,13 @@ def read_page(html: str | None) -> dict:
     return {
         "text": "\n".join(page.blocks), "title": first("og:title") or " ".join(page.title.split()) or None, "author": first("author", "article:author"),
         "published": first("article:published_time", "date"), "canonical": page.canonical, "paywalled": paid, "types": [str(n["@type"]) for n in nodes if "@type" in n],
-        "visible_chars": sum(len(b) for b in page.blocks), "blocks": len(page.blocks),
+        "visible_chars": sum(len(b) for b in page.blocks), "blocks": len(page.blocks), "main": "\n".join(page.main_blocks()),
     }
 
 
 PAGE = T.StructType(
     [*(T.StructField(n, T.StringType()) for n in ("text", "title", "author", "published", "canonical")), T.StructField("paywalled", T.BooleanType()),
-     T.StructField("types", T.ArrayType(T.StringType())), T.StructField("visible_chars", T.IntegerType()), T.StructField("blocks", T.IntegerType())]
+     T.StructField("types", T.ArrayType(T.StringType())), T.StructField("visible_chars", T.IntegerType()), T.StructField("blocks", T.IntegerType()), T.StructField("main", T.StringType())]
 )
 
 

@@ -253,9 +253,9 @@ def quoted_runs(texts: DataFrame, sources: DataFrame, least: int = 12) -> DataFr
     """
     def runs(df: DataFrame, name: str) -> DataFrame:
         rows = df.filter(F.size("words") >= least).select(F.col("id").alias(name), F.posexplode(word_runs(F.col("words"), least)).alias("at", "run"))
-        return rows.select(name, (F.col("at") + 1).alias(f"{name}_at"), F.md5("run").alias("key"))
+        return rows.select(name, (F.col("at") + 1).alias(f"{name}_at"), F.xxhash64("run").alias("key"), F.crc32("run").alias("check"))
 
-    both = runs(texts, "text_id").join(runs(sources, "source_id"), "key").withColumn("diagonal", F.col("text_id_at") - F.col("source_id_at"))
+    both = runs(texts, "text_id").join(runs(sources, "source_id"), ["key", "check"]).withColumn("diagonal", F.col("text_id_at") - F.col("source_id_at"))
     w = Window.partitionBy("text_id", "source_id", "diagonal").orderBy("text_id_at")
     island = both.withColumn("island", F.col("text_id_at") - F.row_number().over(w))
     return island.groupBy("text_id", "source_id", "diagonal", "island").agg(

@@ -8,6 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.storage import settled
 from textloom.functions.text import words
 
 K1, B = 1.2, 0.75
@@ -18,18 +19,19 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(words(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, bm25) of every document, 0 where no term meets; null for an empty query.
+def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "text", carry: tuple = ()) -> DataFrame:
+    """(key, the ``carry`` columns, bm25) of every document, 0 where no term meets; null for an empty query.
 
     Terms count once each.  Only postings of the query's terms are built, and
     collection statistics are one row, so the shuffle is as small as the matches.
     """
     terms = list(dict.fromkeys(query))
     if not terms:
-        return docs.select(key, F.lit(None).cast("double").alias("bm25"))
-    tokens = docs.select(key, words(F.col(text)).alias("tokens")).withColumn("len", F.size("tokens"))
+        return docs.select(key, *carry, F.lit(None).cast("double").alias("bm25"))
+    tokens = docs.select(key, *carry, words(F.col(text)).alias("tokens")).withColumn("len", F.size("tokens"))
     counts = {f"tf{i}": F.size(F.filter("tokens", _is(term))) for i, term in enumerate(terms)}
-    table = tokens.select(key, "len", *(c.cast("double").alias(n) for n, c in counts.items()))
+    table = tokens.select(key, *carry, "len", *(c.cast("double").alias(n) for n, c in counts.items()))
+    table = settled(table)  # counts without texts, read twice
     stats = table.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(n) > 0).alias(f"d{n}") for n in counts))
     rows = table.crossJoin(F.broadcast(stats))  # one row
 
@@ -38,7 +40,7 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
         return idf * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
     score = F.when(F.coalesce("avg_len", F.lit(0.0)) == 0, 0.0).otherwise(sum((gain(n) for n in counts), F.lit(0.0)))
-    return rows.select(key, score.alias("bm25"))
+    return rows.select(key, *carry, score.alias("bm25"))
 
 
 def _is(term: str):

@@ -35,11 +35,11 @@ RULES = """h AS (SELECT doc_id AS id, unnest([source, lang, source || '/' || lan
 o AS (SELECT * FROM (VALUES ('src3/en', 'special', 0), ('src4', NULL, 0), ('src1', 'first', 1), ('de', 'german', 1), ('src2/fr', 'second', 1)) AS v (heading, position, kind)),
 m AS (SELECT id, position, kind, row_number() OVER (PARTITION BY id ORDER BY depth DESC, kind, position DESC) AS r FROM h JOIN o USING (heading) WHERE kind = 1 OR position IS NOT NULL), b AS (SELECT * FROM m WHERE r = 1),
 w AS (SELECT * FROM (VALUES ('thand', 'alpha'), ('inea', 'beta'), ('heer', 'alpha')) AS v (word, pos)),
-k AS (SELECT id, min(pos) AS by_word FROM (SELECT doc_id AS id, unnest(list_distinct(string_split(trim(regexp_replace(lower(substr(text, 1, 400)), '[^0-9a-z]+', ' ', 'g')), ' '))) AS word FROM documents) JOIN w USING (word) GROUP BY 1 HAVING count(DISTINCT pos) = 1)"""
+k AS (SELECT id, min(pos) AS by_word FROM (SELECT doc_id AS id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '))) AS word FROM documents) JOIN w USING (word) GROUP BY 1 HAVING count(DISTINCT pos) = 1)"""
 
 
 def placements(t):
-    tag = F.split(X.tag_words(F.substring("text", 1, 400)), " ")
+    tag = F.split(X.tag_words(F.col("text")), " ")
     items = t.documents.select(F.col("doc_id").alias("id"), F.array("source", "lang", F.concat_ws("/", "source", "lang")).alias("headings"), tag.alias("tag"))
     overrides = t.spark.createDataFrame([("src3/en", "special"), ("src4", None)], "heading string, position string")
     aliases = t.spark.createDataFrame([("src1", "first"), ("de", "german"), ("src2/fr", "second")], "heading string, position string")
@@ -57,9 +57,9 @@ def needs_review(t):
     return placements(t).filter(K.needs_review(F.col("position"), F.col("confidence"), 0.95)).select("id")
 
 
-@query("C4_refinement", "WITH d AS (SELECT doc_id AS id, lang, list_distinct(string_split(trim(regexp_replace(lower(substr(text, 1, 400)), '[^0-9a-z]+', ' ', 'g')), ' ')) AS w FROM documents) SELECT id, CASE WHEN lang = 'en' AND list_contains(w, 'the') AND list_contains(w, 'of') THEN 'en' WHEN lang = 'en' AND list_contains(w, 'the') THEN CASE WHEN list_contains(w, 'and') THEN 'en-the-and' ELSE 'en-the' END WHEN lang = 'en' AND list_contains(w, 'of') THEN 'en-of' ELSE lang END AS position FROM d")
+@query("C4_refinement", "WITH d AS (SELECT doc_id AS id, lang, list_distinct(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' ')) AS w FROM documents) SELECT id, CASE WHEN lang = 'en' AND list_contains(w, 'the') AND list_contains(w, 'of') THEN 'en' WHEN lang = 'en' AND list_contains(w, 'the') THEN CASE WHEN list_contains(w, 'and') THEN 'en-the-and' ELSE 'en-the' END WHEN lang = 'en' AND list_contains(w, 'of') THEN 'en-of' ELSE lang END AS position FROM d")
 def refinement(t):
-    w = F.array_distinct(F.split(X.tag_words(F.substring("text", 1, 400)), " "))
+    w = F.array_distinct(F.split(X.tag_words(F.col("text")), " "))
     rows = t.documents.select(F.col("doc_id").alias("id"), F.col("lang").alias("position"), w.alias("words"))
     tree = t.spark.createDataFrame([("en", "en-the", "the"), ("en", "en-of", "of"), ("en-the", "en-the-and", "and")], "parent string, child string, word string")
     return K.refined(rows, tree, 2).select("id", "position")
@@ -105,9 +105,6 @@ def carried_assignment(t):
     return K.carried(d, "o_custkey", "aff").select("o_orderkey", "aff", "method")
 
 
-FAMILIES = (("cap good", "capital"), ("cap", "capital-short"), ("security", "security"))
-
-
 @query("C11_marker_families", f"WITH h AS (SELECT p_partkey, ' ' || trim(regexp_replace(lower(p_name || ' ' || p_type), '[^0-9a-z]+', ' ', 'g')) || ' ' AS w FROM part) SELECT p_partkey, CASE WHEN contains(w, ' standard ') THEN 'standard' WHEN contains(w, ' economy ') THEN 'economy' WHEN contains(w, ' part ') THEN 'part' END AS family FROM h")
 def marker_families(t):
     w = X.tag_words(F.concat_ws(" ", "p_name", "p_type"))
@@ -129,17 +126,30 @@ def answer_problems(t):
     return t.conversations.select("conv_id", "turn", F.concat_ws(";", *parts).alias("problems"))
 
 
-@query("C14_name_scan", "WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) SELECT CASE WHEN word IN ('idiot', 'moron') THEN 'name' WHEN word IN ('AKIA', 'THE') THEN 'code' ELSE 'list' END AS kind, regexp_replace(word, '[0-9]', '#', 'g') AS key, count(*) AS hits, count(DISTINCT doc_id) AS files FROM l WHERE word IN ('idiot', 'moron', 'THE', 'worthless', 'pathetic') GROUP BY 1, 2")
+#: words that toxic documents share and no other labelled one has, found in the labels themselves
+NAMES = """w AS (SELECT DISTINCT d.doc_id, toxic, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents d JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE toxic IS NOT NULL GROUP BY 1) l ON l.doc_id = d.doc_id),
+names AS (SELECT word FROM w GROUP BY 1 HAVING count(*) >= 3 AND min(toxic) = 1)"""
+
+
+def telling_names(t):
+    """Words of three toxic documents at least that no labelled document without toxicity has."""
+    known = t.labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    words = t.documents.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")))).alias("word")).join(known, "doc_id")
+    return words.groupBy("word").agg(F.count("*").alias("n"), F.min("toxic").alias("least")).filter("n >= 3 and least = 1").select("word")
+
+
+@query("C14_name_scan", f"WITH {NAMES}, l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents) SELECT CASE WHEN l.word = upper(l.word) THEN 'code' WHEN l.word = lower(l.word) THEN 'list' ELSE 'name' END AS kind, names.word AS key, count(*) AS hits, count(DISTINCT doc_id) AS files FROM l JOIN names ON names.word = lower(l.word) GROUP BY 1, 2")
 def name_scan(t):
-    hits = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("word")).filter(F.col("word").isin("idiot", "moron", "THE", "worthless", "pathetic"))
-    kind = K.first_match((F.col("word").isin("idiot", "moron"), "name"), (F.col("word").isin("AKIA", "THE"), "code"), other="list")
-    return hits.groupBy(kind.alias("kind"), F.regexp_replace("word", "[0-9]", "#").alias("key")).agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("files"))
+    """Where the telling names stand in all documents, by their spelling."""
+    hits = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"))).alias("spelled")).withColumn("word", F.lower("spelled")).join(telling_names(t), "word")
+    kind = K.first_match((F.col("spelled") == F.upper("spelled"), "code"), (F.col("spelled") == F.col("word"), "list"), other="name")
+    return hits.groupBy(kind.alias("kind"), F.col("word").alias("key")).agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("files"))
 
 
-@query("A23_hits_by_section", "WITH l AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '(idiot|moron|worthless|pathetic)')) AS hit FROM documents) SELECT lang, hit, count(*) AS hits, count(*) FILTER (doc_id % 2 = 0) AS accepted, count(*) FILTER (doc_id % 2 = 1) AS fresh FROM l GROUP BY 1, 2")
+@query("A23_hits_by_section", f"WITH {NAMES}, l AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) SELECT lang, word AS hit, count(*) AS hits, count(*) FILTER (doc_id % 2 = 0) AS accepted, count(*) FILTER (doc_id % 2 = 1) AS fresh FROM l JOIN names USING (word) GROUP BY 1, 2")
 def hits_by_section(t):
-    hits = t.documents.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(idiot|moron|worthless|pathetic)"))).alias("hit"))
-    return hits.groupBy("lang", "hit").agg(F.count("*").alias("hits"), F.count_if(F.col("doc_id") % 2 == 0).alias("accepted"), F.count_if(F.col("doc_id") % 2 == 1).alias("fresh"))
+    hits = t.documents.select("doc_id", "lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("word")).join(telling_names(t), "word")
+    return hits.groupBy("lang", F.col("word").alias("hit")).agg(F.count("*").alias("hits"), F.count_if(F.col("doc_id") % 2 == 0).alias("accepted"), F.count_if(F.col("doc_id") % 2 == 1).alias("fresh"))
 
 
 @query("C15_suggested_ids", f"SELECT p_partkey, array_to_string(list_filter(string_split(trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: length(x) > 2)[1:3], '-') AS suggested FROM part")

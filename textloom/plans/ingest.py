@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from textloom.functions import search_query as Q
+from textloom.functions.storage import shared_folder
 from textloom.functions.text import words
 from textloom.plans.registry import Tables, query
 from textloom.sources import archives as A
@@ -16,8 +16,7 @@ from textloom.sources import records as R
 
 def place(t: Tables, name: str) -> str:
     """A path of its own in the folder that driver and executors share."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="textloom-")
-    return f"{base}/ingest/{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(t.spark)}/ingest/{uuid.uuid4().hex}/{name}"
 
 
 @query("S7_jsonl_round_trip", "SELECT event_id, user_id, value FROM events")
@@ -113,11 +112,16 @@ def zip_members(t):
     return A.members_of(files).drop("size")
 
 
-@query("S2_docx_paragraphs", "SELECT item_id || '.docx' AS file, 0 AS paragraph, 'Tag' AS style, 'Item ' || item_id AS text, 0 AS runs FROM benchmark UNION ALL SELECT item_id || '.docx', 1, NULL, 'plain bold', 1 FROM benchmark")
+@query("S2_docx_paragraphs", "WITH w AS (SELECT item_id, list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '^[0-9A-Za-z.,]+$')) AS w FROM benchmark) SELECT item_id || '.docx' AS file, 0 AS paragraph, 'Tag' AS style, array_to_string(w[1:5], ' ') AS text, CAST(0 AS INTEGER) AS runs FROM w UNION ALL SELECT item_id || '.docx', 1, NULL, array_to_string(w[6:15], ' ') || ' ' || array_to_string(w[16:], ' '), CAST(CASE WHEN len(w) > 15 THEN 1 ELSE 0 END AS INTEGER) FROM w")
 def docx_paragraphs(t):
-    i = F.col("item_id").cast("string")
+    """Files whose tag is the first words of an item, and whose body the others, bold from the sixteenth on; read back."""
+    i, w = F.col("item_id").cast("string"), F.filter(F.split("text", " "), lambda x: x.rlike("^[0-9A-Za-z.,]+$"))
+    part = lambda a, n: F.array_join(F.slice(w, a, n), " ")
     ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    xml = F.concat(F.lit(f'<w:document {ns}><w:body><w:p><w:pPr><w:pStyle w:val="Tag"/></w:pPr><w:r><w:t>Item '), i, F.lit("</w:t></w:r></w:p><w:p><w:r><w:t>plain </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>bold</w:t></w:r></w:p></w:body></w:document>"))
+    xml = F.concat(
+        F.lit(f'<w:document {ns}><w:body><w:p><w:pPr><w:pStyle w:val="Tag"/></w:pPr><w:r><w:t>'), part(1, 5), F.lit("</w:t></w:r></w:p><w:p><w:r><w:t>"), part(6, 10),
+        F.lit(" </w:t></w:r><w:r><w:rPr><w:b/></w:rPr><w:t>"), part(16, 1000), F.lit("</w:t></w:r></w:p></w:body></w:document>"),
+    )
     files = t.benchmark.select(F.concat(i, F.lit(".docx")).alias("path"), A.zipped(F.lit("word/document.xml"), xml).alias("content"))
     return A.paragraphs_of(files).select("file", "paragraph", "style", "text", F.size("runs").alias("runs"))
 

@@ -42,13 +42,13 @@ def nearest_ancestor(t):
 
 KEYWORDS = [("the", "english"), ("und", "german"), ("les", "french"), ("los", "spanish")]
 KEYWORD_SQL = "k AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{p}')" for w, p in KEYWORDS) + ") AS v (word, position))"
-TAG = "trim(regexp_replace(lower(substr(text, 1, 200)), '[^0-9a-z]+', ' ', 'g'))"
+TAG = "trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g'))"
 
 
 @query("J3_keyword_unique", f"WITH {KEYWORD_SQL}, g AS (SELECT doc_id, ' ' || {TAG} || ' ' AS tag FROM documents) SELECT doc_id, min(position) AS position FROM g JOIN k ON contains(tag, ' ' || word || ' ') GROUP BY 1 HAVING count(DISTINCT position) = 1")
 def keyword_unique(t):
     words = t.spark.createDataFrame(KEYWORDS, "word string, position string")
-    tag = F.split(F.trim(F.regexp_replace(F.lower(F.substring("text", 1, 200)), "[^0-9a-z]+", " ")), " ")
+    tag = F.split(F.trim(F.regexp_replace(F.lower("text"), "[^0-9a-z]+", " ")), " ")
     g = t.documents.select("doc_id", F.explode(F.array_distinct(tag)).alias("word"))  # words, so that the join is on equality
     return g.join(words, "word").groupBy("doc_id").agg(F.min("position").alias("position"), F.count_distinct("position").alias("n")).filter("n = 1").drop("n")
 

@@ -16,7 +16,7 @@ WORDS = f"regexp_extract_all(regexp_replace({NORM}, '([0-9a-z_])- ([0-9a-z_])',
 
 def shingle_sql() -> str:
     runs = "list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i+4], ' ')))"
-    return f"t AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {runs} END AS sh FROM t)"
+    return f"t AS (SELECT doc_id, {WORDS} AS w FROM documents), s AS MATERIALIZED (SELECT doc_id, w, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE {runs} END AS sh FROM t)"
 
 
 @query("N1_normalize", f"SELECT doc_id, md5({NORM}) AS form FROM documents")

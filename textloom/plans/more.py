@@ -21,15 +21,20 @@ def ranking_tokens(t):
     return t.customer.select("c_custkey", F.array_join(X.ranking_tokens(s), " ").alias("tokens"))
 
 
-TITLE = "array_to_string(string_split(trim(regexp_replace(lower(substr(text, 1, 80)), '[^0-9a-z]+', ' ', 'g')), ' ')[1:6], ' ')"
+TITLE = "trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^0-9a-z]+', ' ', 'g'))"
+SITE = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
 
 
-@query("R14_title_rule", f"WITH k AS (SELECT doc_id, {TITLE} AS title, lang, n_chars // 1000 AS year FROM documents), g AS (SELECT title, lang, year, min(doc_id) AS entity, count(*) AS members FROM k WHERE len(string_split(title, ' ')) >= 3 GROUP BY 1, 2, 3) SELECT entity, members FROM g WHERE members > 1")
+def titled(t):
+    """(page_id, title, site, n): the words of each page's title, its host and the length of its html."""
+    title, site = X.tag_words(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1))
+    return t.pages.select("page_id", title.alias("title"), site.alias("site"), F.length("html").alias("n"))
+
+
+@query("R14_title_rule", f"WITH k AS (SELECT page_id, {TITLE} AS title, {SITE} AS site, length(html) // 4000 AS year FROM pages), g AS (SELECT title, site, year, min(page_id) AS entity, count(*) AS members FROM k WHERE len(string_split(title, ' ')) >= 3 GROUP BY 1, 2, 3) SELECT entity, members FROM g WHERE members > 1")
 def title_rule(t):
-    words = F.split(X.tag_words(F.substring("text", 1, 80)), " ")
-    title = F.array_join(F.slice(words, 1, 6), " ")
-    keyed = t.documents.select("doc_id", title.alias("title"), "lang", F.floor(F.col("n_chars") / 1000).alias("year")).filter(F.size(F.split("title", " ")) >= 3)
-    return keyed.groupBy("title", "lang", "year").agg(F.min("doc_id").alias("entity"), F.count("*").alias("members")).filter("members > 1").select("entity", "members")
+    keyed = titled(t).withColumn("year", F.floor(F.col("n") / 4000)).filter(F.size(F.split("title", " ")) >= 3)
+    return keyed.groupBy("title", "site", "year").agg(F.min("page_id").alias("entity"), F.count("*").alias("members")).filter("members > 1").select("entity", "members")
 
 
 PRECEDENCE = "WITH r AS (SELECT md5(text) AS entity, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN source END AS source, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS p, doc_id FROM documents) SELECT entity, count(*) AS members, arg_min(lang, (p, doc_id)) FILTER (lang IS NOT NULL) AS lang, arg_min(source, (p, doc_id)) FILTER (source IS NOT NULL) AS source FROM r GROUP BY 1 HAVING count(*) > 1"
@@ -42,13 +47,11 @@ def precedence_merge(t):
     return N.merged(rows, entities, [F.col("p"), F.col("id")], ["lang", "source"]).filter("members > 1")
 
 
-@query("R13b_date_gate", "WITH k AS (SELECT md5(substr(text, 1, 30)) AS title, CASE WHEN lang = 'en' THEN 'y' || (doc_id % 3) ELSE 'd' || (doc_id % 5) || source END AS gate, doc_id FROM documents) SELECT title, gate, min(doc_id) AS entity, count(*) AS members FROM k GROUP BY 1, 2 HAVING count(*) > 1")
+@query("R13b_date_gate", f"WITH k AS (SELECT {TITLE} AS title, CASE WHEN length(html) % 2 = 0 THEN 'y' || (length(html) // 4000) ELSE 'd' || (page_id % 5) || {SITE} END AS gate, page_id FROM pages) SELECT title, gate, min(page_id) AS entity, count(*) AS members FROM k GROUP BY 1, 2")
 def date_gate(t):
     # scholarly records share the year, all others the day and the site
-    d = F.col("doc_id")
-    gate = F.when(F.col("lang") == "en", F.concat(F.lit("y"), (d % 3).cast("string"))).otherwise(F.concat(F.lit("d"), (d % 5).cast("string"), "source"))
-    k = t.documents.select(F.md5(F.substring("text", 1, 30)).alias("title"), gate.alias("gate"), "doc_id")
-    return k.groupBy("title", "gate").agg(F.min("doc_id").alias("entity"), F.count("*").alias("members")).filter("members > 1")
+    gate = F.when(F.col("n") % 2 == 0, F.concat(F.lit("y"), F.floor(F.col("n") / 4000).cast("string"))).otherwise(F.concat(F.lit("d"), (F.col("page_id") % 5).cast("string"), "site"))
+    return titled(t).groupBy("title", gate.alias("gate")).agg(F.min("page_id").alias("entity"), F.count("*").alias("members"))
 
 
 @query("R13c_identifier_veto", "WITH g AS (SELECT l_orderkey AS entity, count(DISTINCT l_suppkey) AS openalex, count(DISTINCT l_returnflag) AS doi, count(DISTINCT l_linestatus) AS pmid FROM lineitem GROUP BY 1) SELECT entity, pmid > 1 OR (openalex > 1 AND doi <> 1) AS apart FROM g")
@@ -104,9 +107,9 @@ def trailing_stream(t):
     return finished(t, E.trailing(stream(t))).select(F.col("until").cast("timestamp_ntz").alias("until"), "event_type", "n")
 
 
-@query("A21_narrowing_subjects", "WITH e AS (SELECT n_name AS subject, o_orderkey AS rank FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey <= 400), c AS (SELECT count(DISTINCT rank) AS carrying FROM e) SELECT subject, count(*) AS results, min(rank) AS best_rank FROM e, c GROUP BY subject, carrying HAVING count(*) >= 2 AND count(*) < carrying ORDER BY results DESC, best_rank, subject LIMIT 5")
+@query("A21_narrowing_subjects", "WITH e AS (SELECT n_name AS subject, o_orderkey AS rank FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), c AS (SELECT count(DISTINCT rank) AS carrying FROM e) SELECT subject, count(*) AS results, min(rank) AS best_rank FROM e, c GROUP BY subject, carrying HAVING count(*) >= 2 AND count(*) < carrying ORDER BY results DESC, best_rank, subject LIMIT 5")
 def narrowing_subjects(t):
-    j = t.orders.filter("o_orderkey <= 400").join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    j = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return R.narrowing(j.select(F.col("o_orderkey").alias("rank"), F.array("n_name").alias("subjects")), [])
 
 

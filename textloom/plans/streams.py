@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from textloom.plans.ingest import place
@@ -20,11 +18,17 @@ def stream(t: Tables):
 
 
 def finished(t: Tables, df, mode: str = "complete"):
-    """Everything available, through the stream, into a table in memory."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything available, through the stream, into files of the shared folder: of complete output the last, of other modes every batch."""
+    path, written = place(t, "stream"), []
+
+    def save(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")  # a batch that is tried again writes the same folder
+        written.append(number)
+
+    q = df.writeStream.foreachBatch(save).option("checkpointLocation", place(t, "offsets")).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return t.spark.table(name)
+    folders = [f"{path}/{n}" for n in (written[-1:] if mode == "complete" else written)]
+    return t.spark.read.schema(df.schema).parquet(*folders) if folders else t.spark.createDataFrame([], df.schema)
 
 
 @query("ST2_weekly_stream", "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) + 6 AS DATE) AS snapshot, event_type AS position, count(*) AS reads FROM events GROUP BY 1, 2")
@@ -73,3 +77,15 @@ def tail_log(t):
     path = place(t, "log")
     t.events.select("event_id", "user_id").write.json(path)
     return finished(t, E.tail(t.spark, path, "event_id long, user_id long"), "append")
+
+
+@query("ST8_paced_stream", "WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS came, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), s AS (SELECT user_id, event_id, n, came AS sent, [came] AS last FROM r WHERE n = 1 UNION ALL SELECT r.user_id, r.event_id, r.n, x.sent, list_append(s.last, x.sent)[-2:] FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1, LATERAL (SELECT greatest(r.came, s.last[-1], CASE WHEN len(s.last) = 2 THEN s.last[-2] + 7200000000 ELSE 0 END) AS sent) x) SELECT user_id, event_id, make_timestamp(sent) AS sent FROM s")
+def paced_stream(t):
+    """Each user's events as calls that a pacer releases: bursts of two, an hour a call."""
+    return finished(t, E.paced(stream(t), burst=2, spacing=3600.0), "append").select("user_id", "event_id", F.col("sent").cast("timestamp_ntz").alias("sent"))
+
+
+@query("ST11_joined_stream", "SELECT a.user_id, a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def joined_stream(t):
+    """Clicks with the same user's purchases of the next six hours, as a join of two streams."""
+    return finished(t, E.joined_within(stream(t).filter("event_type = 'click'"), stream(t).filter("event_type = 'purchase'")), "append")

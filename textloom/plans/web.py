@@ -10,6 +10,15 @@ from textloom.functions import web as W
 from textloom.plans.registry import query
 
 HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
+SUFFIX = ", ".join(f"'{x}'" for x in W.SUFFIXES)
+
+
+def domain_sql(host: str) -> str:
+    labels = f"string_split({host}, '.')"
+    return f"array_to_string({labels}[CASE WHEN array_to_string({labels}[-2:], '.') IN ({SUFFIX}) THEN -3 ELSE -2 END:], '.')"
+
+
+DOMAIN = domain_sql(HOST)
 TRACK = ", ".join(f"'{n}'" for n in W.TRACKING)
 CANON = f"""lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || CASE WHEN len(regexp_extract_all({HOST}, '\\.')) >= 2 THEN regexp_replace({HOST}, '^(m|amp|mobile)\\.', '') ELSE {HOST} END
 || CASE WHEN regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) END
@@ -33,20 +42,28 @@ def tracking_names(t):
     return p.select(name.alias("name")).groupBy("name", W.is_tracking_column(F.col("name")).alias("tracking")).agg(F.count("*").alias("n"))
 
 
-@query("X3_registrable_domains", f"SELECT array_to_string(string_split({HOST}, '.')[-2:], '.') AS domain, count(*) AS pages FROM pages GROUP BY 1")
+@query("X3_registrable_domains", f"SELECT {DOMAIN} AS domain, count(*) AS pages FROM pages GROUP BY 1")
 def registrable_domains(t):
     host = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)
     return t.pages.groupBy(W.registrable_domain(host).alias("domain")).agg(F.count("*").alias("pages"))
 
 
-@query("X4_rel_canonical", "SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'absent' WHEN page_id % 6 = 1 THEN 'same' WHEN page_id % 6 = 2 THEN 'other site' WHEN page_id % 6 = 3 THEN 'front page' ELSE 'accepted' END AS rule FROM pages")
+LINKED = "lower(regexp_extract(link, '^[A-Za-z]+://([^/?#]*)', 1))"
+
+
+@query("X4_rel_canonical", f"WITH l AS (SELECT page_id, url, lead(url) OVER (PARTITION BY length(html) % 50 ORDER BY page_id) AS link FROM pages), k AS (SELECT page_id, url, CASE WHEN length(url) % 7 = 0 THEN url WHEN length(url) % 7 = 1 THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/' WHEN length(url) % 7 = 2 THEN regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/a' ELSE link END AS link FROM l) SELECT page_id, CASE WHEN link IS NULL THEN 'absent' WHEN link = url THEN 'same' WHEN {domain_sql(LINKED)} <> {DOMAIN} THEN 'other site' WHEN regexp_extract(link, '^[A-Za-z]+://[^/]*(.*)$', 1) = '/' THEN 'front page' ELSE 'accepted' END AS rule FROM k")
 def rel_canonical(t):
+    """The rule for the canonical link that a page names in its head: its own url, one of its site, or that of another page."""
     host = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)
-    kind = F.col("page_id") % 6
-    link = F.when(kind == 0, None).when(kind == 1, F.col("url")).when(kind == 2, F.lit("https://elsewhere.test/a")).when(kind == 3, F.concat(F.lit("https://"), host, F.lit("/"))).otherwise(F.concat(F.lit("https://"), host, F.lit("/x/y")))
-    other = W.registrable_domain(F.regexp_extract(link, "^[A-Za-z]+://([^/?#]*)", 1)) != W.registrable_domain(host)
-    rule = F.when(link.isNull(), "absent").when(link == F.col("url"), "same").when(other, "other site").when(F.regexp_extract(link, "^[A-Za-z]+://[^/]*(.*)$", 1) == "/", "front page").otherwise("accepted")
-    return t.pages.select("page_id", rule.alias("rule"))
+    site, kind = F.regexp_extract("url", "^([A-Za-z]+://[^/?#]*)", 1), F.length("url") % 7
+    other = F.lead("url").over(Window.partitionBy(F.length("html") % 50).orderBy("page_id"))
+    named = F.when(kind == 0, F.col("url")).when(kind == 1, F.concat(site, F.lit("/"))).when(kind == 2, F.concat(site, F.lit("/a"))).otherwise(F.col("other"))
+    head = F.concat(F.lit('<head><link href="'), F.replace("named", F.lit("&"), F.lit("&amp;")), F.lit('" rel="canonical"></head>'))
+    rows = t.pages.withColumn("other", other).withColumn("named", named).withColumn("page", W.page_content(F.coalesce(F.concat(head, "html"), "html")))
+    link = F.col("page.canonical")
+    away = W.registrable_domain(F.regexp_extract(link, "^[A-Za-z]+://([^/?#]*)", 1)) != W.registrable_domain(host)
+    rule = F.when(link.isNull(), "absent").when(link == F.col("url"), "same").when(away, "other site").when(F.regexp_extract(link, "^[A-Za-z]+://[^/]*(.*)$", 1) == "/", "front page").otherwise("accepted")
+    return rows.select("page_id", rule.alias("rule"))
 
 
 IDS = "SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'see doi:10.1234/AbC.' || item_id || '. and' WHEN 1 THEN 'arXiv:2401.' || lpad(CAST(item_id AS VARCHAR), 5, '0') WHEN 2 THEN 'PMID: ' || (1234500 + item_id) ELSE 'none' END AS s FROM benchmark"
@@ -76,18 +93,29 @@ def extraction_quality(t):
     return p.agg(F.round(F.avg(F.col("p.visible_chars") / F.col("n")), 6).alias("text_share"), F.sum("p.blocks").alias("blocks"), F.count_if(F.col("p.visible_chars") == 0).alias("empty"))
 
 
-@query("X8_json_ld_types", "SELECT unnest(['Article', 'Person']) AS type, count(*) AS n FROM benchmark WHERE item_id % 2 = 0 GROUP BY 1")
+def with_json_ld(t):
+    """Pages with an object of JSON-LD in their body: its type is the kind of the url's path, an author where the url has a query, and whether it is free by the page's length."""
+    kind = F.coalesce(F.nullif(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]*/([a-z]+)", 1), F.lit("")), F.lit("page"))
+    author = F.when(F.instr("url", "?") > 0, F.lit(',"author":[{"@type":"Person","name":"A"}]')).otherwise("")
+    free = F.when(F.length("html") % 3 == 0, "false").otherwise("true")
+    ld = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"'), kind, F.lit('"'), author, F.lit(',"isAccessibleForFree":'), free, F.lit("}]}</script>"))
+    return t.pages.select("page_id", W.page_content(F.concat("html", ld)).alias("p"))
+
+
+@query("X8_json_ld_types", "WITH p AS (SELECT coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]*/([a-z]+)', 1), ''), 'page') AS kind, contains(url, '?') AS author FROM pages), k AS (SELECT kind AS type FROM p UNION ALL SELECT 'Person' FROM p WHERE author) SELECT type, count(*) AS n FROM k GROUP BY 1")
 def json_ld_types(t):
-    ld = F.concat(F.lit('<script type="application/ld+json">{"@type":"Article","author":[{"@type":"Person","name":"A"}],"isAccessibleForFree":false}</script>'))
-    page = t.benchmark.filter("item_id % 2 = 0").select(W.page_content(ld).alias("p"))
-    return page.select(F.explode("p.types").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
+    return with_json_ld(t).select(F.explode("p.types").alias("type")).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("P10_paywalled", "SELECT item_id, item_id % 2 = 0 AS paywalled FROM benchmark")
+@query("P10_paywalled", "SELECT page_id, length(html) % 3 = 0 AS paywalled FROM pages")
 def paywalled(t):
-    free = F.when(F.col("item_id") % 2 == 0, "false").otherwise("true")
-    html = F.concat(F.lit('<html><script type="application/ld+json">{"@graph":[{"@type":"Article","isAccessibleForFree":'), free, F.lit("}]}</script><p>x</p></html>"))
-    return t.benchmark.select("item_id", W.page_content(html)["paywalled"].alias("paywalled"))
+    return with_json_ld(t).select("page_id", "p.paywalled")
+
+
+@query("S3_main_text")
+def main_text(t):
+    """The main text of each page, without navigation, header and footer."""
+    return t.pages.select("page_id", W.page_content("html").alias("p")).select("page_id", F.length("p.main").alias("main_chars"), "p.visible_chars", F.md5("p.main").alias("main"))
 
 
 @query("P9_robots_rules", f"WITH r AS (SELECT * FROM (VALUES ('/en/', false), ('/', true), ('/de/1', true), ('/de/', false), ('/fr/', false), ('/fr/', true)) AS v (pattern, allow)), p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages), m AS (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, allow DESC) AS n FROM p JOIN r ON starts_with(path, pattern)) SELECT page_id, allow FROM m WHERE n = 1")

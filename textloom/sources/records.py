@@ -29,8 +29,8 @@ def manifest_lines(rows: DataFrame, order: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str, order: list) -> None:
-    """One CSV file with a header, for people: report-sized rows in the given order."""
-    rows.orderBy(*order).coalesce(1).write.option("header", "true").option("escape", '"').csv(path, mode="overwrite")
+    """CSV files with a header each, in the given order from file to file (ranges of it, not one task)."""
+    rows.orderBy(*order).write.option("header", "true").option("escape", '"').csv(path, mode="overwrite")
 
 
 def read_decisions(spark: SparkSession, path: str, schema: str, key: str, allowed: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
@@ -54,11 +54,11 @@ def feed_entries(feeds: DataFrame, key: str, xml: str) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", parts: int = 64) -> None:
-    """Inverted index as Parquet: postings (term, key, tf, positions) dealt by the term's hash."""
+    """Inverted index as Parquet: postings (term, key, tf, positions) in folders by the term's hash; ranges of (part, term, key), so that a common term is many tasks."""
     tokens = docs.select(key, F.posexplode(words(F.col(text))).alias("at", "term"))
     postings = tokens.groupBy("term", key).agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
     dealt = postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int"))
-    dealt.repartition("part").sortWithinPartitions("term", key).write.partitionBy("part").mode("overwrite").parquet(path)
+    dealt.repartitionByRange("part", "term", key).sortWithinPartitions("part", "term", key).write.partitionBy("part").mode("overwrite").parquet(path)
 
 
 def search_index(spark: SparkSession, path: str, terms: list[str], parts: int = 64) -> DataFrame:

@@ -61,21 +61,56 @@ BREAKER = "user_id long, state string, failures int, at timestamp"
 
 
 def breakers(events: DataFrame, most: int = 3) -> DataFrame:
-    """A circuit breaker per user: open after ``most`` errors in a row, closed by a success."""
+    """A circuit breaker per user: open after ``most`` errors in a row, closed by a success.
+
+    Within one micro-batch events count in order of (ts, event_id), however
+    they are stored; of a user's events only the errors after the latest
+    success so far are held.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures = state.get[0] if state.exists else 0
-        at = None
+        at, success, errors = None, None, []
         for batch in batches:
-            for r in batch.sort_values(["ts", "event_id"]).itertuples():
-                failures = failures + 1 if r.event_type == "error" else 0
-                at = r.ts
+            if batch.empty:
+                continue
+            order = pd.MultiIndex.from_arrays([batch["ts"], batch["event_id"]])
+            failed = (batch["event_type"] == "error").to_numpy()
+            at = max(x for x in (at, batch["ts"].max()) if x is not None)
+            if not failed.all():
+                success = max(x for x in (success, order[~failed].max()) if x is not None)
+            errors = [e for e in (*errors, *order[failed]) if success is None or e > success]
+        failures = len(errors) + (state.get[0] if state.exists and success is None else 0)
         state.update((failures,))
         yield pd.DataFrame({"user_id": [key[0]], "state": ["open" if failures >= most else "closed"], "failures": [failures], "at": [at]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, BREAKER, "failures int", "update", GroupStateTimeout.NoTimeout)
 
 
+PACED = "user_id long, event_id long, sent timestamp"
+
+
+def paced(events: DataFrame, burst: int, spacing: float) -> DataFrame:
+    """When a pacer per user releases each call: in order of arrival, at once, but never more than ``burst`` starts in ``burst * spacing`` seconds.
+
+    A call starts when the one before it has, and ``burst * spacing`` after the
+    start ``burst`` calls ago; the state is the last ``burst`` starts.
+    """
+    room = pd.Timedelta(seconds=burst * spacing)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts = [pd.Timestamp(x, unit="us") for x in state.get[0]] if state.exists else []
+        rows = pd.concat([b[["ts", "event_id"]] for b in batches]).sort_values(["ts", "event_id"])  # one user's calls of one micro-batch
+        sent = []
+        for ts in rows["ts"]:
+            begin = max([ts, *starts[-1:], *([starts[-burst] + room] if len(starts) >= burst else [])])
+            starts = [*starts, begin][-burst:]
+            sent.append(begin)
+        state.update(([x.value // 1000 for x in starts],))
+        yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "sent": sent})
+
+    return events.groupBy("user_id").applyInPandasWithState(step, PACED, "starts array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def joined_within(left: DataFrame, right: DataFrame, hours: int = 6, late: str = "1 day") -> DataFrame:
     """Stream-stream join: pairs of the same user with the right event at most some hours after the left one."""
     a = left.select("user_id", F.col("ts").alias("a_ts"), F.col("event_id").alias("a")).withWatermark("a_ts", late)
