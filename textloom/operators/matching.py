@@ -159,7 +159,7 @@ def first_holder_pairs(sets: DataFrame) -> DataFrame:
 #: fixed values: shingles below which one word may differ, words that must agree on either side of it, and
 #: words of the part that may be lost at the difference where the stretch is as long, one longer, one shorter
 FEW, FLANK = 60, K
-LOST = {0: 1, 1: 1, -1: 2}
+LOST = {0: (1,), 1: (0, 1), -1: (1, 2)}
 
 
 def but_for_one_word(part: list[str], whole: list[str]) -> bool:
@@ -180,8 +180,8 @@ def but_for_one_word(part: list[str], whole: list[str]) -> bool:
         if ahead == n:
             return True
         for end, back in closes:
-            lost = LOST.get(end - begin - n)
-            if lost is not None and ahead >= FLANK and back >= FLANK and min(ahead, n - FLANK) + min(back, n - FLANK) >= n - lost:
+            flanks = ahead >= FLANK and back >= FLANK
+            if flanks and any(2 * FLANK <= n - lost <= ahead + back for lost in LOST.get(end - begin - n, ())):
                 return True
     return False
 

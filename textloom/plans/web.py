@@ -90,7 +90,7 @@ def page_titles(t):
 @query("A30_extraction_quality")
 def extraction_quality(t):
     p = t.pages.select(F.length("html").alias("n"), W.page_content("html").alias("p"))
-    return p.agg(F.round(F.avg(F.col("p.visible_chars") / F.col("n")), 6).alias("text_share"), F.sum("p.blocks").alias("blocks"), F.count_if(F.col("p.visible_chars") == 0).alias("empty"))
+    return p.agg(F.round(F.avg(F.col("p.visible_chars") / F.nullif("n", F.lit(0))), 6).alias("text_share"), F.sum("p.blocks").alias("blocks"), F.count_if(F.col("p.visible_chars") == 0).alias("empty"))
 
 
 def with_json_ld(t):
