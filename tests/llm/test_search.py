@@ -28,6 +28,16 @@ def test_url_rules(spark):
     assert got[6] == got[7] == ("", "", None, "allow") and got[8][0] == "[::1]" and got[9] == ("a:", "//net/", None, "allow") and got[10][1] == "/a"
 
 
+def test_url_rules_odd_tables(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (1, 1, 0), (2, 1, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_verdicts(none, labels).collect() == []
+    long = "https://a.test/" + "x/" * 50_000 + "?q=" + "1" * 100_000
+    rows = [(1, long), (1, long), (2, "http://b.net/p"), (2, "http://b.net/p"), (None, None)]
+    got = [(r.page_id, r.host, len(r.path), r.rule, r.verdict) for r in url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), labels).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a.test", 100_001, None, "allow")] * 2 + [(2, "b.net", 2, "net/", "block")] * 2 + [(None, "", 0, None, "allow")], key=str)
+
+
 def test_mined_rules_block(spark):
     rng, rows, labels = random.Random(3), [], []
     for i in range(400):
@@ -41,13 +51,13 @@ def test_mined_rules_block(spark):
 
 def test_warc_round_trip(spark):
     big, other = "é\r\n\r\nWARC/1.1\r\n" * 100, "z" * 1000
-    rows = [(1, "http://a.test/1", big), (2, "http://a.test/2\r\nX: y", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (8, "http://a.test/?q", other), (8, "http://a.test/?q", other), (None, "u", big)]
+    rows = [(1, "http://a.test/1", big), (9, "http://a.test/9", "y" * 300_000), (10, "u", "y" * 300_000), (2, "http://a.test/2\r\nX: y", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (8, "http://a.test/?q", other), (8, "http://a.test/?q", other), (None, "u", big)]
     path = new_path(spark, "warc")
-    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    write_warc(spark.createDataFrame([(*r, "own", 5) for r in rows], "page_id long, url string, html string, digest string, bytes int"), path)
     found = captures(read_warc(spark, path)).cache()
     got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in page_captures(found).collect()), key=str)
     n = len(big.encode())
-    want = [(1, n, "revisit", 3), (2, n, "revisit", 3), (3, n, "response", None), (4, 5, "response", None), (5, 5, "response", None), (6, 0, "response", None), (7, 0, "response", None), (8, 1000, "response", None), (8, 1000, "response", None), (None, n, "revisit", 3)]
+    want = [(9, 300_000, "revisit", 10), (10, 300_000, "response", None), (1, n, "revisit", 3), (2, n, "revisit", 3), (3, n, "response", None), (4, 5, "response", None), (5, 5, "response", None), (6, 0, "response", None), (7, 0, "response", None), (8, 1000, "response", None), (8, 1000, "response", None), (None, n, "revisit", 3)]
     assert got == sorted(want, key=str)
     assert found.filter("metadata.page_id = 3").first().response.payload == big
     assert found.filter("request is null or metadata is null").count() == 0

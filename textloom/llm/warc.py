@@ -6,10 +6,11 @@ the first in WARC-Concurrent-To.  A WARC record ends in two line ends, so
 Spark's own text writer, with that separator and gzip, writes valid archives
 to any store Spark can write.  Revisits are found on digests alone.
 
-Reading: Spark reads whole files (bounded when written), records are cut by
-their Content-Length, payload digests are computed anew.  Assembly joins
+Reading: Spark reads whole files (bounded by bytes when written), records are
+cut by their Content-Length, payload digests are computed anew.  Assembly joins
 request and metadata to their response through the concurrent-to identifier
-and nests the three into one row per capture.
+and nests the three into one row per capture.  A revisit finds the page of its
+response through the record that it refers to.
 
 Cases: a null payload is empty; payloads under 1000 bytes are never revisits;
 pages that repeat with the same page_id and payload are each a capture, all of
@@ -28,8 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom.llm.shared import buckets_for, written
+
 LEAST = 1000
-RECORDS_A_FILE = 12_000
+#: bytes of payloads and records that one archive holds about
+FILE_BYTES, RECORDS_A_FILE = 64 << 20, 12_000
 END = "\r\n\r\n"
 
 
@@ -55,7 +59,9 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
     # one key for the join and the window, so that payloads are shuffled once
     key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest")
     revisits = revisits.select(key.alias("key"), "lead", F.lit(True).alias("again"))
-    rows = rows.withColumn("key", key).join(revisits, "key", "left")
+    held = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("bytes").cast("long")), F.lit(0))).first()
+    files, each = buckets_for(rows, held[1], FILE_BYTES), held[1] / max(1, held[0]) + 1
+    rows = rows.withColumn("key", key).repartition(files, "key").join(revisits, "key", "left")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("url")))
     again = F.col("again").isNotNull()
     own, digest = _uuid(F.lit("capture"), F.col("page_id"), F.col("digest"), F.col("nth")), F.concat(F.lit("sha1:"), F.col("digest"))
@@ -75,12 +81,12 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z")
         F.lit("request"), _uuid(F.lit("request"), own), date, [("WARC-Target-URI", F.col("url")), ("Content-Type", F.lit("application/http; msgtype=request")), ("WARC-Concurrent-To", own)],
         F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)),
     )
-    fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-length: "), F.col("bytes").cast("string")), F.when(again, F.concat(F.lit("refers-to-page: "), F.col("lead").cast("string"))))
+    fields = F.concat_ws("\r\n", F.concat(F.lit("page-id: "), F.col("page_id").cast("string")), F.concat(F.lit("payload-length: "), F.col("bytes").cast("string")))
     metadata = _record(
         F.lit("metadata"), _uuid(F.lit("metadata"), own), date, [("WARC-Target-URI", F.col("url")), ("Content-Type", F.lit("application/warc-fields")), ("WARC-Concurrent-To", own)], fields
     )
     records = rows.select(F.explode(F.array(response, request, metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_A_FILE).text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(3, min(RECORDS_A_FILE, 3 * int(2 * FILE_BYTES / each)))).text(path)
 
 
 RECORD = "record_id string, kind string, concurrent_to string, refers_to string, url string, digest string, payload_bytes long, payload string, fields map<string,string>"
@@ -149,7 +155,7 @@ def captures(records: DataFrame) -> DataFrame:
     parts = records.filter(F.col("kind").isin("request", "metadata"))
     other = parts.groupBy(F.col("concurrent_to").alias("to")).agg(
         F.min(F.when(F.col("kind") == "request", F.struct("record_id", F.element_at("fields", "request-line").alias("line")))).alias("request"),
-        F.min(F.when(F.col("kind") == "metadata", F.struct("record_id", F.element_at("fields", "page-id").cast("long").alias("page_id"), F.element_at("fields", "payload-length").cast("long").alias("payload_length"), F.element_at("fields", "refers-to-page").cast("long").alias("refers_to_page")))).alias("metadata"),
+        F.min(F.when(F.col("kind") == "metadata", F.struct("record_id", F.element_at("fields", "page-id").cast("long").alias("page_id"), F.element_at("fields", "payload-length").cast("long").alias("payload_length")))).alias("metadata"),
     )
     joined = main.join(other, main["record_id"] == other["to"], "left")
     return joined.select(
@@ -159,13 +165,17 @@ def captures(records: DataFrame) -> DataFrame:
 
 def page_captures(rows: DataFrame) -> DataFrame:
     """The digest columns of assembled captures: one row per page."""
-    return rows.select(
+    rows = rows.select(
+        "record_id",
+        F.col("response.refers_to").alias("target"),
         F.col("metadata.page_id").alias("page_id"),
         F.coalesce("response.payload_bytes", "metadata.payload_length").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
         F.col("response.kind").alias("record_type"),
-        F.col("metadata.refers_to_page").alias("refers_to"),
     )
+    rows = written(rows, "captures")
+    named = rows.filter("record_type = 'response'").select(F.col("record_id").alias("target"), F.col("page_id").alias("refers_to"))
+    return rows.drop("record_id").join(named, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
