@@ -235,3 +235,15 @@ def test_long_chains_settle(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     nodes = spark.createDataFrame([(i,) for i in range(41)], "id long")
     assert {r.component for r in min_label_components(nodes, edges).collect()} == {0}
+
+
+def test_canonical_urls_in_full():
+    want = {
+        "HTTP://M.Example.co.uk:80/a/../b/./c%7e?utm_source=x&b=2&a=1&fbclid=9#top": "http://example.co.uk/b/c~?a=1&b=2",
+        "https://example.org:8443": "https://example.org:8443/", "https://example.org/story/amp/?amp=1": "https://example.org/story", "https://example.org/?amp=watts&outputType=amp": "https://example.org/?amp=watts",
+        "https://www.google.com/url?q=https%3A%2F%2Fnews.test%2Fp%3Fid%3D7%26gclid%3D1": "https://news.test/p?id=7",
+        "ftp://example.org/": None, "not a url": None, None: None, "http://bad:port/": None,
+    }
+    got = {u: W.canonical(u) for u in want}
+    assert got == want
+    assert all(W.canonical(c) == c for c in got.values() if c)

@@ -27,6 +27,8 @@ SUFFIXES = (
     "ac.nz", "co.nz", "govt.nz", "net.nz", "org.nz", "com.br", "gov.br", "net.br", "org.br", "ac.in", "co.in", "gov.in", "net.in", "org.in", "ac.za", "co.za", "gov.za", "org.za", "co.kr", "go.kr", "or.kr",
     "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "com.mx", "gob.mx", "org.mx", "com.ar", "com.tr", "gov.tr", "com.sg", "edu.sg", "com.hk", "com.tw", "co.il", "com.ua", "github.io", "blogspot.com",
 )
+#: fixed values: parameters that only ask for the AMP form, with the values that do
+AMP = {"amp": ("", "1", "true"), "outputtype": ("amp",)}
 MOBILE = ("m.", "amp.", "mobile.")
 
 
@@ -79,7 +81,7 @@ def canonical(url: str | None) -> str | None:
         if path.endswith(ending) and len(path) > len(ending):
             path = path[: -len(ending)] or "/"
             break
-    kept = sorted((p for p in pairs if not is_tracking(p[0]) and p[0].lower() not in ("amp", "outputtype")), key=lambda p: p[0])
+    kept = sorted((p for p in pairs if not is_tracking(p[0]) and p[1].lower() not in AMP.get(p[0].lower(), ())), key=lambda p: p[0])
     return urlunsplit((u.scheme.lower(), host, path, urlencode(kept), ""))
 
 
