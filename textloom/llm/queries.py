@@ -142,8 +142,8 @@ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY
 w AS (SELECT *, CASE place % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS weight FROM s),
 r AS (SELECT *, 3.0 * n / weight AS full_at FROM w),
 c AS (SELECT *, ((SELECT sum(n) FROM s) - coalesce(sum(3 * n) OVER o, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER o, 0)) AS level FROM r WINDOW o AS (ORDER BY full_at, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min(level) AS level FROM c WHERE full_at >= level)
-SELECT doc_id, size, n AS source_size, round(least(3.0 * n, weight * coalesce(l.level, 0)), 4) AS target FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source, l
+l AS (SELECT arg_min(level, (full_at, place)) AS level FROM c WHERE full_at >= level)
+SELECT doc_id, size, n AS source_size, round(least(3.0 * n, weight * coalesce(l.level, 1e18)), 4) AS target FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source, l
 """
 ORACLES: dict[str, str] = {
     "base_url_rules": URL_ORACLE, "base_secret_spans": SECRET_ORACLE, "base_mix_targets": MIX_ORACLE,
