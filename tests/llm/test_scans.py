@@ -95,6 +95,8 @@ def test_quality_on_held_out_rows(spark):
     held = [r for r in got if r.held_out and r.doc_id in want]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got if r.doc_id is not None)
     assert sum(r.predicted == want[r.doc_id] for r in held) >= 0.95 * len(held) > 40
+    long = spark.createDataFrame([(1, "fine words here " * 300_000), (2, "LOUD!! $$$ | " * 300_000)], "doc_id long, text string")
+    assert {r.doc_id: r.predicted for r in quality_scores(docs.select("doc_id", "text").unionByName(long.withColumn("doc_id", F.col("doc_id") + 5000)), truth, sample=300).filter("doc_id > 5000").collect()} == {5001: 1, 5002: 0}
     one = quality_scores(docs, truth.filter("quality = 1")).collect()
     assert all(r.predicted == 1 for r in one) and quality_scores(docs.filter("false"), truth).collect() == []
 

@@ -139,6 +139,19 @@ def test_leaks_are_found_and_no_others(leaky):
     assert D.leaks(docs.filter("false"), bench).collect() == [] and D.leaks(docs, bench.filter("false")).collect() == []
 
 
+def test_leaks_of_odd_rows(spark, leaky):
+    docs, bench, want = leaky
+    text = {r.doc_id: r.text for r in docs.collect()}
+    (one, item), *_ = sorted(want)
+    filler = "plain words without any item " * 40_000
+    rows = [(None, text[one]), (one, text[one]), (one, text[one]), (7000, filler + text[one]), (7001, filler)]
+    df = spark.createDataFrame([(*r, 1.5, "own") for r in rows], "doc_id long, text string, cosine double, start string")
+    got = sorted(((r.doc_id, r.item_id) for r in D.leaks(df, bench.withColumn("doc_id", F.lit("x"))).collect()), key=str)
+    assert got == sorted([(None, item), (one, item), (one, item), (7000, item)], key=str)
+    kept = D.without_leaks(df, bench)
+    assert kept.columns == df.columns and [(r.doc_id, r.cosine, r.start) for r in kept.collect()] == [(7001, 1.5, "own")]
+
+
 def test_items_go_in_blocks(leaky, monkeypatch):
     docs, bench, want = leaky
     monkeypatch.setattr(D, "ITEMS_A_PASS", 2)
@@ -233,6 +246,16 @@ def test_long_items_are_found(spark, every):
     assert sorted((r.doc_id, r.item_id) for r in found.collect()) == [(i, i) for i in range(5)]
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[0].tolist()), (5, v[5].tolist()), (5, (v[5] + 1).tolist())]
+    got = H.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in range(0, 400, 100):
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in mine] == list(range(1, 11)) and len({i for _, i, _ in mine}) == 10 and q not in {i for _, i, _ in mine}
+
+
 def test_neighbours_of_small_tables(spark):
     for n in (5, 8, 11, 12, 15, 30):
         v = np.random.default_rng(n).normal(size=(n, 16))
