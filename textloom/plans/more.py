@@ -102,6 +102,13 @@ def page_layout(t):
     return kept.groupBy("doc").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("characters"))
 
 
+@query("X7_joined_text", "SELECT doc_id AS doc, md5(regexp_replace(regexp_replace(text, '([a-z])-\\n([a-z])', '\\1\\2', 'g'), '\\n', ' ', 'g')) AS text FROM documents WHERE text IS NOT NULL")
+def joined_text(t):
+    lines = t.documents.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    rows = lines.select("doc", F.floor(F.col("i") / 6).alias("page"), (F.col("i") % 6 + 1).alias("line"), "text")
+    return L.joined_text(rows).select("doc", F.md5("text").alias("text"))
+
+
 @query("ST4_trailing_stream", "WITH w AS (SELECT event_type, date_trunc('day', ts) + INTERVAL 6 HOUR * (hour(ts) // 6 + 1 + d) AS until FROM events, (SELECT unnest([0, 1, 2, 3]) AS d)) SELECT until, event_type, count(*) AS n FROM w GROUP BY 1, 2")
 def trailing_stream(t):
     return finished(t, E.trailing(stream(t))).select(F.col("until").cast("timestamp_ntz").alias("until"), "event_type", "n")
