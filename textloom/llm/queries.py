@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.decontaminate import leaks
+from textloom.llm.divergence import divergence
+from textloom.llm.hard_negatives import hard_negatives
 from textloom.llm.hilbert import neighbours
 from textloom.llm.jaccard_join import jaccard_components
 from textloom.llm.lm_score import lm_scores
@@ -13,6 +15,7 @@ from textloom.llm.mixing import mixed
 from textloom.llm.quality import quality_scores
 from textloom.llm.secret_scan import secret_scan
 from textloom.llm.shared import new_path
+from textloom.llm.slots import sharded
 from textloom.llm.substring_dedup import substring_dedup
 from textloom.llm.url_rules import url_verdicts
 from textloom.llm.warc import ORACLE as WARC_ORACLE
@@ -68,6 +71,23 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents")).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def base_shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op12_sharding that SQL can follow."""
+    return op12_sharding(spark, sf_dir).select("doc_id", "size", "law")
+
+
 def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op2_url_rules that SQL can follow."""
     return op2_url_rules(spark, sf_dir).select("page_id", "host", "path", "rule")
@@ -94,6 +114,10 @@ QUERIES = {
     "op8_neighbours": op8_neighbours,
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
+    "op11_divergence": op11_divergence,
+    "op12_sharding": op12_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
+    "base_shard_sizes": base_shard_sizes,
     "base_url_rules": base_url_rules,
     "base_secret_spans": base_secret_spans,
     "base_mix_targets": base_mix_targets,
@@ -145,6 +169,34 @@ c AS (SELECT *, ((SELECT sum(n) FROM s) - coalesce(sum(3 * n) OVER o, 0)) / ((SE
 l AS (SELECT arg_min(level, (full_at, place)) AS level FROM c WHERE full_at >= level)
 SELECT doc_id, size, n AS source_size, round(least(3.0 * n, weight * coalesce(l.level, 1e18)), 4) AS target FROM d JOIN w ON w.source IS NOT DISTINCT FROM d.source, l
 """
+DIVERGENCE_ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS lang_n FROM x GROUP BY 1, 2 HAVING count(DISTINCT id) >= 10),
+s AS (SELECT lang, source FROM d GROUP BY 1, 2),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM x SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY 1, 2),
+f AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+  CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (coalesce(t.total, 0) + 2 * v.v) AS HUGEINT) AS p, CAST(1 + (1000000000::HUGEINT * (k.lang_n + 2)) // (v.lang_total + 2 * v.v) AS HUGEINT) AS q
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN t ON t.lang = s.lang AND t.source = s.source LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+e AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(e.value, 0) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN e ON e.lang = a.lang AND e.source = a.source AND e.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM f WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 10
+"""
+NEGATIVES_ORACLE = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+SHARD_ORACLE = "SELECT doc_id, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size, 'bytes' AS law FROM documents"
 ORACLES: dict[str, str] = {
+    "op11_divergence": DIVERGENCE_ORACLE, "op13_hard_negatives": NEGATIVES_ORACLE, "base_shard_sizes": SHARD_ORACLE,
     "base_url_rules": URL_ORACLE, "base_secret_spans": SECRET_ORACLE, "base_mix_targets": MIX_ORACLE,
     "op1_substring_dedup": DEDUP_ORACLE, "op3_warc": WARC_ORACLE, "op7_jaccard_join": JACCARD_ORACLE}
