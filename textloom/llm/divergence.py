@@ -47,7 +47,9 @@ TOP = 10
 CELLS, ROWS = 1 << 20, 2
 BLOCKS = 64
 #: terms that a task holds before it hands them on
-HELD = 200_000
+HELD = 500_000
+#: rows of an Arrow batch
+STEP = 50_000
 PIECE = 1 << 20
 
 #: what belongs to a term stays, A-Z become small, all other ASCII becomes a space
@@ -156,52 +158,54 @@ def term_counts(df: DataFrame, least: int = LEAST_DOCS, cells: int = CELLS, sket
     shared = spark.sparkContext.broadcast(sketch)  # 2 MiB at the production values
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        groups: set[tuple[str, str]] = set()
-        n = 0
+        held, docs, named, n = defaultdict(Counter), defaultdict(Counter), set(), 0
         for body, lang, source in groups_of(batches):
-            if (lang, source) not in held:
-                held[lang, source] = (Counter(), Counter())
-            if len(groups) < HELD:  # a group may be named again: they are made distinct later
-                new = (lang, source) not in groups
-                groups.add((lang, source))
-            else:
-                new, groups = True, {(lang, source)}
-            if new:
-                yield _rows([(lang, source, b"", 0, 0)])
-            count, docs = held[lang, source]
-            before, seen = len(count), set()
+            if (lang, source) not in named:  # it occurs, even without terms; naming it again does no harm
+                named = named if len(named) < HELD else set()
+                named.add((lang, source))
+                yield _rows(lang, source, [b""], [0], [0])
+            count, seen = held[lang, source], set()
+            before = len(count)
             for terms in pieces(body):
                 count.update(terms)
                 seen.update(terms)
-            docs.update(seen)
+            docs[lang].update(seen)
             n += len(count) - before + 1
             if n > HELD:
-                yield from _survivors(held, shared.value, least)
-                held, n = {}, 0
-        yield from _survivors(held, shared.value, least)
+                yield from _survivors(held, docs, shared.value, least)
+                n = 0
+        yield from _survivors(held, docs, shared.value, least)
 
     partial = rows.mapInArrow(counted, COUNTS)
     summed = written(partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
     of_lang = Window.partitionBy("lang", "term")
-    exact = summed.filter("term <> ''").withColumns({"lang_n": F.sum("n").over(of_lang), "_docs": F.sum("docs").over(of_lang)}).filter(F.col("_docs") >= least)
+    exact = summed.filter("term <> ''").withColumns({"lang_n": F.sum("n").over(of_lang), "_docs": F.sum("docs").over(of_lang)}).filter((F.col("_docs") >= least) & F.col("source").isNotNull())
     return written(exact.select("lang", "source", "term", "n", "lang_n"), "kept"), summed.filter("term = ''").select("lang", "source")
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    lang, source, term, n, docs = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([t.decode() for t in term], pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], names=["lang", "source", "term", "n", "docs"])
+def _rows(lang: str, source: str | None, terms: list[bytes], n: list[int], docs: list[int]) -> pa.RecordBatch:
+    columns = [pa.repeat(pa.scalar(lang, pa.string()), len(terms)), pa.repeat(pa.scalar(source, pa.string()), len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
 
-def _survivors(held: dict[tuple[str, str], tuple[Counter, Counter]], sketch: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
-    """The counts of terms that may be frequent enough."""
-    for (lang, source), (count, docs) in held.items():
+def _survivors(held: dict[tuple[str, str], Counter], docs: dict[str, Counter], sketch: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """The counts by source of terms that may be frequent enough, and their documents by language (source null); what was held is let go."""
+    may: dict[str, set[bytes]] = {}
+    for lang, count in docs.items():
         terms = list(count)
-        for at in range(0, len(terms), 50_000):
-            some = terms[at : at + 50_000]
-            may = estimates(sketch, [key(lang, t) for t in some]) >= least
-            if may.any():
-                yield _rows([(lang, source, t, count[t], docs[t]) for t, ok in zip(some, may.tolist(), strict=True) if ok])
+        for at in range(0, len(terms), STEP):
+            some = terms[at : at + STEP]
+            kept = [some[i] for i in np.flatnonzero(estimates(sketch, [key(lang, t) for t in some]) >= least)]
+            may.setdefault(lang, set()).update(kept)
+            if kept:
+                yield _rows(lang, None, kept, [0] * len(kept), [count[t] for t in kept])
+    for (lang, source), count in held.items():
+        kept = [t for t in count if t in may[lang]] if may.get(lang) else []
+        for at in range(0, len(kept), STEP):
+            some = kept[at : at + STEP]
+            yield _rows(lang, source, some, [count[t] for t in some], [0] * len(some))
+    held.clear()
+    docs.clear()
 
 
 def share(n: Column, total: Column, kept: Column) -> Column:
