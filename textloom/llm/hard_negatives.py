@@ -55,7 +55,7 @@ def vectors(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     rows = df.filter(ident.isNotNull() & F.col(label).isNotNull() & v.isNotNull() & ~bad)
     own = F.col(label).cast("long")
     shifted = F.when(ident % RELABEL_EVERY == 0, (own + 1) % LABELS).otherwise(own)
-    rows = rows.select(ident.alias("vec_id"), shifted.alias("label"), F.transform(v, lambda x: F.floor(x * SCALE).cast("int")).alias("v")).filter(F.size("v") > 0)
+    rows = rows.select(ident.alias("vec_id"), shifted.alias("label"), F.transform(v, lambda x: F.when(F.abs(x) < LIMIT / SCALE, F.floor(x * SCALE)).try_cast("int")).alias("v")).filter(F.size("v") > 0)
     sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
     dim = sizes[0]["dim"] if sizes else 0
     return rows.filter(F.size("v") == dim), dim

@@ -100,20 +100,26 @@ def _levelled(out: dict[Slot, int], weight: dict[Slot, int], shards: int) -> dic
 
 
 def grown(shard_of: dict[Slot, int], weight: dict[Slot, int], shards: int) -> dict[Slot, int]:
-    """The next version with one shard more: slots move into the new shard only, from those with most, up to its share."""
+    """The next version with one shard more: slots move into the new shard only, from those with most, down to one level."""
     out, load, held = dict(shard_of), [0] * shards, [[] for _ in range(shards)]
     for slot in sorted(out, key=lambda s: (weight.get(s, 0), s)):
         load[out[slot]] += weight.get(slot, 0)
         held[out[slot]].append(slot)
-    share, new = sum(load) / (shards + 1), 0
-    heap = [(-n, k) for k, n in enumerate(load)]
+    # the level of all shards afterwards; one whose largest slot is above it keeps what it has
+    most = [max((weight.get(s, 0) for s in mine), default=0) for mine in held]
+    giving = list(range(shards))
+    level = sum(load) / (shards + 1)
+    while len(giving) > len(giving := [k for k in giving if most[k] <= level]):
+        level = sum(load[k] for k in giving) / (len(giving) + 1)
+    new, heap = 0, [(-load[k], k) for k in giving]
     heapq.heapify(heap)
-    while heap and new < share:
+    while heap and new < level:
         n, k = heapq.heappop(heap)
-        fits = [s for s in held[k] if 0 < weight.get(s, 0) <= min(share - new, 2 * (-n - share))]
+        over = -n - level
+        fits = [s for s in held[k] if 0 < weight.get(s, 0) <= min(level - new, 2 * over)]
         if not fits:
             continue  # this shard has no slot to give
-        slot = fits[-1]
+        slot = min(fits, key=lambda s: (abs(weight[s] - over), s))
         held[k].remove(slot)
         out[slot], new = shards, new + weight[slot]
         heapq.heappush(heap, (n + weight[slot], k))
