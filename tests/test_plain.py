@@ -209,15 +209,6 @@ def run_stream(spark, df, tmp_path, build, mode):
     return out
 
 
-def test_breaker_counts_in_order_across_batches(spark, tmp_path, small_batches):
-    kinds = {1: "eeee", 2: "xeexe", 3: "eeeeex", 4: "x", 5: "exeee"}
-    rows = [(u * 100 + n, f"2024-01-0{u} 00:00:{n:02}", u, "error" if k == "e" else "view") for u, ks in kinds.items() for n, k in enumerate(ks)]
-    random.Random(3).shuffle(rows)
-    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = {r.user_id: (r.failures, r.state) for r in run_stream(spark, df, tmp_path, E.breakers, "update")}
-    assert got == {1: (4, "open"), 2: (1, "closed"), 3: (0, "closed"), 4: (0, "closed"), 5: (3, "open")}
-
-
 def test_pacer_keeps_its_burst(spark, tmp_path, small_batches):
     rows = [(i, f"2024-01-01 00:0{i // 6}:{i % 6 * 10:02}", 1) for i in range(12)] + [(50, "2024-01-01 03:00:00", 1), (60, "2024-01-01 00:00:00", 2)]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long").withColumn("ts", F.col("ts").cast("timestamp"))

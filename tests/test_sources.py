@@ -1,12 +1,10 @@
 """Sources and sinks on files made here."""
 
 import io
-import json
 import zipfile
 
 from textloom.sources import archives as A
 from textloom.sources import records as R
-from textloom.streaming import events as E
 
 
 def test_zip_members(spark, tmp_path):
@@ -36,19 +34,3 @@ def test_bad_lines_are_named(spark, tmp_path):
     good, bad = R.checked_jsonl(spark, str(tmp_path), "a long")
     assert sorted(r.a for r in good.collect()) == [1, 2]
     assert [r._bad for r in bad.collect()] == ["not json"]
-
-
-def test_tail_reads_new_files_only(spark, tmp_path):
-    source, state = tmp_path / "in", tmp_path / "state"
-    source.mkdir()
-    line = lambda i: json.dumps({"event_id": i, "ts": "2024-01-01T00:00:00Z", "user_id": 1, "event_type": "view", "value": 1.0}) + "\n"
-
-    def run():
-        q = E.tail(spark, str(source)).writeStream.format("parquet").option("checkpointLocation", str(state)).trigger(availableNow=True).start(str(tmp_path / "out"))
-        q.awaitTermination()
-        return spark.read.parquet(str(tmp_path / "out")).count()
-
-    (source / "1.json").write_text(line(1) + line(2))
-    assert run() == 2
-    (source / "2.json").write_text(line(3))
-    assert run() == 3

@@ -1,8 +1,10 @@
-"""Cutting lineage safely: checkpoints in the folder that driver and executors share."""
+"""Cutting lineage safely: files in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,8 +24,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """``df`` computed once and kept in the shared folder as Parquet, so that columns it is read for can be pruned and its size is known."""
+    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Session settings that hold inside a block."""
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

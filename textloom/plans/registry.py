@@ -35,5 +35,5 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
-for _family in ("cohorts", "joins", "matching", "ranking", "classification", "evidence", "web", "ingest", "streams", "relational", "more"):
+for _family in ("cohorts", "joins", "matching", "ranking", "classification", "evidence", "web", "ingest", "streams", "relational", "more", "search"):
     importlib.import_module(f"textloom.plans.{_family}")

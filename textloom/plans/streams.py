@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textloom.functions.storage import settings, settled
 from textloom.plans.ingest import place
 from textloom.plans.registry import Tables, query
+from textloom.sources.tail import tailed
 from textloom.streaming import events as E
+from textloom.streaming.breaker import STORE, breakers
+from textloom.streaming.tables import WEEKS, StateTable, once, placed_once, snapshots
 
 
 def stream(t: Tables):
@@ -47,24 +51,57 @@ def seen_once_stream(t):
     return rows.agg(F.count("*").alias("events"), F.count_distinct("event_id").alias("keys"))
 
 
-@query("ST6_late_split", "SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS on_time, count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS late FROM events")
-def late_split(t):
-    on_time, late = E.late_rows(stream(t), "2024-01-10")
-    a, b = (finished(t, x.groupBy().count()) for x in (on_time, late))
-    return a.select(F.col("count").alias("on_time")).crossJoin(b.select(F.col("count").alias("late")))  # one row each
+#: weeks by their last day, in the order in which they come: every third a batch late
+WEEK_ROWS = "w AS (SELECT DISTINCT CAST(CAST(date_trunc('week', ts) AS DATE) + 6 AS DATE) AS week, user_id AS key FROM events)"
 
 
-@query("ST7_breaker_stream", "WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events), s AS (SELECT user_id, min(back) FILTER (event_type <> 'error') AS last_ok, count(*) AS n FROM r GROUP BY 1) SELECT user_id, CAST(coalesce(last_ok - 1, n) AS BIGINT) AS failures, CASE WHEN coalesce(last_ok - 1, n) >= 3 THEN 'open' ELSE 'closed' END AS state FROM s")
+@query("ST6_late_weeks", f"WITH {WEEK_ROWS}, f AS (SELECT key, min(week) AS first FROM w GROUP BY 1), n AS (SELECT week, lag(week) OVER (ORDER BY week) AS before FROM (SELECT DISTINCT week FROM w)) SELECT w.week AS week, count(*) AS held, count(*) FILTER (f.first = w.week) AS first_seen, count(p.key) AS returned, count(*) FILTER (p.key IS NULL AND f.first < w.week) AS back FROM w JOIN f USING (key) JOIN n USING (week) LEFT JOIN w p ON p.week = n.before AND p.key = w.key GROUP BY 1")
+def late_weeks(t):
+    """Weekly snapshots as a stream in which every third week comes after the two that follow it, measured again in place."""
+    rows = t.events.select(F.date_add(F.date_trunc("week", F.col("ts").cast("timestamp")).cast("date"), 6).alias("week"), F.col("user_id").alias("key")).distinct()
+    number = F.floor(F.datediff("week", F.lit("1970-01-04")) / 7)
+    turn = F.when(number % 3 == 0, number + 2.5).otherwise(number)  # behind the two weeks after it
+    source, table = place(t, "weeks"), StateTable(t.spark, place(t, "snapshots"), WEEKS)
+    rows.withColumn("turn", turn).repartition("turn").write.partitionBy("turn").parquet(source)
+    turns = sorted(r[0] for r in t.spark.read.parquet(source).select("turn").distinct().collect())  # a row a week
+    save = once(table, snapshots)
+    for n, turn in enumerate(turns):
+        save(t.spark.read.parquet(source).filter(F.col("turn") == turn), n)
+    out = table.rows()
+    return out.groupBy("week").agg(F.count("*").alias("held"), F.count_if(F.col("first") == F.col("week")).alias("first_seen"), F.count_if("returned").alias("returned"), F.count_if(~F.col("returned") & (F.col("first") < F.col("week"))).alias("back"))
+
+
+BREAKER_SQL = """WITH RECURSIVE m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM events),
+r AS (SELECT user_id, event_id, ts, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events, m WHERE date_trunc('millisecond', ts) + INTERVAL 1 MILLISECOND <= date_trunc('millisecond', mark)),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS n, 'closed' AS state, 0 AS failures, 0 AS skipped, CAST(NULL AS TIMESTAMP) AS until FROM r GROUP BY 1
+ UNION ALL SELECT r.user_id, r.n,
+  CASE WHEN refused THEN 'open' WHEN NOT failed THEN 'closed' WHEN s.state = 'open' OR s.failures + 1 >= 3 THEN 'open' ELSE 'closed' END,
+  CASE WHEN refused THEN s.failures WHEN NOT failed THEN 0 ELSE s.failures + 1 END, s.skipped + CASE WHEN refused THEN 1 ELSE 0 END,
+  CASE WHEN refused THEN s.until WHEN failed AND (s.state = 'open' OR s.failures + 1 >= 3) THEN r.ts + INTERVAL 240 HOUR END
+ FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1, LATERAL (SELECT s.state = 'open' AND r.ts < s.until AS refused) x)
+SELECT user_id, event_id, state, failures, skipped, until AS open_until FROM s JOIN r USING (user_id, n)"""
+
+
+@query("ST7_breaker_stream", BREAKER_SQL)
 def breaker_stream(t):
-    rows = finished(t, E.breakers(stream(t)), "update")
-    last = rows.groupBy("user_id").agg(F.max_by(F.struct("failures", "state"), "at").alias("b"))
-    return last.select("user_id", F.col("b.failures").cast("bigint").alias("failures"), "b.state")
+    """The state of each user's breaker after each call that the watermark has passed, ten days of cool-down."""
+    with settings(t.spark, STORE):
+        rows = finished(t, breakers(stream(t), cool_hours=240.0), "append")
+    return rows.filter("event_id is not null").select("user_id", "event_id", "state", "failures", "skipped", F.col("open_until").cast("timestamp_ntz").alias("open_until"))
 
 
-@query("ST9_new_rows_only", "SELECT event_id FROM events WHERE event_id % 2 = 1")
+@query("ST9_new_rows_only", "SELECT event_type AS key, min(event_id) AS event_id, min(user_id) AS user_id FROM (SELECT CAST(user_id AS VARCHAR) || ':' || event_type AS event_type, event_id, user_id FROM events) GROUP BY 1")
 def new_rows_only(t):
-    state = t.events.filter("event_id % 2 = 0")
-    return E.new_only(t.events, state, "event_id").select("event_id")
+    """The first event of each user and kind, placed by two runs over growing input: the second run reads and writes only what is new."""
+    rows = t.events.select(F.concat_ws(":", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", "user_id")
+    firsts = settled(rows.groupBy("key").agg(F.min("event_id").alias("event_id"), F.min("user_id").alias("user_id")))
+    half = F.pmod(F.xxhash64("user_id"), F.lit(2)) == 0
+    table = StateTable(t.spark, place(t, "placed"), "key string, event_id long, user_id long")
+    save = once(table, placed_once)
+    save(firsts.filter(half), 0)
+    save(firsts, 1)
+    save(firsts, 1)  # a batch that is tried again
+    return table.rows()
 
 
 @query("ST10_sessions_stream", "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
@@ -74,9 +111,11 @@ def sessions_stream(t):
 
 @query("ST1_tail_log", "SELECT event_id, user_id FROM events")
 def tail_log(t):
+    """Events logged as JSON lines, tailed by byte offsets while the logs lie in one folder."""
     path = place(t, "log")
     t.events.select("event_id", "user_id").write.json(path)
-    return finished(t, E.tail(t.spark, path, "event_id long, user_id long"), "append")
+    lines = finished(t, tailed(t.spark, path, ".json"), "append")
+    return lines.select(F.from_json("line", "event_id long, user_id long").alias("e")).select("e.*")
 
 
 @query("ST8_paced_stream", "WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS came, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), s AS (SELECT user_id, event_id, n, came AS sent, [came] AS last FROM r WHERE n = 1 UNION ALL SELECT r.user_id, r.event_id, r.n, x.sent, list_append(s.last, x.sent)[-2:] FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1, LATERAL (SELECT greatest(r.came, s.last[-1], CASE WHEN len(s.last) = 2 THEN s.last[-2] + 7200000000 ELSE 0 END) AS sent) x) SELECT user_id, event_id, make_timestamp(sent) AS sent FROM s")
