@@ -56,14 +56,6 @@ def refined(rows: DataFrame, children: DataFrame, depth: int) -> DataFrame:
     return rows
 
 
-def carried(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Fill a missing value from its group where all known values of the group agree."""
-    known = rows.filter(F.col(value).isNotNull()).groupBy(group).agg(F.count_distinct(value).alias("n"), F.min(value).alias("one")).filter("n = 1").drop("n")
-    out = rows.join(known, group, "left")
-    method = F.when(F.col(value).isNotNull(), "own").when(F.col("one").isNotNull(), "carried").otherwise("none")
-    return out.withColumn("method", method).withColumn(value, F.coalesce(value, "one")).drop("one")
-
-
 def upsert_actions(current: DataFrame, decisions: DataFrame, key: str, value: str) -> DataFrame:
     """(key, value, action): add, change, unchanged or kept after decisions are applied."""
     c, d = current.select(key, F.col(value).alias("old"), F.lit(True).alias("was")), decisions.select(key, F.col(value).alias("new"), F.lit(True).alias("is"))

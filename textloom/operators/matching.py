@@ -270,17 +270,6 @@ def abbreviation_anchor(tokens: Column, least: int = 3) -> Column:
     return F.when((at > 0) & (F.size(opening) >= least) & (F.size(closing) >= least), F.struct(opening.alias("opening"), closing.alias("closing")))
 
 
-def link_abbreviated(short: DataFrame, full: DataFrame) -> DataFrame:
-    """(id, cluster): the full body with the same cite key that opens and closes with the anchor; the cluster with most copies, then the smallest.
-
-    ``short``: id, key, opening, closing; ``full``: key, words, cluster, copies.
-    """
-    opens = F.slice(F.col("words"), 1, F.size("opening")) == F.col("opening")
-    closes = F.reverse(F.slice(F.reverse("words"), 1, F.size("closing"))) == F.col("closing")
-    fits = short.join(full, "key").filter(opens & closes)
-    return fits.groupBy("id").agg(F.min_by("cluster", F.struct(-F.col("copies"), "cluster")).alias("cluster"))
-
-
 #: fixed values: clusters beyond which a short part is too common, and the least share of a holder that joins
 TOO_COMMON, CUT_SHARE = 8, (1, 10)
 

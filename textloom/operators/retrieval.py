@@ -127,17 +127,6 @@ def narrowing(results: DataFrame, query: list[str], most: int = 5) -> DataFrame:
     return counts.filter((F.col("results") >= 2) & (F.col("results") < F.col("carrying")) & fresh).orderBy(F.desc("results"), "best_rank", "subject").limit(most).drop("carrying")
 
 
-def tfidf_scores(docs: DataFrame, weights: DataFrame, intercept: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score) of a logistic model over unit TF-IDF rows; documents without a known token have no score.
-
-    ``weights``: term, idf, coefficient.
-    """
-    w = (1 + F.log("tf")) * F.col("idf")
-    rows = postings(docs, key, text).join(weights, "term")
-    sums = rows.groupBy(key).agg(F.sum(w * F.col("coefficient")).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
-    return sums.select(key, (1 / (1 + F.exp(-(F.col("dot") / F.col("norm") + intercept)))).alias("score"))
-
-
 def ndcg(graded: DataFrame, group: str, k: int) -> DataFrame:
     """nDCG@k per group. ``graded``: group, rank, grade."""
     gain = lambda place: F.sum(F.when(place <= k, (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(place + 1)))

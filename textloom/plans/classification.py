@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
+from textloom.functions.storage import settled
+from textloom.operators import assignment as A
 from textloom.operators import classification as K
 from textloom.operators.cohorts import readings
 from textloom.plans.cohorts import EV
@@ -99,10 +101,39 @@ def plan_verdicts(t):
     return s.select("user_id", verdict.alias("verdict"), F.when((F.col("c") >= 3) & (F.col("n") == 1), F.col("one")).alias("name"))
 
 
-@query("C10_carried_assignment", "WITH d AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS aff FROM orders), k AS (SELECT o_custkey, min(aff) AS one FROM d WHERE aff IS NOT NULL GROUP BY 1 HAVING count(DISTINCT aff) = 1) SELECT o_orderkey, coalesce(aff, one) AS aff, CASE WHEN aff IS NOT NULL THEN 'own' WHEN one IS NOT NULL THEN 'carried' ELSE 'none' END AS method FROM d LEFT JOIN k USING (o_custkey)")
-def carried_assignment(t):
-    d = t.orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("aff"))
-    return K.carried(d, "o_custkey", "aff").select("o_orderkey", "aff", "method")
+def narrow_sql(names: str) -> str:
+    return f"list_sort(list_filter({names}, lambda x: NOT (x = 'D1' AND list_contains({names}, 'D2'))))"
+
+
+NONE_SQL = "CAST([] AS VARCHAR[])"
+CASCADE_SQL = f"""WITH d AS (SELECT l_orderkey AS round, nullif(o_custkey, 7) AS team, 'D' || CAST(round(l_discount * 100) AS INTEGER) AS mode, CASE l_quantity WHEN 50 THEN 'NAMES' WHEN 49 THEN CASE WHEN l_linenumber = 1 THEN 'CONFLICTING' ELSE 'NONE' END WHEN 48 THEN 'UNREAD' ELSE 'NONE' END AS v,
+ l_quantity = 1 AND l_linenumber <= 2 AS marker, CASE WHEN l_quantity = 3 THEN 'NAMES' WHEN l_quantity = 4 AND l_linenumber = 1 THEN 'CONFLICTING' ELSE 'NONE' END AS tv, l_quantity = 47 AND l_linenumber = 3 AS put, l_quantity = 2 AS adv FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+f AS (SELECT round, max(team) AS team, coalesce(list(DISTINCT mode) FILTER (v = 'NAMES'), {NONE_SQL}) AS n0, bool_or(v = 'CONFLICTING') AS c0, bool_and(v = 'NONE') AS no_plan, bool_or(marker) AS marked, coalesce(list(DISTINCT mode) FILTER (tv = 'NAMES'), {NONE_SQL}) AS t0, bool_or(tv = 'CONFLICTING') AS tc0, bool_and(tv = 'NONE') AS t_none, coalesce(list(DISTINCT mode) FILTER (put), {NONE_SQL}) AS placed, bool_or(adv) AS advantage FROM d GROUP BY 1),
+g AS (SELECT *, {narrow_sql('n0')} AS named, {narrow_sql('t0')} AS moved FROM f), h AS (SELECT *, c0 OR len(named) > 1 AS clash, tc0 OR len(moved) > 1 AS t_clash FROM g),
+p1 AS (SELECT *, CASE WHEN NOT clash THEN named[1] END AS own FROM h),
+m1 AS (SELECT team, coalesce(list(DISTINCT x) FILTER (x IS NOT NULL), {NONE_SQL}) AS a FROM (SELECT team, own AS x FROM p1 UNION ALL SELECT team, unnest(placed) FROM p1) GROUP BY 1), m2 AS (SELECT team, {narrow_sql('a')} AS a FROM m1),
+k1 AS (SELECT team, bool_or(clash) AS c FROM p1 GROUP BY 1), tm AS (SELECT team, c OR len(a) > 1 AS disagrees, CASE WHEN NOT c AND len(a) = 1 THEN a[1] END AS carries FROM m2 JOIN k1 USING (team)),
+p2 AS (SELECT p1.*, coalesce(disagrees, false) AS disagrees, own IS NULL AND len(placed) = 0 AND NOT clash AS free, CASE WHEN own IS NULL AND len(placed) = 0 AND NOT clash AND no_plan THEN carries END AS carried FROM p1 LEFT JOIN tm USING (team)),
+p3 AS (SELECT *, free AND carried IS NULL AS open, free AND carried IS NULL AND no_plan AND marked AS by_marker FROM p2),
+p4 AS (SELECT *, open AND NOT by_marker AND no_plan AND NOT disagrees AND NOT advantage AND len(moved) = 0 AND coalesce(team IN (SELECT team FROM p3 WHERE by_marker AND team IS NOT NULL), false) AS by_k FROM p3),
+p5 AS (SELECT *, open AND NOT by_marker AND NOT by_k AS still, open AND NOT by_marker AND NOT by_k AND no_plan AND t_clash AS t_split, CASE WHEN open AND NOT by_marker AND NOT by_k AND no_plan AND NOT t_clash THEN moved[1] END AS t_own FROM p4),
+n1 AS (SELECT team, coalesce(list(DISTINCT x) FILTER (x IS NOT NULL), {NONE_SQL}) AS a FROM (SELECT team, coalesce(own, carried, CASE WHEN by_marker OR by_k THEN 'D9' END, t_own) AS x FROM p5 UNION ALL SELECT team, unnest(placed) FROM p5) GROUP BY 1), n2 AS (SELECT team, {narrow_sql('a')} AS a FROM n1),
+n3 AS (SELECT team, bool_or(t_own IS NOT NULL) AS reads, bool_or(disagrees OR t_split) AS apart FROM p5 GROUP BY 1), tn AS (SELECT team, CASE WHEN reads AND NOT apart AND len(a) = 1 THEN a[1] END AS t_carries FROM n2 JOIN n3 USING (team)),
+p6 AS (SELECT p5.*, CASE WHEN still AND t_own IS NULL AND NOT t_split AND no_plan AND t_none THEN t_carries END AS t_carried FROM p5 LEFT JOIN tn USING (team))
+SELECT round, coalesce(own, carried, CASE WHEN by_marker OR by_k THEN 'D9' END, t_own, t_carried) AS aff, CASE WHEN own IS NOT NULL THEN 'PLAN_TEXT' WHEN carried IS NOT NULL THEN 'TEAM_CARRY' WHEN by_marker THEN 'KRITIKAL_AFF_MARKER' WHEN by_k THEN 'KRITIKAL_AFF_CARRY' WHEN t_own IS NOT NULL THEN 'TRANSITION_PLAN_TEXT' WHEN t_carried IS NOT NULL THEN 'TRANSITION_PLAN_CARRY' END AS method FROM p6"""
+
+
+@query("C10_assignment_cascade", CASCADE_SQL)
+def assignment_cascade(t):
+    """Orders as rounds of customers, lines as their documents; quantities stand for what a document's plan texts say, discounts for the aff."""
+    q, line, aff = F.col("l_quantity"), F.col("l_linenumber"), F.concat(F.lit("D"), F.round(F.col("l_discount") * 100).cast("int").cast("string"))
+    d = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("l_orderkey").alias("round"), F.nullif("o_custkey", F.lit(7)).alias("team"), aff.alias("aff"), aff.alias("t_aff"),
+        F.when(q == 50, "NAMES").when((q == 49) & (line == 1), "CONFLICTING").when(q == 48, "UNREAD").otherwise("NONE").alias("verdict"), ((q == 1) & (line <= 2)).alias("marker"),
+        F.when(q == 3, "NAMES").when((q == 4) & (line == 1), "CONFLICTING").otherwise("NONE").alias("t_verdict"), ((q == 47) & (line == 3)).alias("put"), (q == 2).alias("adv"),
+    )
+    d = settled(d)
+    return A.assigned(d, d.filter("put").select("round", "aff"), d.filter("adv").select("round"), "D9", {"D2": ["D1"]})
 
 
 @query("C11_marker_families", f"WITH h AS (SELECT p_partkey, ' ' || trim(regexp_replace(lower(p_name || ' ' || p_type), '[^0-9a-z]+', ' ', 'g')) || ' ' AS w FROM part) SELECT p_partkey, CASE WHEN contains(w, ' standard ') THEN 'standard' WHEN contains(w, ' economy ') THEN 'economy' WHEN contains(w, ' part ') THEN 'part' END AS family FROM h")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions.storage import settled
+from textloom.operators import abbreviations as AB
 from textloom.operators import matching as M
 from textloom.plans.registry import query
 
@@ -228,27 +229,53 @@ def anchors(t):
     return b.select("item_id", F.array_join("a.opening", " ").alias("opening"), F.array_join("a.closing", " ").alias("closing"))
 
 
-@query("N19_link_abbreviated", f"WITH b AS (SELECT item_id, item_id % 7 AS key, {BODY} AS w FROM benchmark) SELECT s.item_id AS id, min(f.item_id) AS cluster FROM b s JOIN b f USING (key) WHERE len(s.w) >= 8 AND f.w[1:4] = s.w[1:4] AND f.w[-4:] = s.w[-4:] GROUP BY 1")
-def link_abbreviated(t):
-    w = F.split(X.tag_words(F.col("text")), " ")
-    b = t.benchmark.select("item_id", (F.col("item_id") % 7).alias("key"), w.alias("words"))
-    short = b.filter(F.size("words") >= 8).select(F.col("item_id").alias("id"), "key", F.slice("words", 1, 4).alias("opening"), F.slice("words", -4, 4).alias("closing"))
-    return M.link_abbreviated(short, b.select("key", "words", F.col("item_id").alias("cluster"), F.lit(1).alias("copies")))
+#: abbreviated forms of every document: three to eight words of each end, by its own length, under its language
+ENDS = f"b AS (SELECT doc_id, lang AS key, {WORDS} AS w FROM documents), x AS (SELECT *, 3 + len(w) % 6 AS i, 3 + (len(w) // 6) % 6 AS j FROM b WHERE len(w) >= 8 AND key IS NOT NULL), y AS (SELECT doc_id, key, w, w[1:i] AS o, w[len(w) - j + 1:] AS c FROM x)"
+
 
+def abbreviated(t):
+    b = t.documents.filter("lang is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("key"), X.matching_words(F.col("text")).alias("words")).filter(F.size("words") >= 8)
+    n = F.size("words")
+    i, j = (n % 6 + 3).cast("int"), (F.floor(n / 6) % 6 + 3).cast("int")
+    return b.select("id", "key", "words", F.slice("words", F.lit(1), i).alias("opening"), F.slice("words", n - j + 1, j).alias("closing"))
 
-@query("N20_unmatched_groups", f"WITH b AS (SELECT item_id, {BODY} AS w FROM benchmark), k AS (SELECT item_id % 5 || '|' || w[1] || '|' || w[-1] AS bucket, item_id FROM b) SELECT bucket, count(*) AS members, min(item_id) AS first FROM k GROUP BY 1")
+
+@query("N19_link_abbreviated", f"""WITH {ENDS}, f AS (SELECT md5(array_to_string(w, ' ')) AS body, key, any_value(w) AS w, count(*) AS copies FROM y GROUP BY 1, 2),
+g AS (SELECT *, list_distinct(list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(w[k:k+4], ' '))) AS sh FROM f),
+m AS (SELECT y.doc_id AS id, g.body, g.copies, g.sh FROM y JOIN g ON g.key = y.key AND g.w[1:len(y.o)] = y.o AND g.w[len(g.w) - len(y.c) + 1:] = y.c AND len(y.o) + len(y.c) <= len(g.w)),
+h AS (SELECT id, first(body ORDER BY copies DESC, body) AS chosen FROM m GROUP BY 1),
+u AS (SELECT m.id, bool_or(m.body <> h.chosen AND 2 * len(list_intersect(m.sh, i.sh)) < least(len(m.sh), len(i.sh))) AS split FROM m JOIN h USING (id) JOIN m i ON i.id = m.id AND i.body = h.chosen GROUP BY 1)
+SELECT id, CASE WHEN NOT split THEN chosen END AS cluster FROM u JOIN h USING (id)""")
+def link_abbreviated(t):
+    """Every document's abbreviated form with the full body that it is a cut of; equal bodies are one cluster, near copies others."""
+    b = settled(abbreviated(t))
+    body = F.md5(F.array_join("words", " "))
+    full = b.groupBy(body.alias("body"), "key").agg(F.any_value("words").alias("words"), F.count("*").alias("copies"))
+    full = full.withColumn("cluster", F.col("body"))
+    return AB.link_abbreviated(b.select("id", "key", "opening", "closing", F.lit(False).alias("from_cite")), full)
+
+
+@query("N20_unmatched_groups", f"""WITH RECURSIVE {ENDS}, e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM y a JOIN y b ON a.key = b.key AND a.doc_id <> b.doc_id AND a.o[1:3] = b.o[1:3] AND a.c[-3:] = b.c[-3:]
+ AND a.o[1:least(len(a.o), len(b.o))] = b.o[1:least(len(a.o), len(b.o))] AND a.c[-least(len(a.c), len(b.c)):] = b.c[-least(len(a.c), len(b.c)):] AND greatest(least(len(a.o), len(b.o)), least(len(a.c), len(b.c))) >= 5),
+r AS (SELECT doc_id AS id, doc_id AS label FROM y UNION SELECT e.b, r.label FROM r JOIN e ON e.a = r.id), c AS (SELECT id, min(label) AS grp FROM r GROUP BY 1),
+l AS (SELECT grp, first(y.o ORDER BY len(y.o) DESC) AS o, first(y.c ORDER BY len(y.c) DESC) AS c FROM c JOIN y ON y.doc_id = c.id GROUP BY 1 HAVING count(*) > 1),
+k AS (SELECT grp FROM c JOIN y ON y.doc_id = c.id JOIN l USING (grp) GROUP BY 1 HAVING bool_and(l.o[1:len(y.o)] = y.o AND l.c[-len(y.c):] = y.c))
+SELECT id, grp FROM c JOIN k USING (grp)""")
 def unmatched_groups(t):
-    w = F.split(X.tag_words(F.col("text")), " ")
-    bucket = F.concat_ws("|", (F.col("item_id") % 5).cast("string"), F.element_at(w, 1), F.element_at(w, -1))
-    return t.benchmark.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("members"), F.min("item_id").alias("first"))
+    return AB.unmatched_groups(abbreviated(t))
 
 
-@query("N21_holders_of_two", f"WITH {distinct_sql()}, h AS (SELECT CASE WHEN n >= m THEN a ELSE b END AS holder, CASE WHEN n >= m THEN b ELSE a END AS part FROM p WHERE shared * 10 >= least(n, m) * 9) SELECT holder, count(DISTINCT part) AS parts FROM h GROUP BY 1 HAVING count(DISTINCT part) >= 2")
+@query("N21_holders_of_two", f"""WITH {distinct_sql()}, h AS (SELECT CASE WHEN n >= m THEN a ELSE b END AS holder, CASE WHEN n >= m THEN b ELSE a END AS part FROM p WHERE shared * 10 >= least(n, m) * 9),
+z AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 4)) AS i FROM s WHERE len(w) >= 5)),
+q AS (SELECT holder, part, min(x.pos) AS start, max(x.pos) + 5 AS stop FROM h JOIN z x ON x.doc_id = holder JOIN (SELECT DISTINCT doc_id, g FROM z) y ON y.doc_id = part AND y.g = x.g GROUP BY 1, 2)
+SELECT holder, count(*) AS parts FROM q GROUP BY 1 HAVING min(stop) <= max(start)""")
 def holders_of_two(t):
-    rows = M.part_pairs(distinct_bodies(t)[0])
+    reps = settled(distinct_bodies(t)[0])
+    rows = M.part_pairs(reps)
     larger = F.col("n") >= F.col("m")
     h = rows.select(F.when(larger, F.col("a")).otherwise(F.col("b")).alias("holder"), F.when(larger, F.col("b")).otherwise(F.col("a")).alias("part"))
-    return h.groupBy("holder").agg(F.count_distinct("part").alias("parts")).filter("parts >= 2")
+    w = M.bodies(t.documents, "doc_id", "text").select("id", "words")
+    return AB.holders_of_two(h.distinct(), w)
 
 
 RUN = 12

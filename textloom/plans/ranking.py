@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import words
 from textloom.operators import cohorts as C
+from textloom.operators import learned
 from textloom.operators import retrieval as R
 from textloom.plans.registry import query
 
@@ -147,13 +148,23 @@ def field_weighted(t):
     return c.crossJoin(F.broadcast(s)).filter("tf > 0").select("doc_id", F.round(score, 6).alias("score"))  # one row
 
 
-MODEL = [("the", 1.1, 0.8), ("und", 1.6, -1.2), ("les", 1.9, -0.7), ("eaan", 3.2, 2.1)]
+def held_out(doc_id):
+    """A fifth of the ids, which nothing is learned from."""
+    return F.crc32(doc_id.cast("string")) % 5 == 0
 
 
-@query("R27_tfidf_predict", f"WITH p AS (SELECT doc_id, unnest({TOKENS}) AS term FROM documents), c AS (SELECT doc_id, term, count(*) AS tf FROM p GROUP BY 1, 2), w AS (SELECT * FROM (VALUES " + ", ".join(map(str, MODEL)) + ") AS v (term, idf, k)), x AS (SELECT doc_id, (1 + ln(tf)) * idf AS v, k FROM c JOIN w USING (term)) SELECT doc_id, round(1 / (1 + exp(-(sum(v * k) / sqrt(sum(v * v)) - 0.2))), 6) AS score FROM x GROUP BY 1")
+def text_model(t):
+    """A model of language and quality, learned from the labelled documents that are not held out."""
+    labelled = t.labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    rows = t.documents.filter(~held_out(F.col("doc_id"))).join(labelled, "doc_id")
+    return learned.fit(rows.select(words(F.col("text")).alias("tokens"), F.concat_ws(":", "lang", "quality").alias("label")), "tokens", "label")
+
+
+@query("R27_tfidf_predict")
 def tfidf_predict(t):
-    model = t.spark.createDataFrame(MODEL, "term string, idf double, coefficient double")
-    return R.tfidf_scores(t.documents, model, -0.2).select("doc_id", F.round("score", 6).alias("score"))
+    model, rows = text_model(t), t.documents.select("doc_id", words(F.col("text")).alias("tokens"))
+    out = learned.predict(rows, "doc_id", "tokens", model)
+    return out.select(F.col("key").alias("doc_id"), held_out(F.col("key")).alias("held_out"), "label", F.round("probability", 4).alias("probability"))
 
 
 @query("R28_namespaced_grams", f"WITH t AS (SELECT item_id, {TOKENS} AS w FROM benchmark), g AS (SELECT item_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: 'tag:' || w[i] || ' ' || w[i + 1])) AS gram FROM t UNION ALL SELECT item_id, 'tag:' || unnest(w) FROM t) SELECT gram, count(*) AS n FROM g GROUP BY 1 HAVING count(*) > 1")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as X
 from textloom.functions import web as W
+from textloom.operators.suffixes import registrable, suffix_list
+from textloom.plans.ingest import place
 from textloom.plans.registry import query
 
 HOST = "lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1))"
@@ -42,10 +44,23 @@ def tracking_names(t):
     return p.select(name.alias("name")).groupBy("name", W.is_tracking_column(F.col("name")).alias("tracking")).agg(F.count("*").alias("n"))
 
 
-@query("X3_registrable_domains", f"SELECT {DOMAIN} AS domain, count(*) AS pages FROM pages GROUP BY 1")
+#: rules of the list that the query reads: the usual endings, a wildcard and exceptions that the hosts of the tables meet
+RULES = ("com", "net", "org", "test", "uk", "*.ck", "!www.ck", "*.example.org", "!ththon.example.org", "!example.org", "thther.example.com", *W.SUFFIXES)
+_RULE_ROWS = ", ".join(f"('{'except' if r[0] == '!' else 'wild' if r[:2] == '*.' else 'plain'}', '{r.removeprefix('!').removeprefix('*.')}')" for r in RULES)
+
+
+@query("X3_registrable_domains", f"""WITH rules AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS v (kind, suffix)), h AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host FROM pages WHERE url IS NOT NULL), l AS (SELECT host, string_split(host, '.') AS labels FROM h),
+t AS (SELECT host, len(labels) AS n, k, array_to_string(labels[n - k + 1:], '.') AS suffix FROM l, LATERAL (SELECT unnest(generate_series(1, len(labels))) AS k)),
+m AS (SELECT host, max(k - 1) FILTER (kind = 'except') AS ex, max(CASE kind WHEN 'plain' THEN k ELSE k + 1 END) FILTER (kind = 'plain' OR kind = 'wild' AND k < n) AS most FROM t JOIN rules USING (suffix) GROUP BY 1),
+d AS (SELECT l.host, CASE WHEN NOT list_contains(labels, '') AND len(labels) > coalesce(ex, most, 1) THEN array_to_string(labels[len(labels) - coalesce(ex, most, 1):], '.') END AS domain FROM l LEFT JOIN m USING (host))
+SELECT domain, count(*) AS pages FROM pages JOIN d ON d.host = lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) GROUP BY 1""")
 def registrable_domains(t):
-    host = F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)
-    return t.pages.groupBy(W.registrable_domain(host).alias("domain")).agg(F.count("*").alias("pages"))
+    """Pages by registrable domain, under a suffix list that is read as a file."""
+    path = place(t, "suffixes")
+    t.spark.createDataFrame([("// rules",), *((r,) for r in RULES)], "value string").coalesce(1).write.text(path)
+    pages = t.pages.filter("url is not null").select(F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)).alias("host"))
+    counted = pages.groupBy("host").agg(F.count("*").alias("n"))
+    return counted.join(registrable(counted, suffix_list(t.spark, path)), "host").groupBy("domain").agg(F.sum("n").alias("pages"))
 
 
 LINKED = "lower(regexp_extract(link, '^[A-Za-z]+://([^/?#]*)', 1))"
