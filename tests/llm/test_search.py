@@ -1,6 +1,8 @@
 """URL rules, WARC archives, neighbours, decontamination and the pipeline."""
 
 import glob
+import itertools
+import math
 import random
 
 import numpy as np
@@ -13,6 +15,7 @@ import corpus_pipeline as P
 from textloom.llm import decontaminate as D
 from textloom.llm import hilbert as H
 from textloom.llm.shared import new_path, sweep
+from textloom.llm import url_rules as U
 from textloom.llm.url_rules import url_verdicts
 from textloom.llm.warc import captures, page_captures, read_warc, write_warc
 
@@ -49,6 +52,51 @@ def test_mined_rules_block(spark):
     assert got[900] == "block" and got[901] == "allow" and got[0] == "block" and got[1] == "allow"
 
 
+def plain_rules(baskets, support, confidence, longest):
+    """Minimal rules by trying all sets, tokens by name."""
+    n, share = len(baskets), sum(bad for _, bad in baskets) / len(baskets)
+    found = []
+    for size in range(1, longest + 1):
+        for some in itertools.combinations(sorted({t for b, _ in baskets for t in b}), size):
+            held = [bad for b, bad in baskets if set(some) <= set(b)]
+            if sum(held) < max(1.0, support * n) or any(set(r) <= set(some) for r in found):
+                continue
+            p, k, z = sum(held) / len(held), len(held), U.SURE
+            low = (p + z * z / (2 * k) - z * math.sqrt(p * (1 - p) / k + z * z / (4 * k * k))) / (1 + z * z / k)
+            if p >= confidence and low > share:
+                found.append(some)
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_and_verdicts(spark, seed):
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(300):
+        bad = rng.random() < 0.3
+        words = [w for w in ("aa", "bb", "cc", "dd", "ee") if rng.random() < (0.6 if bad and w < "cc" or not bad and w > "bb" else 0.3)]
+        rows.append((i, f"http://{rng.choice('xyz')}.test/" + "/".join(words) + ("/twin/other" if bad and i % 2 else "")))
+        labels.append((i, 0 if bad else 1, 0))
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", U.host_of(F.col("url")))
+    baskets = [(r.tokens, r.page_id) for r in df.select("page_id", U.tokens_of(F.col("url"), F.col("host"), U.path_of(F.col("url"))).alias("tokens")).collect()]
+    bad = {i for i, q, _ in labels if q == 0}
+    rules = plain_rules([(t, i in bad) for t, i in baskets], 0.02, 0.6, 3)
+    got = {r.page_id: r.verdict for r in url_verdicts(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=(), support=0.02).collect()}
+    assert got == {i: "block" if any(set(r) <= set(t) for r in rules) else "allow" for t, i in baskets}
+    assert any(len(r) > 1 for r in rules) and len(set(got.values())) == 2
+
+
+@pytest.mark.parametrize("bad", [0.2, 0.9])
+def test_long_paths_that_repeat(spark, bad):
+    path = "/".join("abcdefghijklmnopqrstuvwxyzäöüß")
+    rows = [(i, f"http://h.test/{path}" if i % 20 == 0 else f"http://h{i % 7}.test/p{i % 11}") for i in range(2000)]
+    rows += [(3000 + i, f"http://h.test/{path}/{'/'.join(f's{k}' for k in range(30) if (k + i) % 9)}") for i in range(60)]
+    rng = random.Random(3)
+    labels = [(i, int(rng.random() > (bad if "h.test" in u else 0.05)), 0) for i, u in rows]
+    got = url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), rules=()).collect()
+    assert {r.verdict for r in got if r.page_id < 3000 and r.page_id % 20 == 0} == {"block" if bad > 0.6 else "allow"}
+
+
 def test_warc_round_trip(spark):
     big, other = "é\r\n\r\nWARC/1.1\r\n" * 100, "z" * 1000
     rows = [(1, "http://a.test/1", big), (9, "http://a.test/9", "y" * 300_000), (10, "u", "y" * 300_000), (2, "http://a.test/2\r\nX: y", big), (3, None, big), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "u", ""), (8, "http://a.test/?q", other), (8, "http://a.test/?q", other), (None, "u", big)]

@@ -1,9 +1,11 @@
 """URL filters: fixed host and path rules, then association rules mined from labelled URLs.
 
 A URL is a basket of tokens: labels of its host, segments of its path (digits
-as #), query names, fragment.  Baskets of labelled URLs also hold their label.
-Spark's FP-growth mines the frequent combinations; rules from tokens to the
-bad label are kept by support, confidence and length.  An inverted index holds
+as #), query names, fragment.  Baskets of labelled URLs have their label.
+Frequent combinations are mined by levels up to a rule's length: Spark's
+FP-growth has no bound of length, and a path of sixteen segments that repeats
+in a twentieth of the baskets gives it half a million sets and no end.  Rules
+from tokens to the bad label are kept by support, confidence and length.  An inverted index holds
 each rule under its rarest token alone; a URL blocks when all tokens of a rule
 met there are its own.  Rules are matched on distinct baskets, not on rows.
 
@@ -20,7 +22,6 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,6 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 SUPPORT, CONFIDENCE, LONGEST = 0.005, 0.6, 3
 #: deviations by which the confidence of a rule has to exceed the share of bad pages among all labelled ones
 SURE = 2.6
-BAD = "label:bad"
 SALT = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -59,37 +59,63 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
 
 def fixed_rule(host: Column, path: Column, rules: tuple = RULES) -> Column:
     """struct(verdict, rule) of the longest rule that fits, else null."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<verdict:string,rule:string>")
     for verdict, h, p in sorted(rules, key=lambda r: len(r[1]) + len(r[2])):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
         out = F.when(fits, F.struct(F.lit(verdict).alias("verdict"), F.lit(h + p).alias("rule"))).otherwise(out)
     return out
 
 
-def mined_rules(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
-    """(rule_id, tokens, rarest, confidence, support) from labelled baskets (tokens, bad).
+def token_classes(same: DataFrame, least: float) -> DataFrame:
+    """(token, rep, freq, bad) of the tokens that at least ``least`` bad baskets hold; tokens of just the same baskets share a name (rep).
+
+    A long path that repeats is one class so, whatever its length.
+    """
+    sums = same.select("basket", "n", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.sum("n").alias("freq"), F.sum("bad").alias("bad"), F.bit_xor("basket").alias("where"), F.bit_xor(F.xxhash64("basket")).alias("there"), F.count("*").alias("baskets")
+    ).filter(F.col("bad") >= least)
+    alike = ["freq", "bad", "where", "there", "baskets"]
+    return sums.join(sums.groupBy(*alike).agg(F.min("token").alias("rep")), alike).select("token", "rep", "freq", "bad")
+
+
+def mined_rules(baskets: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """(rule_id, tokens, rarest, confidence, support) from labelled baskets (tokens, bad), and the classes of tokens (token, rep) that the rules name.
 
     A rule's tokens and label occur together in at least ``support`` of the
     baskets; the lower bound of its confidence (Wilson's interval, ``SURE``
     deviations) is above the share of bad baskets, so that a rule of a few rows
-    is not chance; one that a part of its tokens implies with no less
-    confidence is pruned.
+    is not chance; one that has another rule in it is pruned.  Sets grow by
+    levels, a token at a time: only a set that is frequent with the bad label
+    and holds no rule goes to the next level, and the last level is ``longest``.
     """
     n, share = baskets.agg(F.count("*"), F.coalesce(F.avg(F.col("bad").cast("double")), F.lit(0.0))).first()
-    items = F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets.select(items.alias("items")).filter(F.size("items") > 0))
-    rules = model.associationRules.filter((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= longest))
-    p, held = F.col("confidence"), F.col("support") * n / F.col("confidence")  # baskets that hold the tokens
+    least = max(1.0, support * n)
+    same = baskets.filter(F.size("tokens") > 0).groupBy("tokens").agg(F.count("*").alias("n"), F.count_if("bad").alias("bad"))
+    same = written(same.withColumn("basket", F.xxhash64("tokens")), "baskets")
+    classes = written(token_classes(same, least), "tokens")
+    rows = same.select("basket", "n", F.col("bad").alias("bads"), F.explode("tokens").alias("token")).join(classes.select("token", "rep"), "token")
+    rows = rows.select("basket", "n", "bads", F.array("rep").alias("tokens")).distinct()
+    p, held = F.col("bad") / F.col("freq"), F.col("freq")
     low = (p + SURE**2 / (2 * held) - SURE * F.sqrt(p * (1 - p) / held + SURE**2 / (4 * held * held))) / (1 + SURE**2 / held)
-    rules = rules.filter(low > share)
-    rules = rules.select(F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"), F.col("antecedent").alias("tokens"), "confidence", "support")
-    single = model.freqItemsets.filter(F.size("items") == 1).select(F.element_at("items", 1).alias("token"), "freq")
+    rules: DataFrame | None = None
+    for level in range(1, longest + 1):
+        sets = rows.groupBy("tokens").agg(F.sum("n").alias("freq"), F.sum("bads").alias("bad")).filter(F.col("bad") >= least)
+        if level > 2:  # a set of two has open tokens only; a longer one may have a rule in it
+            parts = sets.select("tokens", F.explode(F.transform(F.sequence(F.lit(1), F.lit(level)), lambda i: F.concat(F.slice("tokens", F.lit(1), i - 1), F.slice("tokens", i + 1, level)))).alias("part"))
+            sets = sets.join(parts.join(rules.select(F.col("tokens").alias("part")), "part").select("tokens").distinct(), "tokens", "left_anti")
+        sets = written(sets.withColumns({"confidence": p, "sure": (p >= confidence) & (low > share)}), f"sets{level}")
+        found = sets.filter("sure").select("tokens", "confidence", (F.col("bad") / F.lit(max(n, 1))).alias("support"))
+        rules = found if rules is None else rules.unionByName(found)
+        if level < longest:
+            open_ = written(rows.join(sets.filter(~F.col("sure")).select("tokens"), "tokens"), f"open{level}")
+            first, last = F.slice("tokens", 1, level - 1), F.element_at("tokens", -1)
+            left = open_.select("basket", "n", "bads", first.alias("first"), last.alias("x"))
+            right = open_.select("basket", first.alias("first"), last.alias("y"))
+            rows = left.join(right, ["basket", "first"]).filter("x < y").select("basket", "n", "bads", F.concat("first", F.array("x", "y")).alias("tokens"))
+    rules = rules.withColumn("rule_id", F.array_join("tokens", " "))
+    single = classes.filter("token = rep").select("token", "freq")
     rare = rules.select("rule_id", F.explode("tokens").alias("token")).join(single, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("rarest"))
-    rules = written(rules.join(rare, "rule_id"), "rules")  # their number is bounded by support and length
-    wider = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("part"), F.col("confidence").alias("sure"))
-    longer = rules.select("rule_id", "tokens", "confidence", F.explode("tokens").alias("token")).join(wider, "token")
-    implied = longer.filter((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0) & (F.col("sure") >= F.col("confidence")))
-    return rules.join(implied.select("rule_id").distinct(), "rule_id", "left_anti")
+    return written(rules.join(rare, "rule_id"), "rules"), classes.select("token", "rep")  # their number is bounded by support and length
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
@@ -101,9 +127,11 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules: tuple = RULES, supp
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)
     known = labels.groupBy(F.col("doc_id").cast("long").alias("page_id")).agg((F.avg(bad.cast("int")) >= 0.5).alias("bad"))
     baskets = rows.select("page_id", "tokens").join(known, "page_id").select("tokens", "bad")
-    index = mined_rules(baskets, support, confidence).select("rule_id", F.col("tokens").alias("needs"), F.col("rarest").alias("token"))
-    met = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(index, "token")
-    met = met.filter(F.size(F.array_except("needs", "tokens")) == 0).groupBy("tokens").agg(F.array_sort(F.collect_set("rule_id")).alias("mined"))
+    found, classes = mined_rules(baskets, support, confidence)
+    index = found.select("rule_id", F.col("tokens").alias("needs"), F.col("rarest").alias("token"))
+    named = rows.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(classes, "token").groupBy("tokens").agg(F.collect_set("rep").alias("reps"))
+    met = named.select("tokens", "reps", F.explode("reps").alias("token")).join(index, "token")
+    met = met.filter(F.size(F.array_except("needs", "reps")) == 0).groupBy("tokens").agg(F.array_sort(F.collect_set("rule_id")).alias("mined"))
     # a basket that many pages share is dealt to SALT keys, and its rules to each of them
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALT)).cast("int"))
     met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
