@@ -52,12 +52,16 @@ def test_weights_are_checked():
 
 
 def test_placement_order(spark):
-    items = spark.createDataFrame([(1, ["a", "b"], ["x"]), (2, ["a"], ["k"]), (3, ["n"], ["k", "m"]), (4, ["n"], ["k"])], "id long, headings array<string>, tag array<string>")
+    rows = [(1, ["a", "b"], ["x"]), (2, ["a"], ["k"]), (3, ["n"], ["k", "m"]), (4, ["n"], ["k"]), (5, ["a", "zz"], ["x"]), (6, ["a"], ["c", "k"]), (7, ["b", "zz"], ["c"]), (8, ["a"], ["c", "d"])]
+    items = spark.createDataFrame(rows, "id long, headings array<string>, tag array<string>")
     overrides = spark.createDataFrame([("b", "over"), ("n", None)], "heading string, position string")
     aliases = spark.createDataFrame([("a", "alias"), ("b", "alias2")], "heading string, position string")
-    words = spark.createDataFrame([("k", "key"), ("m", "more")], "word string, position string")
-    got = {r.id: (r.position, r.method) for r in K.placed(items, overrides, aliases, words).collect()}
-    assert got == {1: ("over", "override"), 2: ("alias", "alias"), 3: (None, None), 4: ("key", "keyword")}
+    words = spark.createDataFrame([("k", "key", None), ("m", "more", None), ("c", "child", "alias"), ("d", "other child", "alias")], "word string, position string, parent string")
+    got = {r.id: (r.position, r.confidence, r.method) for r in K.placed(items, overrides, aliases, words).collect()}
+    assert got == {
+        1: ("over", 1.0, "override"), 2: ("alias", 1.0, "alias"), 3: (None, None, None), 4: ("key", 0.5, "keyword"), 5: ("alias", 0.9, "inherited"),
+        6: ("child", 0.9, "keyword"), 7: ("over", 0.9, "inherited"), 8: ("alias", 1.0, "alias"),
+    }
 
 
 def test_as_of_is_strictly_before(spark):

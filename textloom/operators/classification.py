@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: confidence of each way to a placement
-OVERRIDE, ALIAS, KEYWORD, PARENT = 1.0, 0.9, 0.9, 0.5
+DIRECT, INHERITED, UNDER_PARENT, ALONE = 1.0, 0.9, 0.9, 0.5
 REVIEW = 0.6
 
 
@@ -28,20 +28,27 @@ def first_match(*rules: tuple[Column, str], other: str | None = None) -> Column:
 
 
 def placed(items: DataFrame, overrides: DataFrame, aliases: DataFrame, keywords: DataFrame) -> DataFrame:
-    """(id, position, confidence, method): the deepest heading that matches, override before alias, else the one keyword position.
+    """(id, position, confidence, method) of each item, by the nearest heading over it or by its own words.
 
-    ``items``: id, headings array, tag words array; an override to null places nowhere.
+    ``items``: id, headings array (outermost first), tag words array.  The
+    deepest heading that matches places, an override before an alias, and an
+    override to null nowhere.  A keyword of one child of that place moves the
+    item there; without a place, a keyword of one position alone names it.
+    ``keywords``: word, position, parent (null at the top).
     """
-    heads = items.select("id", F.posexplode("headings").alias("depth", "heading"))
+    heads = items.select("id", F.size("headings").alias("n"), F.posexplode("headings").alias("depth", "heading"))
     known = overrides.select("heading", "position", F.lit(0).alias("kind")).unionByName(aliases.select("heading", "position", F.lit(1).alias("kind")))
     met = heads.join(known, "heading").filter("kind = 1 or position is not null")
-    best = met.groupBy("id").agg(F.max_by(F.struct("position", "kind"), F.struct("depth", -F.col("kind"), "position")).alias("b"))
-    words = items.select("id", F.explode(F.array_distinct("tag")).alias("word")).join(keywords, "word")
-    one = words.groupBy("id").agg(F.count_distinct("position").alias("n"), F.min("position").alias("by_word")).filter("n = 1").drop("n")
+    best = met.groupBy("id").agg(F.max_by(F.struct("position", "kind", (F.col("depth") == F.col("n") - 1).alias("direct")), F.struct("depth", -F.col("kind"), "position")).alias("b"))
+    wanted = F.array(*(F.lit(r[0]) for r in keywords.select("word").distinct().orderBy("word").collect()))  # the words of a taxonomy
+    words = items.select("id", F.explode(F.array_intersect("tag", wanted)).alias("word")).join(keywords, "word")
+    own = words.join(best.select("id", F.col("b.position").alias("at")), "id", "left").filter(F.col("at").isNull() | (F.col("parent") == F.col("at")))
+    one = own.groupBy("id").agg(F.count_distinct("position").alias("n"), F.min("position").alias("by_word")).filter("n = 1").drop("n")
     rows = items.select("id").join(best, "id", "left").join(one, "id", "left")
-    method = F.when(F.col("b.kind") == 0, "override").when(F.col("b.kind") == 1, "alias").when(F.col("by_word").isNotNull(), "keyword")
-    confidence = F.when(F.col("b.kind") == 0, OVERRIDE).when(F.col("b.kind") == 1, ALIAS).when(F.col("by_word").isNotNull(), KEYWORD)
-    return rows.select("id", F.coalesce("b.position", "by_word").alias("position"), confidence.alias("confidence"), method.alias("method"))
+    placed_, worded, override = F.col("b").isNotNull(), F.col("by_word").isNotNull(), F.col("b.kind") == 0
+    method = F.when(worded, F.lit("keyword")).when(placed_ & ~F.col("b.direct"), "inherited").when(override, "override").when(placed_, "alias")
+    confidence = F.when(worded & placed_, UNDER_PARENT).when(worded, ALONE).when(placed_ & ~F.col("b.direct"), INHERITED).when(placed_, DIRECT)
+    return rows.select("id", F.coalesce("by_word", "b.position").alias("position"), confidence.alias("confidence"), method.alias("method"))
 
 
 def refined(rows: DataFrame, children: DataFrame, depth: int) -> DataFrame:

@@ -108,9 +108,25 @@ def burst_counts(calls: DataFrame, key: str, seconds: int) -> DataFrame:
     return calls.withColumn("at", at).withColumn("in_interval", F.count("*").over(w)).drop("at")
 
 
+def running_sums(levels: DataFrame, order: str, sums: list[str], parts: int = 64) -> DataFrame:
+    """``levels`` with the sums of all rows from the highest ``order`` down to each, by ranges.
+
+    ``order`` is unique.  Quantiles cut it into ranges; sums of the ranges, a
+    few rows, are added up among themselves, and each range adds its own rows.
+    """
+    cuts = levels.agg(F.percentile_approx(F.col(order).cast("double"), [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    part = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col(order).cast("double")))
+    rows = levels.withColumn("_part", part)
+    above = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_part").agg(*(F.sum(c).alias(c) for c in sums))
+    before = totals.select("_part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"_{c}") for c in sums))  # ``parts`` rows
+    inside = Window.partitionBy("_part").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.withColumns({f"__{c}": F.sum(c).over(inside) for c in sums}).join(F.broadcast(before), "_part")
+    return out.select(order, *((F.col(f"_{c}") + F.col(f"__{c}")).alias(c) for c in sums))
+
+
 def precision_threshold(scored: DataFrame, wanted: float) -> DataFrame:
     """The lowest score from which the precision of everything scored as high is at least ``wanted``."""
-    w = Window.orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     levels = scored.groupBy("score").agg(F.sum("hit").alias("hits"), F.count("*").alias("n"))  # distinct scores
-    cum = levels.select("score", F.sum("hits").over(w).alias("hits"), F.sum("n").over(w).alias("n"))
+    cum = running_sums(levels, "score", ["hits", "n"])
     return cum.filter(F.col("hits") >= F.lit(wanted) * F.col("n")).agg(F.min("score").alias("threshold"), F.max("n").alias("covered"))

@@ -127,6 +127,20 @@ def narrowing(results: DataFrame, query: list[str], most: int = 5) -> DataFrame:
     return counts.filter((F.col("results") >= 2) & (F.col("results") < F.col("carrying")) & fresh).orderBy(F.desc("results"), "best_rank", "subject").limit(most).drop("carrying")
 
 
+def field_bm25(docs: DataFrame, key: str, fields: dict[str, Column], weights: dict[str, float], terms: tuple[str, ...], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(key, score) of the rows with a term: counts of each field weighed before they saturate, lengths over all fields, lower is better."""
+    named = docs.select(key, *(c.alias(f"_{n}") for n, c in fields.items()))
+    held = lambda field, term: F.size(F.filter(field, lambda x: x == term))
+    counts = [sum((held(f"_{n}", t) * weights[n] for n in fields), F.lit(0.0)).alias(f"tf{i}") for i, t in enumerate(terms)]
+    length = sum((F.size(f"_{n}") for n in fields), F.lit(0))
+    rows = named.select(key, *counts, length.alias("_len"))
+    stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    norm = F.lit(k1) * (1 - b + b * F.col("_len") / F.col("_avg"))
+    gain = lambda i: F.greatest(F.lit(1e-6), F.log((F.col("_n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + norm)
+    some = sum((F.col(f"tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0
+    return rows.filter(some).crossJoin(F.broadcast(stats)).select(key, (-sum((gain(i) for i in range(len(terms))), F.lit(0.0))).alias("score"))  # one row
+
+
 def ndcg(graded: DataFrame, group: str, k: int) -> DataFrame:
     """nDCG@k per group. ``graded``: group, rank, grade."""
     gain = lambda place: F.sum(F.when(place <= k, (F.pow(F.lit(2.0), F.col("grade")) - 1) / F.log2(place + 1)))

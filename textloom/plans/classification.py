@@ -33,28 +33,38 @@ def headings(t):
     return t.lineitem.select(X.heading(raw).alias("h")).select(F.col("h.text").alias("heading"), "h.answer").distinct()
 
 
-RULES = """h AS (SELECT doc_id AS id, unnest([source, lang, source || '/' || lang]) AS heading, unnest([0, 1, 2]) AS depth FROM documents),
-o AS (SELECT * FROM (VALUES ('src3/en', 'special', 0), ('src4', NULL, 0), ('src1', 'first', 1), ('de', 'german', 1), ('src2/fr', 'second', 1)) AS v (heading, position, kind)),
-m AS (SELECT id, position, kind, row_number() OVER (PARTITION BY id ORDER BY depth DESC, kind, position DESC) AS r FROM h JOIN o USING (heading) WHERE kind = 1 OR position IS NOT NULL), b AS (SELECT * FROM m WHERE r = 1),
-w AS (SELECT * FROM (VALUES ('thand', 'alpha'), ('inea', 'beta'), ('heer', 'alpha')) AS v (word, pos)),
-k AS (SELECT id, min(pos) AS by_word FROM (SELECT doc_id AS id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '))) AS word FROM documents) JOIN w USING (word) GROUP BY 1 HAVING count(DISTINCT pos) = 1)"""
+#: the tree that placing uses: overrides and aliases of headings, and keywords with the place that they are under
+OVERRIDES = (("src3/en", "special"), ("src4", None))
+ALIASES = (("src1", "first"), ("de", "german"), ("src2/fr", "second"), ("src5/en", "first"))
+KEYWORDS = (("thand", "alpha", "first"), ("inea", "beta", "first"), ("heer", "alpha", "first"), ("oned", "gamma", "german"), ("the", "delta", "special"), ("reha", "epsilon", None))
+
+
+def _values(rows: tuple) -> str:
+    return ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows)
+
+
+PLACED = f"""h AS (SELECT doc_id AS id, unnest([source, lang, source || '/' || lang]) AS heading, unnest([0, 1, 2]) AS depth FROM documents),
+o AS (SELECT heading, position, 0 AS kind FROM (VALUES {_values(OVERRIDES)}) AS v (heading, position) UNION ALL SELECT heading, position, 1 FROM (VALUES {_values(ALIASES)}) AS v (heading, position)),
+b AS (SELECT id, position, kind, depth = 2 AS direct FROM h JOIN o USING (heading) WHERE kind = 1 OR position IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY depth DESC, kind, position DESC) = 1),
+w AS (SELECT * FROM (VALUES {_values(KEYWORDS)}) AS v (word, pos, parent)),
+k AS (SELECT x.id, min(pos) AS by_word FROM (SELECT doc_id AS id, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), ' '))) AS word FROM documents) x JOIN w USING (word) LEFT JOIN b USING (id) WHERE b.position IS NULL OR parent = b.position GROUP BY 1 HAVING count(DISTINCT pos) = 1),
+p AS (SELECT d.doc_id AS id, coalesce(by_word, b.position) AS position, CASE WHEN by_word IS NOT NULL AND b.id IS NOT NULL THEN 0.9 WHEN by_word IS NOT NULL THEN 0.5 WHEN b.id IS NULL THEN NULL WHEN direct THEN 1.0 ELSE 0.9 END AS confidence,
+ CASE WHEN by_word IS NOT NULL THEN 'keyword' WHEN b.id IS NULL THEN NULL WHEN NOT direct THEN 'inherited' WHEN kind = 0 THEN 'override' ELSE 'alias' END AS method FROM documents d LEFT JOIN b ON b.id = d.doc_id LEFT JOIN k ON k.id = d.doc_id)"""
 
 
 def placements(t):
     tag = F.split(X.tag_words(F.col("text")), " ")
     items = t.documents.select(F.col("doc_id").alias("id"), F.array("source", "lang", F.concat_ws("/", "source", "lang")).alias("headings"), tag.alias("tag"))
-    overrides = t.spark.createDataFrame([("src3/en", "special"), ("src4", None)], "heading string, position string")
-    aliases = t.spark.createDataFrame([("src1", "first"), ("de", "german"), ("src2/fr", "second")], "heading string, position string")
-    keywords = t.spark.createDataFrame([("thand", "alpha"), ("inea", "beta"), ("heer", "alpha")], "word string, position string")
-    return K.placed(items, overrides, aliases, keywords)
+    table = lambda rows, names: t.spark.createDataFrame(list(rows), ", ".join(f"{n} string" for n in names))
+    return K.placed(items, table(OVERRIDES, ("heading", "position")), table(ALIASES, ("heading", "position")), table(KEYWORDS, ("word", "position", "parent")))
 
 
-@query("C3_placement", f"WITH {RULES} SELECT d.doc_id AS id, coalesce(b.position, k.by_word) AS position, CASE WHEN b.kind = 0 THEN 1.0 WHEN b.kind = 1 THEN 0.9 WHEN by_word IS NOT NULL THEN 0.9 END AS confidence, CASE WHEN b.kind = 0 THEN 'override' WHEN b.kind = 1 THEN 'alias' WHEN by_word IS NOT NULL THEN 'keyword' END AS method FROM documents d LEFT JOIN b ON b.id = d.doc_id LEFT JOIN k ON k.id = d.doc_id")
+@query("C3_placement", f"WITH {PLACED} SELECT * FROM p")
 def placement(t):
     return placements(t)
 
 
-@query("P5_needs_review", f"WITH {RULES}, p AS (SELECT d.doc_id AS id, coalesce(b.position, k.by_word) AS position, CASE WHEN b.kind IS NOT NULL AND b.kind = 0 THEN 1.0 WHEN b.kind = 1 THEN 0.9 WHEN by_word IS NOT NULL THEN 0.9 END AS confidence FROM documents d LEFT JOIN b ON b.id = d.doc_id LEFT JOIN k ON k.id = d.doc_id) SELECT id FROM p WHERE position IS NULL OR confidence < 0.95")
+@query("P5_needs_review", f"WITH {PLACED} SELECT id FROM p WHERE position IS NULL OR confidence < 0.95")
 def needs_review(t):
     return placements(t).filter(K.needs_review(F.col("position"), F.col("confidence"), 0.95)).select("id")
 
@@ -93,12 +103,13 @@ def link_roles(t):
     return t.benchmark.select("item_id", F.concat_ws(",", *parts).alias("roles"))
 
 
-@query("C9_plan_verdicts", "WITH s AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type IN ('purchase', 'signup')) AS n, min(event_type) FILTER (event_type IN ('purchase', 'signup')) AS name, count(*) AS c FROM events GROUP BY 1) SELECT user_id, CASE WHEN c < 3 THEN 'UNREAD' WHEN n = 0 THEN 'NONE' WHEN n = 1 THEN 'NAMES' ELSE 'CONFLICTING' END AS verdict, CASE WHEN c >= 3 AND n = 1 THEN name END AS name FROM s")
+@query("C9_plan_verdicts", "WITH f AS (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (event_type <> 'view'), CAST([] AS VARCHAR[])) AS a, count(*) AS c FROM events GROUP BY 1), n AS (SELECT *, list_sort(list_filter(a, lambda x: NOT (x = 'click' AND (list_contains(a, 'purchase') OR list_contains(a, 'signup'))))) AS named FROM f) SELECT user_id, CASE WHEN c < 3 THEN 'UNREAD' WHEN len(named) = 0 THEN 'NONE' WHEN len(named) = 1 THEN 'NAMES' ELSE 'CONFLICTING' END AS verdict, CASE WHEN c >= 3 AND len(named) = 1 THEN named[1] END AS name FROM n")
 def plan_verdicts(t):
-    named = F.when(F.col("event_type").isin("purchase", "signup"), F.col("event_type"))
-    s = t.events.groupBy("user_id").agg(F.count_distinct(named).alias("n"), F.min(named).alias("one"), F.count("*").alias("c"))
-    verdict = K.first_match((F.col("c") < 3, "UNREAD"), (F.col("n") == 0, "NONE"), (F.col("n") == 1, "NAMES"), other="CONFLICTING")
-    return s.select("user_id", verdict.alias("verdict"), F.when((F.col("c") >= 3) & (F.col("n") == 1), F.col("one")).alias("name"))
+    """What a user's events name; a kind that stands above another one (a click above a purchase) gives way to it."""
+    named = A.narrowest(F.collect_set(F.when(F.col("event_type") != "view", F.col("event_type"))), {"purchase": ["click"], "signup": ["click"]})
+    s = t.events.groupBy("user_id").agg(F.count("*").alias("c"), named.alias("named"))
+    verdict = K.first_match((F.col("c") < 3, "UNREAD"), (F.size("named") == 0, "NONE"), (F.size("named") == 1, "NAMES"), other="CONFLICTING")
+    return s.select("user_id", verdict.alias("verdict"), F.when((F.col("c") >= 3) & (F.size("named") == 1), F.get("named", F.lit(0))).alias("name"))
 
 
 def narrow_sql(names: str) -> str:

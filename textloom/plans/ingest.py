@@ -33,13 +33,38 @@ def parsed_store(t):
     return t.spark.read.parquet(path).filter("lang = 'fr'").select("doc_id", "lang", "n_chars")
 
 
-@query("S5_feed_entries", "SELECT item_id, 0 AS position, 'T' || item_id AS title, 'http://x.test/' || item_id AS link FROM benchmark UNION ALL SELECT item_id, 1, 'U' || item_id, 'http://y.test/' || item_id FROM benchmark")
+HTML_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+
+
+@query("S5_feed_entries", f"SELECT host, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS INTEGER) AS position, replace(trim({HTML_TITLE}), '&amp;', '&') AS title, url AS link, CAST(length(html) AS VARCHAR) AS snippet FROM (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL)")
 def feed_entries(t):
-    i = F.col("item_id").cast("string")
-    entry = lambda a, b: F.concat(F.lit(f"<item><title>{a}"), i, F.lit(f"</title><link>http://{b}.test/"), i, F.lit("</link><pubDate>Mon, 1 Jan 2024 00:00:00 +0000</pubDate></item>"))
-    xml = F.concat(F.lit("<rss><channel><title>c</title>"), entry("T", "x"), entry("U", "y"), F.lit("</channel></rss>"))
-    rows = R.feed_entries(t.benchmark.select("item_id", xml.alias("xml")), "item_id", "xml")
-    return rows.select("item_id", "position", "title", "link")
+    """The pages of each host as its feed, Atom where the host's name has an even length, and the feeds read back."""
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    pages = t.pages.filter("url is not null").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "page_id", escaped(F.col("url")).alias("link"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").cast("string").alias("n"))
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    rss = tag("item", F.concat(tag("title", F.col("title")), tag("link", F.col("link")), tag("description", F.col("n"))))
+    atom = tag("entry", F.concat(tag("title", F.col("title")), F.lit('<link rel="self" href="x"/><link href="'), F.col("link"), F.lit('"/>'), tag("summary", F.col("n"))))
+    # a page whose feed is longer than its titles and links is no case here: an entry is a few hundred bytes
+    body = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", c.alias("x")))), lambda e: e["x"]), "")
+    even = F.length("host") % 2 == 0
+    feeds = pages.groupBy("host").agg(F.when(even, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>'), body(atom), F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel><title>f</title>"), body(rss), F.lit("</channel></rss>"))).alias("xml"))
+    return R.feed_entries(feeds, "host", "xml").select("host", "position", "title", "link", "snippet")
+
+
+@query("S7_first_bad_line", "WITH l AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line, value FROM events) SELECT event_type, min(line) AS line FROM l WHERE value > 150 GROUP BY 1")
+def first_bad_line(t):
+    """A log for each kind of event, whose large values are written as words: of each log the line that refuses it."""
+    path = place(t, "events")
+    value = F.when(F.col("value") > 150, F.concat(F.lit('"'), F.col("value").cast("string"), F.lit(' or so"'))).otherwise(F.coalesce(F.col("value").cast("string"), F.lit("null")))
+    line = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(',"value":'), value, F.lit("}"))
+    rows = t.events.select("event_type", "event_id", line.alias("line")).repartition("event_type").sortWithinPartitions("event_type", "event_id")
+    rows.select("event_type", "line").write.partitionBy("event_type").text(path)
+    kinds = sorted(r[0] for r in t.events.select("event_type").distinct().collect())  # kinds of events
+    out = None
+    for kind in kinds:  # a log each
+        bad = R.bad_lines(t.spark, f"{path}/event_type={kind}", "event_id long, value double").select(F.lit(kind).alias("event_type"), "line")
+        out = bad if out is None else out.unionByName(bad)
+    return out
 
 
 @query("S9_keyset_pages", "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 40 ORDER BY c_custkey LIMIT 20")

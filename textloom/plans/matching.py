@@ -282,16 +282,28 @@ RUN = 12
 LOWER_WORDS = "list_filter(string_split_regex(lower(text), '[^0-9a-z]+'), lambda x: x <> '')"
 
 
-@query("N23_quoted_runs", f"""WITH d AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents), b AS (SELECT item_id, {LOWER_WORDS} AS w FROM benchmark),
+QUOTED = f"""WITH d AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents), b AS (SELECT item_id, {LOWER_WORDS} AS w FROM benchmark),
 x AS (SELECT doc_id, i AS pa, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 12)), y AS (SELECT item_id, i AS pb, md5(array_to_string(w[i:i+11], ' ')) AS k FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - 11)) AS i FROM b WHERE len(w) >= 12)),
 j AS (SELECT doc_id, item_id, pa, pb, pa - row_number() OVER (PARTITION BY doc_id, item_id, pa - pb ORDER BY pa) AS island, pa - pb AS diag FROM x JOIN y USING (k))
-SELECT doc_id, item_id, count(*) + 11 AS words, min(pa) AS start, min(pb) AS source_start FROM j GROUP BY doc_id, item_id, diag, island""")
+SELECT doc_id, item_id, count(*) + 11 AS words, min(pa) AS start, min(pb) AS source_start FROM j GROUP BY doc_id, item_id, diag, island"""
+
+
+@query("N23_quoted_runs", QUOTED)
 def quoted_runs(t):
     d = t.documents.select(F.col("doc_id").alias("id"), X.words(F.col("text")).alias("words"))
     b = t.benchmark.select(F.col("item_id").alias("id"), X.words(F.col("text")).alias("words"))
     return M.quoted_runs(d, b, RUN).withColumnsRenamed({"text_id": "doc_id", "source_id": "item_id"})
 
 
+@query("N22_uncovered_words", QUOTED.replace("\nSELECT doc_id, item_id, count(*)", ",\nq AS (SELECT doc_id, item_id, count(*)") + """), g AS (SELECT doc_id, start, start + words AS stop, max(start + words) OVER (PARTITION BY doc_id ORDER BY start, start + words ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q),
+u AS (SELECT doc_id, CAST(sum(greatest(0, stop - greatest(start, coalesce(reach, start)))) AS BIGINT) AS covered FROM g GROUP BY 1) SELECT doc_id, covered, len(w) - covered AS uncovered FROM u JOIN d USING (doc_id)""")
+def uncovered_words(t):
+    """Words of a document that the passages it has in common with benchmark items cover, and those in none."""
+    n = t.documents.select(F.col("doc_id").alias("id"), F.size(X.words(F.col("text"))).alias("n"))
+    runs = quoted_runs(t).select(F.col("doc_id").alias("id"), F.col("start").cast("int").alias("start"), (F.col("start") + F.col("words")).cast("int").alias("end")).join(n, "id")
+    return AB.trims(runs, "n").select(F.col("id").alias("doc_id"), F.col("covered").cast("bigint").alias("covered"), F.col("uncovered").cast("bigint").alias("uncovered"))
+
+
 @query("N24_marker_census", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN length(line) > 60 THEN 'long' WHEN regexp_matches(line, '^[A-Z0-9 !.,]+$') THEN 'capitals' WHEN contains(line, '|') THEN 'table' ELSE 'text' END AS form, count(*) AS lines, count(DISTINCT doc_id) AS documents FROM l GROUP BY 1")
 def marker_census(t):
     line = F.col("line")

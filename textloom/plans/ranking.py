@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import words
 from textloom.operators import cohorts as C
 from textloom.operators import learned
+from textloom.operators import pages as P
 from textloom.operators import retrieval as R
 from textloom.plans.registry import query
 
@@ -135,17 +136,28 @@ def passage_search(t):
     return R.passage_matches(t.documents, PASSAGE, STOP)
 
 
-@query("R19_field_weighted", f"""WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(source || ' ' || lang), '[^0-9a-z]+', ' ', 'g'), ' '), lambda x: x <> '') AS tag, {TOKENS} AS body FROM documents),
-c AS (SELECT doc_id, 10.0 * len(list_filter(tag, lambda x: x = 'en')) + len(list_filter(body, lambda x: x = 'en')) AS tf, len(tag) + len(body) AS len FROM t), s AS (SELECT count(*) AS n, count(*) FILTER (tf > 0) AS df, avg(len) AS al FROM c)
-SELECT doc_id, round(ln((n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)), 6) AS score FROM c, s WHERE tf > 0""")
+FIELD_TERMS = ("en", "the", "thand", "src3")
+#: fixed values: weights of the four fields
+FIELD_WEIGHTS = {"tag": 10.0, "cite": 6.0, "read_aloud": 3.0, "body": 1.0}
+TOKENIZED = "list_filter(string_split(regexp_replace(lower({}), '[^0-9a-z]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+def field_sql() -> str:
+    """Four fields of a document: its first line, its source and language, its second line, its text."""
+    parts = ", ".join(f"{TOKENIZED.format(c)} AS {n}" for n, c in (("tag", "lines[1]"), ("cite", "source || ' ' || lang"), ("read_aloud", "coalesce(lines[2], '')"), ("body", "text")))
+    tf = ", ".join(" + ".join(f"{w} * len(list_filter({f}, lambda x: x = '{term}'))" for f, w in FIELD_WEIGHTS.items()) + f" AS tf{i}" for i, term in enumerate(FIELD_TERMS))
+    df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(FIELD_TERMS)))
+    gain = " + ".join(f"greatest(1e-6, ln((n - df{i} + 0.5) / (df{i} + 0.5))) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / al))" for i in range(len(FIELD_TERMS)))
+    some = " + ".join(f"tf{i}" for i in range(len(FIELD_TERMS)))
+    return f"WITH l AS (SELECT *, string_split(text, chr(10)) AS lines FROM documents), t AS (SELECT doc_id, {parts} FROM l), c AS (SELECT doc_id, {tf}, len(tag) + len(cite) + len(read_aloud) + len(body) AS len FROM t), s AS (SELECT count(*) AS n, avg(len) AS al, {df} FROM c) SELECT doc_id, round(-({gain}), 6) AS score FROM c, s WHERE {some} > 0"
+
+
+@query("R19_field_weighted", field_sql())
 def field_weighted(t):
-    tag, body = words(F.concat_ws(" ", "source", "lang")), words(F.col("text"))
-    hits = lambda a: F.size(F.filter(a, lambda x: x == "en"))
-    c = t.documents.select("doc_id", (hits(tag) * 10.0 + hits(body)).alias("tf"), (F.size(tag) + F.size(body)).alias("len"))
-    s = c.agg(F.count("*").alias("n"), F.count_if(F.col("tf") > 0).alias("df"), F.avg("len").alias("al"))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("al")))
-    return c.crossJoin(F.broadcast(s)).filter("tf > 0").select("doc_id", F.round(score, 6).alias("score"))  # one row
+    """BM25 over four fields: weighted counts before saturation, and lower scores for better rows."""
+    lines = F.split("text", "\n")
+    fields = {"tag": words(F.get(lines, F.lit(0))), "cite": words(F.concat_ws(" ", "source", "lang")), "read_aloud": words(F.coalesce(F.get(lines, F.lit(1)), F.lit(""))), "body": words(F.col("text"))}
+    return R.field_bm25(t.documents, "doc_id", fields, FIELD_WEIGHTS, FIELD_TERMS).select("doc_id", F.round("score", 6).alias("score"))
 
 
 def held_out(doc_id):
@@ -189,15 +201,13 @@ def vector_topk(t):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
     asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
+    # queries are dealt to blocks of a bounded number, and every row meets each block by an equality join
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):  # each block of queries is broadcast by itself and meets all rows
-        q = F.broadcast(asked.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == block))
-        score = dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("norm"))
-        rows = e.join(q, F.col("q_id") != F.col("vec_id")).select("q_id", "vec_id", F.round(score, 5).alias("score"))
-        best = C.top_per_group(rows, ["q_id"], [F.desc("score"), F.asc("vec_id")], 10, "rank").drop("more")
-        out = best if out is None else out.unionByName(best)
-    return out
+    q = asked.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int"))
+    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    score = dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("norm"))
+    met = rows.join(q, "block").filter("q_id <> vec_id").select("q_id", "vec_id", F.round(score, 5).alias("score"))
+    return C.top_per_group(met, ["q_id"], [F.desc("score"), F.asc("vec_id")], 10, "rank").drop("more")
 
 
 @query("R26_pricing_units", "SELECT user_id, CAST(ceil(count(*) / 100.0) AS BIGINT) AS units FROM events GROUP BY 1")
@@ -227,9 +237,17 @@ def unit_f1(t):
     return c.withColumn("f1", F.round(2.0 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), 6))
 
 
-@query("T1_page", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 11 OFFSET 20")
+@query("T1_page", "SELECT doc_id, n_chars, CAST((row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) // 11 AS INTEGER) AS page FROM documents QUALIFY page < 3")
 def page(t):
-    return t.documents.select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(20).limit(11)
+    """Three pages of a ranked search, each found from the cursor that the one before it gave."""
+    rows, order, cursor, out = t.documents.select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")], None, None
+    for number in range(3):
+        found, cursor = P.page(rows, order, 11, "documents by length", cursor)
+        found = found.withColumn("page", F.lit(number))
+        out = found if out is None else out.unionByName(found)
+        if cursor is None:
+            break
+    return out
 
 
 @query("T2_capped_count", "SELECT least(count(*), 1000) AS shown, count(*) > 1000 AS more FROM (SELECT 1 FROM lineitem WHERE l_quantity > 40 LIMIT 1001)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.functions.text import words
+from textloom.sources.tail import TailSource
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,6 +24,34 @@ def checked_jsonl(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return lines.filter("r._bad is null").select(*(F.col(f"r.{f.name}") for f in fields)), lines.filter("r._bad is not null").select("_file", "r._bad")
 
 
+class BadLine(ValueError):
+    """A line of a log that does not fit its schema, by file and number."""
+
+
+def bad_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, text): of each log of JSON lines the first line that does not fit.
+
+    Lines are read with their byte offsets, in ranges; a line's number is how
+    many lines begin before it in its log, and only first bad lines are numbered.
+    """
+    spark.dataSource.register(TailSource)
+    lines = spark.read.format("tail").option("path", path).load()
+    full = T.StructType([*T.StructType.fromDDL(schema).fields, T.StructField("_bad", T.StringType())])
+    parsed = F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    wrong = lines.filter(F.trim("line") != "").select("file", "at", "line", parsed["_bad"].isNotNull().alias("bad")).filter("bad")
+    first = wrong.groupBy("file").agg(F.min("at").alias("bad_at"), F.min_by("line", "at").alias("text"))
+    before = lines.select("file", "at").join(first, "file").filter("at <= bad_at")
+    return before.groupBy("file", "text").agg(F.count("*").alias("line")).select("file", "line", "text")
+
+
+def strict_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines whose every line fits; else the read is refused, and the error names file and line."""
+    wrong = bad_lines(spark, path, schema).orderBy("file").first()
+    if wrong:
+        raise BadLine(f"{wrong['file']}: line {wrong['line']} does not fit: {wrong['text'][:80]}")
+    return read_jsonl(spark, path, schema)
+
+
 def manifest_lines(rows: DataFrame, order: str) -> DataFrame:
     """One canonical JSON text per row (columns by name), in order of a key."""
     return rows.select(order, F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("line")).orderBy(order)
@@ -44,13 +73,22 @@ def read_decisions(spark: SparkSession, path: str, schema: str, key: str, allowe
     return marked.filter("problem is null").select(*rows.columns), marked.filter("problem is not null").select(*rows.columns, "problem")
 
 
-
 def feed_entries(feeds: DataFrame, key: str, xml: str) -> DataFrame:
-    """Entries of RSS documents held in a column: (key, position, title, link, published, snippet)."""
+    """Entries of RSS and Atom documents held in a column: (key, position, title, link, published, snippet).
+
+    Of an Atom entry's links that with no rel or rel alternate counts; published
+    before updated, summary before content.
+    """
     item = "struct<title:string,link:string,pubDate:string,description:string>"
-    parsed = F.from_xml(F.col(xml), f"channel struct<title:string,item:array<{item}>>", {"mode": "PERMISSIVE"})
-    rows = feeds.select(key, parsed.alias("p")).select(key, F.posexplode("p.channel.item").alias("position", "e"))
-    return rows.select(key, "position", F.col("e.title").alias("title"), F.col("e.link").alias("link"), F.col("e.pubDate").alias("published"), F.col("e.description").alias("snippet"))
+    entry = "struct<title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string,summary:string,content:string>"
+    rss = F.from_xml(F.col(xml), f"channel struct<title:string,item:array<{item}>>", {"mode": "PERMISSIVE"})
+    atom = F.from_xml(F.col(xml), f"title string, entry array<{entry}>", {"mode": "PERMISSIVE"})
+    href = lambda e: F.get(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
+    one = lambda title, link, at, text: F.struct(title.alias("title"), link.alias("link"), at.alias("published"), text.alias("snippet"))
+    of_rss = F.transform(F.col("r.channel.item"), lambda e: one(e["title"], e["link"], e["pubDate"], e["description"]))
+    of_atom = F.transform(F.col("a.entry"), lambda e: one(e["title"], href(e), F.coalesce(e["published"], e["updated"]), F.coalesce(e["summary"], e["content"])))
+    rows = feeds.select(key, rss.alias("r"), atom.alias("a")).select(key, F.posexplode(F.coalesce(of_rss, of_atom)).alias("position", "e"))
+    return rows.select(key, "position", "e.*")
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", parts: int = 64) -> None:

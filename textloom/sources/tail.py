@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 BLOCK = 1 << 16
 #: bytes of a range
@@ -125,6 +125,26 @@ class TailReader(DataSourceStreamReader):
                 yield partition.path, at, line.removesuffix(b"\r").decode(errors="replace")
 
 
+class LineReader(DataSourceReader):
+    """The lines of logs as they are, a last one without its end too."""
+
+    def __init__(self, options: dict):
+        self.tail, self.suffix = TailReader(options), options.get("suffix", "")
+
+    def partitions(self) -> list[Range]:
+        return self.tail.partitions({}, _files(self.tail.path, self.suffix))
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        yield from self.tail.read(partition)
+        if partition.end == partition.stop:
+            store, _ = _opened(self.tail.path)
+            with store.open_input_file(partition.path) as file:
+                at = whole_lines(file, 0, partition.stop)
+                file.seek(at)
+                if rest := file.read(partition.stop - at):
+                    yield partition.path, at, rest.decode(errors="replace")
+
+
 class TailSource(DataSource):
     """``path``: a log or a folder of logs; ``suffix``: of the names that count; ``rangeBytes``: of a task."""
 
@@ -135,6 +155,9 @@ class TailSource(DataSource):
     def schema(self) -> str:
         return "file string, at long, line string"
 
+    def reader(self, schema) -> LineReader:
+        return LineReader(self.options)
+
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
 
