@@ -142,15 +142,17 @@ def test_leader_clusters(spark, tmp_path):
         for _ in range(rng.randint(0, 4)):
             w[rng.randrange(10)] = word(rng)
         rows.append((i, " ".join(w)))
+    for i in range(60, 90):  # chains: each is like the next, ends are not alike
+        rows.append((i, " ".join(f"v{j}" for j in range(i, i + 14))))
+    rows += [(90, rows[3][1]), (91, ""), (92, "")]
     spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     want = {}
-    for part in range(4):
-        leaders = []
-        for i, w in sorted(((i, sorted(set(t.split()))) for i, t in rows if i % 4 == part), key=lambda x: (-len(x[1]), x[1], x[0])):
-            name = next((n for n, o in leaders if 4 * len(o & set(w)) >= 3 * len(o | set(w))), None)
-            if name is None:
-                leaders.append((i, set(w)))
-            want[i] = i if name is None else name
+    leaders = []
+    for i, w in sorted(((i, sorted(set(t.split()))) for i, t in rows), key=lambda x: (-len(x[1]), x[1], x[0])):
+        name = next((n for n, o in leaders if not o | set(w) or 4 * len(o & set(w)) >= 3 * len(o | set(w))), None)
+        if name is None:
+            leaders.append((i, set(w)))
+        want[i] = i if name is None else name
     assert {r.id: r.leader for r in QUERIES["C12_leader_clusters"](spark, str(tmp_path)).collect()} == want
     assert len(set(want.values())) < len(want)
 

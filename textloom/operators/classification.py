@@ -79,31 +79,6 @@ def release_findings(released: DataFrame, now: DataFrame, key: str, fixed: list[
     return rows.select(key, F.explode(F.filter(F.array(*findings), lambda x: x.isNotNull())).alias("finding"))
 
 
-def leader_clusters(groups: DataFrame, share: tuple[int, int] = (3, 4)) -> DataFrame:
-    """(id, leader): in order of weight each set joins the first earlier leader with Jaccard of at least the share.
-
-    Order-dependent, so each partition key is settled in one pass; ``groups``:
-    part, id, weight, items.  Two empty sets count as equal here.
-    """
-    import pandas as pd
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders, out = [], []
-        for r in sorted(pdf.itertuples(), key=lambda r: (-r.weight, sorted(r.items), r.id)):
-            have = set(r.items)
-            for name, other in leaders:
-                union = len(have | other)
-                if not union or len(have & other) * share[1] >= union * share[0]:
-                    out.append((r.id, name))
-                    break
-            else:
-                leaders.append((r.id, have))
-                out.append((r.id, r.id))
-        return pd.DataFrame(out, columns=["id", "leader"])
-
-    return groups.groupBy("part").applyInPandas(settle, "id long, leader long")
-
-
 def worst(status: Column) -> Column:
     """FAIL before WARN before PASS over a group."""
     return F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), F.max(F.when(status == "FAIL", 3).when(status == "WARN", 2).otherwise(1)))

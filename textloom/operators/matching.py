@@ -137,6 +137,37 @@ def near_pairs(bodies: DataFrame, share: tuple[int, int] = COPY) -> DataFrame:
     return pairs.filter(F.col("shared") * den >= (F.col("n") + F.col("m") - F.col("shared")) * num)
 
 
+def leader_clusters(sets: DataFrame, share: tuple[int, int] = (3, 4)) -> DataFrame:
+    """(id, leader): in order of size, items and id each set joins the first earlier leader whose Jaccard reaches the share, or leads.
+
+    ``sets``: id, items (sorted and distinct); empty sets count as equal.  The
+    order is kept without a task that sees all sets: only similar pairs matter,
+    and in each round every set settles whose first earlier neighbour that may
+    still lead is known.  A set with none leads; one that comes behind a set
+    which is still open waits for it.
+    """
+    sets = settled(sets.select("id", "items"))
+    reps, members = distinct_bodies(sets.select("id", F.col("items").alias("shingles")))
+    order = F.struct((-F.size("items")).alias("size"), "items", "id")
+    place = reps.select("id").join(sets, "id").select("id", order.alias("o"))
+    pairs = near_pairs(reps, share).select("a", "b").join(place.toDF("a", "x"), "a").join(place.toDF("b", "y"), "b")
+    first = F.col("x") < F.col("y")
+    edges = settled(pairs.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("late"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("early"), F.least("x", "y").alias("o")))
+    done = settled(place.join(edges.select(F.col("late").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
+    open_ = settled(place.select("id").join(done.select("id"), "id", "left_anti"))
+    while open_.limit(1).count():
+        known = edges.join(open_.select(F.col("id").alias("late")), "late").join(done.select(F.col("id").alias("early"), "leader"), "early", "left")
+        may = known.filter(F.col("leader").isNull() | (F.col("leader") == F.col("early")))  # members of a cluster take nobody
+        best = may.groupBy("late").agg(F.min_by(F.struct("early", F.col("leader").isNotNull().alias("sure")), "o").alias("f"))
+        now = open_.join(best, open_["id"] == best["late"], "left").select("id", "f")
+        fresh = settled(now.filter(F.col("f").isNull() | F.col("f.sure")).select("id", F.coalesce("f.early", "id").alias("leader")))
+        done = settled(done.unionByName(fresh))
+        open_ = settled(open_.join(fresh.select("id"), "id", "left_anti"))
+    none = sets.filter(F.size("items") == 0)
+    empty = none.select("id").crossJoin(F.broadcast(none.agg(F.min("id").alias("leader"))))  # one row
+    return members.join(done.withColumnRenamed("id", "rep"), "rep").select("id", "leader").unionByName(empty)
+
+
 def part_pairs(bodies: DataFrame, share: tuple[int, int] = CONTAINED) -> DataFrame:
     """(a, b, shared, n, m): all pairs a < b of distinct bodies of which the larger holds the share of the smaller; the part enters by its rarest keys alone."""
     num, den = share

@@ -9,6 +9,7 @@ from textloom.functions import text as X
 from textloom.functions.storage import settled
 from textloom.operators import assignment as A
 from textloom.operators import classification as K
+from textloom.operators import matching as M
 from textloom.operators.cohorts import readings
 from textloom.plans.cohorts import EV
 from textloom.plans.registry import query
@@ -156,9 +157,8 @@ def marker_families(t):
 
 @query("C12_leader_clusters")
 def leader_clusters(t):
-    w = F.array_sort(F.array_distinct(X.words(F.col("text"))))
-    rows = t.benchmark.select((F.col("item_id") % 4).alias("part"), F.col("item_id").alias("id"), F.size(w).alias("weight"), w.alias("items"))
-    return K.leader_clusters(rows)
+    """Word sets of the benchmark's items, each under the first larger one that is like it."""
+    return M.leader_clusters(t.benchmark.select(F.col("item_id").alias("id"), F.array_sort(F.array_distinct(X.words(F.coalesce("text", F.lit(""))))).alias("items")))
 
 
 @query("C13_answer_problems", "SELECT conv_id, turn, concat_ws(';', CASE WHEN length(trim(text)) = 0 THEN 'empty' END, CASE WHEN length(text) > 400 THEN 'long' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'role' END, CASE WHEN text = lag(text) OVER (PARTITION BY conv_id ORDER BY turn) THEN 'echo' END) AS problems FROM conversations")
