@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import decoding as D
 from textloom.operators import cohorts as C
 from textloom.operators import pages as P
 from textloom.sources import records as R
@@ -54,3 +55,14 @@ def test_a_bad_line_is_named(spark, tmp_path):
     assert found == {"b.jsonl": (3, '{"a": "x"}'), "c.jsonl": (2, '{"a": 3')}
     with pytest.raises(R.BadLine, match="b.jsonl: line 3"):
         R.strict_jsonl(spark, str(log), "a long")
+
+
+def test_bodies_are_decoded_strictly(spark):
+    rows = [
+        (1, "é".encode(), None, "é", None), (2, "é".encode("latin-1"), None, None, "malformed"), (3, "é".encode("latin-1"), "text/html; charset='latin1'", "é", None),
+        (4, b'<meta charset="iso-8859-1">\xe9', None, '<meta charset="iso-8859-1">é', None), (5, b'<META http-equiv=x content="text/html; charset=utf-8">\xe9', None, None, "malformed"),
+        (6, b"\xef\xbb\xbf" + "é".encode(), "charset=latin1", "é", None), (7, "\ufeffé".encode("utf-16-le"), None, "é", None), (8, b"a\x80", "charset=ascii", None, "malformed"), (9, b"a", "charset=koi8-r", None, "unknown charset"), (10, None, None, None, "no body"), (11, b"", None, "", None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "id int, body binary, header string").withColumn("c", D.charset_of(F.col("body"), F.col("header")))
+    got = {r.id: (r.d.text, r.d.problem) for r in df.select("id", D.decoded(F.col("body"), F.col("c")).alias("d")).collect()}
+    assert got == {r[0]: r[3:] for r in rows}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from textloom.functions import decoding as D
 from textloom.functions import text as X
 from textloom.functions import web as W
 from textloom.operators.suffixes import registrable, suffix_list
@@ -182,11 +183,21 @@ def redacted(t):
     return t.documents.select("doc_id", F.md5(X.redacted(F.col("text"))).alias("text"))
 
 
-@query("X15_decoded", "SELECT page_id, true AS same FROM pages")
+@query("X15_decoded", r"""WITH p AS (SELECT page_id, html, regexp_matches(html, '[^\x00-\x{FF}]') AS wide, regexp_matches(html, '[^\x00-\x7F]') AS beyond FROM pages WHERE html IS NOT NULL)
+SELECT page_id, 'right header' AS told, CASE WHEN wide THEN 'UTF-8' ELSE 'ISO-8859-1' END AS charset, sha256(html) AS digest, NULL AS problem FROM p
+UNION ALL SELECT page_id, 'wrong header', 'UTF-8', CASE WHEN wide OR NOT beyond THEN sha256(html) END, CASE WHEN NOT wide AND beyond THEN 'malformed' END FROM p
+UNION ALL SELECT page_id, 'mark', 'UTF-8', sha256(html), NULL FROM p UNION ALL SELECT page_id, 'unknown', NULL, NULL, 'unknown charset' FROM p""")
 def decoded(t):
-    marked = F.concat(F.unhex(F.lit("EFBBBF")), F.encode("html", "UTF-8"))
-    bare = F.when(F.hex(F.substring(marked, 1, 3)) == "EFBBBF", F.expr("substring(marked, 4)")).otherwise(F.col("marked"))
-    return t.pages.withColumn("marked", marked).select("page_id", (F.decode(bare, "UTF-8") == F.col("html")).alias("same"))
+    """Pages stored in Latin 1 where that has all their characters, else in UTF-8, and read under four claims."""
+    p = t.pages.filter("html is not null")
+    latin = ~F.col("html").rlike("[^\\x00-\\xFF]")
+    body, utf8 = F.when(latin, F.encode("html", "ISO-8859-1")).otherwise(F.encode("html", "UTF-8")), F.encode("html", "UTF-8")
+    claim = lambda told, body, header: F.struct(F.lit(told).alias("told"), body.alias("body"), header.alias("header"))
+    right = F.when(latin, "text/html; charset=ISO-8859-1").otherwise('text/html; charset="utf-8"')
+    claims = F.array(claim("right header", body, right), claim("wrong header", body, F.lit("text/html; Charset=UTF8")), claim("mark", F.concat(F.unhex(F.lit("EFBBBF")), utf8), F.lit("text/html; charset=latin1")), claim("unknown", utf8, F.lit("text/html; charset=x-none")))
+    rows = p.select("page_id", F.explode(claims).alias("c")).select("page_id", "c.*")
+    rows = rows.withColumn("charset", D.charset_of(F.col("body"), F.col("header"))).withColumn("d", D.decoded(F.col("body"), F.col("charset")))
+    return rows.select("page_id", "told", F.col("charset.charset").alias("charset"), F.sha2("d.text", 256).alias("digest"), F.col("d.problem").alias("problem"))
 
 
 @query("X16_names_and_years", "SELECT c_custkey, regexp_extract(s, '([A-Z][a-z]+)#[0-9]+ ([0-9]{2})', 1) AS name, regexp_extract(s, '([A-Z][a-z]+)#[0-9]+ ([0-9]{2})', 2) AS year, len(string_split(s, ' ')) AS words FROM (SELECT c_custkey, c_name || ' ' || lpad(CAST(c_custkey % 100 AS VARCHAR), 2, '0') AS s FROM customer)")
