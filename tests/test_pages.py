@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import decoding as D
 from textloom.operators import cohorts as C
+from textloom.operators import edits as ED
 from textloom.operators import pages as P
 from textloom.sources import records as R
 
@@ -66,3 +67,18 @@ def test_bodies_are_decoded_strictly(spark):
     df = spark.createDataFrame([r[:3] for r in rows], "id int, body binary, header string").withColumn("c", D.charset_of(F.col("body"), F.col("header")))
     got = {r.id: (r.d.text, r.d.problem) for r in df.select("id", D.decoded(F.col("body"), F.col("c")).alias("d")).collect()}
     assert got == {r[0]: r[3:] for r in rows}
+
+
+def test_edits_of_quotations(spark):
+    rng = random.Random(5)
+    text = "abcdefghij"
+    rows = [("DELETE_RANGE", 2, 5, [2, 5]), ("DELETE_RANGE", 2, 5, [3]), ("DELETE_RANGE", 5, 2, []), ("DELETE_RANGE", 0, 10, []), ("DELETE_RANGE", 8, 11, []), ("MOVE", 0, 1, []), ("EDIT_TAG", None, None, []), ("ELSE", 0, 1, []), (None, 0, 1, [])]
+    df = spark.createDataFrame(rows, "kind string, a int, b int, held array<int>")
+    got = [r[0] for r in df.select(ED.refusal(F.col("kind"), F.col("a"), F.col("b"), F.lit(10), F.col("held"))).collect()]
+    assert got == [None, "INTERPOLATION", "OUT_OF_RANGE", "NOTHING_LEFT", "OUT_OF_RANGE", "FORBIDDEN", None, "UNKNOWN", "UNKNOWN"]
+    cases = [(*sorted(rng.sample(range(11), 2)), [sorted(rng.sample(range(11), 2)) for _ in range(rng.randint(0, 4))]) for _ in range(60)]
+    df = spark.createDataFrame([(i, a, b, [tuple(m) for m in marks]) for i, (a, b, marks) in enumerate(cases)], "i int, a int, b int, marks array<struct<start:int,end:int>>")
+    for r in df.select("i", ED.without(F.lit(text), F.col("a"), F.col("b")).alias("t"), ED.marks_without(F.col("marks"), F.col("a"), F.col("b")).alias("m")).collect():
+        a, b, marks = cases[r.i]
+        left = text[:a] + text[b:]
+        assert r.t == left and "".join(left[m.start : m.end] for m in r.m) == "".join(c for k, c in enumerate(text) if not a <= k < b and any(x <= k < y for x, y in marks))
