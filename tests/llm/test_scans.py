@@ -164,7 +164,7 @@ def test_words_have_a_distribution():
     for r in rows[1:]:
         table[np.frombuffer(r["slots"], np.uint32)] = np.frombuffer(r["counts"], np.float32).reshape(-1, 2)
     assert seen.sum() == sum(len(w.encode()) + 1 for t in texts[:12] for w in t.split())
-    mixer, first = L.Mixer(), np.ascontiguousarray(table[:, 0]).reshape(-1, 2)
+    mixer, first = L.Mixer(), L.Tables.of(np.ascontiguousarray(table[:, 0]).reshape(-1, 2))
     learner = L.Learner()
     likely = []
     for _ in range(4):  # a step by the curvature raises the chance of what was taught
@@ -175,7 +175,7 @@ def test_words_have_a_distribution():
     mixer.adapt(first, types)
     size, held = np.bincount(L.CLASSES, minlength=64), np.bincount(L.CLASSES, weights=seen, minlength=64)
     rest = np.log10((seen + 0.5) / (held + 0.5 * size)[L.CLASSES])
-    cost = mixer.costs(table.sum(1).reshape(-1, 2), rest, types)
+    cost = mixer.costs(L.Tables.of(table.sum(1).reshape(-1, 2)), rest, types)
     for group in range(3):
         total = (10.0 ** cost[types.group == group]).sum()
         assert 0.5 < total < 1 + 1e-9
