@@ -71,7 +71,13 @@ def test_near_and_part_pairs(spark, folder, bodies):
     assert len(near) > 20 and len(part) >= 3
     assert {tuple(r) for r in QUERIES["N9_copy_pairs"](spark, folder).collect()} == near
     assert {tuple(r) for r in QUERIES["N11_containment"](spark, folder).collect()} == part
-    assert {tuple(r) for r in QUERIES["N21_holders_of_two"](spark, folder).collect()} == {(h, len(p)) for h, p in holders.items() if len(p) >= 2}
+    words, two = {i: re.findall(r"\w+", t) for i, t in bodies}, set()
+    for holder, held in holders.items():  # passages by their places in the holder, every pair of them tried
+        runs = [tuple(words[holder][j : j + 5]) for j in range(len(words[holder]) - 4)]
+        places = [(min(at), max(at) + 5) for part in held if (at := [j for j, r in enumerate(runs) if r in sets[part]])]
+        if any(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(places, 2)):
+            two.add((holder, len(places)))
+    assert two and {tuple(r) for r in QUERIES["N21_holders_of_two"](spark, folder).collect()} == two
     label = {i: i for i in sets}
     links = near | {(first[frozenset(s)], i) for i, s in sets.items() if s}
     for _ in sets:
