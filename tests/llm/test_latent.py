@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+import corpus_pipeline as P
 from textloom.llm import decontaminate as D
 from textloom.llm.wordbatch import split_words
 
@@ -65,3 +66,16 @@ def test_recall_of_edited_copies_in_tables_of_any_size(spark):
         want = all_pairs(texts, items, D.weights(D.counted(docs)))
         got = {(r.doc_id, r.item_id) for r in D.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
         assert got <= want and len(got) >= 0.95 * len(want) and want
+
+
+def test_pipeline_drops_edited_copies_through_the_latent_space(spark, tmp_path, monkeypatch):
+    texts, items = edited_copies(random.Random(31), 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {i for i, _ in all_pairs(texts, items, D.weights(D.counted(docs)))}
+    shapes, block = [], D.latent_block
+    monkeypatch.setattr(D, "latent_block", lambda pieces, table: shapes.append((len(pieces), table.shape)) or block(pieces, table))
+    kept = {r.doc_id for r in P.drop_leaks(spark, docs, str(tmp_path)).collect()}
+    dropped = set(range(40)) - kept
+    assert dropped <= want and len(dropped) >= 0.95 * len(want) and want
+    assert shapes == [(6, (D.FEATURES, D.RANK))]  # the corpus's directions, whatever the number of items
