@@ -79,3 +79,18 @@ def test_pipeline_drops_edited_copies_through_the_latent_space(spark, tmp_path,
     dropped = set(range(40)) - kept
     assert dropped <= want and len(dropped) >= 0.95 * len(want) and want
     assert shapes == [(6, (D.FEATURES, D.RANK))]  # the corpus's directions, whatever the number of items
+
+
+def test_passages_are_folded_in_by_the_singular_vectors(spark):
+    rng = random.Random(6)
+    topics = [some_words(rng, 150) for _ in range(12)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(topics[i % 12], k=240))) for i in range(60)], "doc_id long, text string")
+    counts = D.counted(docs)
+    idf = D.weights(counts)
+    basis, values = D.latent_basis(counts, idf)
+    table = D.latent_words(counts, idf)
+    assert values[0] > D.FLOOR > values[-1]
+    for _, _, _, words in counts.filter("feature >= 0").limit(20).collect():
+        row = np.bincount(words, minlength=D.FEATURES) * idf
+        exact = row @ basis / np.maximum(values, D.FLOOR)
+        assert np.allclose(table[words].sum(axis=0), exact, atol=1e-4 * np.linalg.norm(exact))
