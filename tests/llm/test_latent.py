@@ -1,6 +1,7 @@
 """The latent space of decontamination: of the corpus, smaller than it, and what is found through it."""
 
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -94,3 +95,17 @@ def test_passages_are_folded_in_by_the_singular_vectors(spark):
         row = np.bincount(words, minlength=D.FEATURES) * idf
         exact = row @ basis / np.maximum(values, D.FLOOR)
         assert np.allclose(table[words].sum(axis=0), exact, atol=1e-4 * np.linalg.norm(exact))
+
+
+def test_the_driver_holds_one_matrix_of_words_and_directions(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(some_words(rng, 200))) for i in range(200)], "doc_id long, text string")
+    counts = D.counted(docs)
+    idf = D.weights(counts)
+    tracemalloc.start()
+    try:
+        D.latent_words(counts, idf)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * D.FEATURES * (D.RANK + D.SPARE) * 4
