@@ -109,3 +109,16 @@ def test_the_driver_holds_one_matrix_of_words_and_directions(spark):
     finally:
         tracemalloc.stop()
     assert peak < 4 * D.FEATURES * (D.RANK + D.SPARE) * 4
+
+
+def test_the_stage_of_the_pipeline_keeps_the_driver_small(spark, tmp_path):
+    texts, items = edited_copies(random.Random(9), 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tracemalloc.start()
+    try:
+        kept = P.drop_leaks(spark, docs, str(tmp_path))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * D.FEATURES * (D.RANK + D.SPARE) * 4 and 0 < kept.count() < 60
