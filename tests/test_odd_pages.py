@@ -27,3 +27,8 @@ TITLES = ["Fish &amp; chips", "cut &amp", "cut &am", "R&D &copy;", "a &lt;b&gt;"
 
 def test_titles_with_cut_references(spark, tmp_path):
     same_rows(spark, tmp_path, "X6_page_titles", [*((i, "", f"<title>{x}</title>") for i, x in enumerate(TITLES)), (100, "", None), (101, "", "<TITLE>up</TITLE><p>none")])
+
+
+def test_feeds_of_titles_that_are_no_xml(spark, tmp_path):
+    rows = [(i * 2 + k, f"http://{host}/{i}?a=1&b=\"'<>\t\x02", f"<title>{x}</title>") for i, x in enumerate(TITLES) for k, host in enumerate(("a.test", "bb.test"))]
+    same_rows(spark, tmp_path, "S5_feed_entries", [*rows, (3, "http://a.test/n", None), (100, "http://bb.test/n", None), (101, None, "<title>x</title>"), (102, "no host", "")])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import search_query as Q
 from textloom.functions.storage import shared_folder
-from textloom.functions.text import words
+from textloom.functions.text import trimmed, words
 from textloom.plans.registry import Tables, query
 from textloom.sources import archives as A
 from textloom.sources import records as R
@@ -39,16 +39,17 @@ HTML_TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
 @query("S5_feed_entries", f"SELECT host, CAST(row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS INTEGER) AS position, replace(trim({HTML_TITLE}), '&amp;', '&') AS title, url AS link, CAST(length(html) AS VARCHAR) AS snippet FROM (SELECT *, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages WHERE url IS NOT NULL)")
 def feed_entries(t):
     """The pages of each host as its feed, Atom where the host's name has an even length, and the feeds read back."""
-    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    pages = t.pages.filter("url is not null").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "page_id", escaped(F.col("url")).alias("link"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.length("html").cast("string").alias("n"))
-    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    title = F.replace(trimmed(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("&amp;"), F.lit("&"))
+    pages = t.pages.filter("url is not null").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "page_id", R.xml_escaped(F.col("url")).alias("link"), R.xml_escaped(title).alias("title"), F.length("html").cast("string").alias("n"))
+    tag = lambda name, c: F.coalesce(F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>")), F.lit(""))  # noqa: E731  (what a page lacks, its entry lacks)
     rss = tag("item", F.concat(tag("title", F.col("title")), tag("link", F.col("link")), tag("description", F.col("n"))))
     atom = tag("entry", F.concat(tag("title", F.col("title")), F.lit('<link rel="self" href="x"/><link href="'), F.col("link"), F.lit('"/>'), tag("summary", F.col("n"))))
     # a page whose feed is longer than its titles and links is no case here: an entry is a few hundred bytes
     body = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", c.alias("x")))), lambda e: e["x"]), "")
     even = F.length("host") % 2 == 0
-    feeds = pages.groupBy("host").agg(F.when(even, F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>'), body(atom), F.lit("</feed>"))).otherwise(F.concat(F.lit("<rss><channel><title>f</title>"), body(rss), F.lit("</channel></rss>"))).alias("xml"))
-    return R.feed_entries(feeds, "host", "xml").select("host", "position", "title", "link", "snippet")
+    whole = lambda begin, c, end: F.concat(F.lit(R.XML_HEAD + begin), body(c), F.lit(end))
+    feeds = pages.groupBy("host").agg(F.when(even, whole('<feed xmlns="http://www.w3.org/2005/Atom"><title>f</title>', atom, "</feed>")).otherwise(whole("<rss><channel><title>f</title>", rss, "</channel></rss>")).alias("xml"))
+    return R.feed_entries(feeds, "host", "xml", trim=False).select("host", "position", "title", "link", "snippet")
 
 
 @query("S7_first_bad_line", "WITH l AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS line, value FROM events) SELECT event_type, min(line) AS line FROM l WHERE value > 150 GROUP BY 1")

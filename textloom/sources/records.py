@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,16 +73,31 @@ def read_decisions(spark: SparkSession, path: str, schema: str, key: str, allowe
     return marked.filter("problem is null").select(*rows.columns), marked.filter("problem is not null").select(*rows.columns, "problem")
 
 
-def feed_entries(feeds: DataFrame, key: str, xml: str) -> DataFrame:
+#: a feed's first line: only XML 1.1 can refer to control characters
+XML_HEAD = '<?xml version="1.1"?>'
+
+
+def xml_escaped(text: Column) -> Column:
+    """``text`` as it stands inside an element or a quoted attribute of XML 1.1; white space, line ends and control characters become references, so that a parser changes none."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    control = r"[\x01-\x1F\x7F-\x9F\u2028]"
+    signs = F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), lambda x: F.when(x.rlike(control), F.concat(F.lit("&#"), F.ascii(x).cast("string"), F.lit(";"))).otherwise(x))
+    return F.when(text.rlike(control), F.array_join(signs, "")).otherwise(text)
+
+
+def feed_entries(feeds: DataFrame, key: str, xml: str, trim: bool = True) -> DataFrame:
     """Entries of RSS and Atom documents held in a column: (key, position, title, link, published, snippet).
 
     Of an Atom entry's links that with no rel or rel alternate counts; published
-    before updated, summary before content.
+    before updated, summary before content.  ``trim``: white space around a text
+    is dropped.
     """
+    options = {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": str(trim).lower()}
     item = "struct<title:string,link:string,pubDate:string,description:string>"
     entry = "struct<title:string,link:array<struct<_href:string,_rel:string>>,published:string,updated:string,summary:string,content:string>"
-    rss = F.from_xml(F.col(xml), f"channel struct<title:string,item:array<{item}>>", {"mode": "PERMISSIVE"})
-    atom = F.from_xml(F.col(xml), f"title string, entry array<{entry}>", {"mode": "PERMISSIVE"})
+    rss = F.from_xml(F.col(xml), f"channel struct<title:string,item:array<{item}>>", options)
+    atom = F.from_xml(F.col(xml), f"title string, entry array<{entry}>", options)
     href = lambda e: F.get(F.filter(e["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"]
     one = lambda title, link, at, text: F.struct(title.alias("title"), link.alias("link"), at.alias("published"), text.alias("snippet"))
     of_rss = F.transform(F.col("r.channel.item"), lambda e: one(e["title"], e["link"], e["pubDate"], e["description"]))
