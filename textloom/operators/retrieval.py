@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, fields
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,3 +149,68 @@ def ndcg(graded: DataFrame, group: str, k: int) -> DataFrame:
     ideal = graded.withColumn("ideal", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("grade"), "rank")))
     sums = ideal.groupBy(group).agg(gain(F.col("rank")).alias("got"), gain(F.col("ideal")).alias("best"))
     return sums.select(group, F.when(F.col("best") > 0, F.col("got") / F.col("best")).alias("ndcg"))
+
+
+#: rows of a tile, and of a slice of it that is scored at once
+TILE, SLICE = 1 << 14, 1 << 11
+NEAREST = "q_id long, vec_id long, score double"
+
+
+def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in order, unit-free vectors and norms of (vec_id, v); a missing vector has norm -1."""
+    table = table.sort_by("vec_id")
+    lists = table.column("v").combine_chunks()
+    missing = np.asarray(lists.is_null())
+    flat, size = np.asarray(lists.drop_null().flatten(), np.float64), (~missing).sum()
+    v = np.zeros((len(missing), len(flat) // max(1, size)))
+    v[~missing] = flat.reshape(size, -1)
+    return table.column("vec_id").to_numpy(), v, np.where(missing, -1.0, np.sqrt((v * v).sum(axis=1)))
+
+
+def _nearest(k: int, digits: int):
+    """Of a tile of rows and a block of queries, each query's k best: by rounded cosine, then by id.  A missing score comes last, one of a zero vector (not a number) first."""
+
+    def nearest(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        (ids, v, norm), (q_ids, q, q_norm) = _vectors(rows), _vectors(asked)
+        found = []
+        for a in range(0, len(ids) if len(q_ids) else 0, SLICE):
+            own, n = ids[a : a + SLICE], norm[a : a + SLICE]
+            dots = q @ v[a : a + SLICE].T if q.shape[1] == v.shape[1] else np.zeros((len(q_ids), len(own)))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = dots / (q_norm[:, None] * n)
+            score = np.copysign(np.floor(np.abs(score) * 10**digits + 0.5) / 10**digits, score)
+            rank = np.where(np.isnan(score), np.inf, score)
+            rank[:, n < 0] = -2.0
+            rank[q_norm < 0] = -2.0
+            rank[q_ids[:, None] == own] = -3.0
+            least = np.partition(rank, -k, axis=1)[:, -k, None] if len(own) > k else np.full((len(q_ids), 1), -2.0)
+            i, j = np.nonzero((rank >= least) & (rank > -3.0))
+            order = np.lexsort((j, -rank[i, j], i))
+            i, j = i[order], j[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            found.append((i[place < k], own[j[place < k]], rank[i, j][place < k]))
+        i, near, rank = (np.concatenate([x[c] for x in found]) if found else np.zeros(0) for c in range(3))
+        order = np.lexsort((near, -rank, i))
+        i, near, rank = i[order].astype(int), near[order], rank[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        rank = rank[best]
+        score = pa.array(np.where(np.isinf(rank), np.nan, rank), mask=rank == -2.0)
+        return pa.table({"q_id": pa.array(q_ids[i[best]], pa.int64()), "vec_id": pa.array(near[best], pa.int64()), "score": score})
+
+    return nearest
+
+
+def nearest_by_cosine(rows: DataFrame, asked: DataFrame, k: int, block: int, digits: int = 5) -> DataFrame:
+    """(q_id, vec_id, score, rank): the k nearest other rows of each query by rounded cosine, ties to the smaller id; exact.
+
+    ``rows``, ``asked``: vec_id, v.  Tiles of rows meet blocks of queries, and of
+    each meeting only k rows a query go on, so what is shuffled does not grow as
+    rows times queries, though the products do.
+    """
+    tiles, blocks = max(1, -(-rows.count() // TILE)), max(1, -(-asked.count() // block))
+    dealt = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    every = lambda df, n, name: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    left, right = every(dealt(rows, tiles, "tile"), blocks, "block"), every(dealt(asked, blocks, "block"), tiles, "tile")
+    met = left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block")).applyInArrow(_nearest(k, digits), NEAREST)
+    order = Window.partitionBy("q_id").orderBy(F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

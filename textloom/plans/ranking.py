@@ -198,16 +198,7 @@ def queue_order(t):
 def vector_topk(t):
     """Cosine similarity of the stated queries, every row whose id is divisible by 100, with all rows."""
     e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
-    # queries are dealt to blocks of a bounded number, and every row meets each block by an equality join
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    q = asked.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int"))
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    score = dot(F.col("q"), F.col("v")) / (F.col("q_norm") * F.col("norm"))
-    met = rows.join(q, "block").filter("q_id <> vec_id").select("q_id", "vec_id", F.round(score, 5).alias("score"))
-    return C.top_per_group(met, ["q_id"], [F.desc("score"), F.asc("vec_id")], 10, "rank").drop("more")
+    return R.nearest_by_cosine(e, e.filter("vec_id % 100 = 0"), 10, QUERY_BLOCK)
 
 
 @query("R26_pricing_units", "SELECT user_id, CAST(ceil(count(*) / 100.0) AS BIGINT) AS units FROM events GROUP BY 1")
